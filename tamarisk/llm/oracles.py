@@ -25,4 +25,21 @@ SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sizes z JOIN reach r ON r.a = z.doc_id GROUP BY 1, 2
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _OP2}
+_OP1 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
+  FROM documents
+), units AS (
+  SELECT *, trim(regexp_replace(lower(line), '[\x09-\x0D\x20]+', ' ', 'g')) AS u,
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM lines
+), marked AS (
+  SELECT *, len(regexp_extract_all(u, '[^ ]+')) >= 5 AND row_number() OVER (PARTITION BY u ORDER BY doc_id, k) > 1 AS gone FROM units
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) AS n_units,
+  count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos AS BIGINT) + length(line) AS VARCHAR), ',' ORDER BY k) FILTER (gone), '') AS removed_spans
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_ngram_jaccard_join": _OP2}

@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("row.doc_id", "kept.*")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm.jaccard_join import near_duplicates
 
@@ -34,9 +40,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(packed_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.toxicity import scores
+
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_ngram_jaccard_join, op5_token_store, op7_best_fit_packing)
+    for f in (op1_substring_dedup, op2_ngram_jaccard_join, op5_token_store, op7_best_fit_packing, op10_toxicity)
 }
 
 
