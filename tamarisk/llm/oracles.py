@@ -42,4 +42,32 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone),
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_ngram_jaccard_join": _OP2}
+_OP9 = r"""
+WITH rows AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
+spoken AS (SELECT pair_id, max(turn) AS last FROM rows WHERE role = 'assistant' GROUP BY 1),
+reply AS (
+  SELECT xor(r.pair_id, 1) AS pair_id, min(r.text) AS reply
+  FROM rows r JOIN spoken s ON s.pair_id = r.pair_id AND r.turn = s.last WHERE r.role = 'assistant' GROUP BY 1
+), sides AS (
+  SELECT *, 'chosen' AS side FROM rows
+  UNION ALL
+  SELECT r.pair_id, r.turn, r.role, CASE WHEN r.role = 'assistant' AND r.turn = s.last THEN coalesce(p.reply, '') ELSE r.text END, 'rejected'
+  FROM rows r LEFT JOIN spoken s ON s.pair_id = r.pair_id LEFT JOIN reply p ON p.pair_id = r.pair_id
+), turns AS (
+  SELECT pair_id, coalesce(turn, -1) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+    bool_or(side = 'chosen') AS c, bool_or(side = 'rejected') AS r
+  FROM sides GROUP BY 1, 2, 3, 4
+), firsts AS (SELECT pair_id, min(turn) AS first FROM turns WHERE c != r GROUP BY 1),
+parts AS (
+  SELECT t.*, f.first, t.turn < f.first OR f.first IS NULL AS common FROM turns t LEFT JOIN firsts f ON f.pair_id IS NOT DISTINCT FROM t.pair_id
+), labelled AS (
+  SELECT pair_id, turn, role, text, 'prompt' AS part FROM parts WHERE common
+  UNION ALL SELECT pair_id, turn, role, text, 'chosen' FROM parts WHERE NOT common AND c
+  UNION ALL SELECT pair_id, turn, role, text, 'rejected' FROM parts WHERE NOT common AND r
+)
+SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
+  part != 'prompt' AND role = 'assistant' AS trained
+FROM labelled
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_preference_chat": _OP9}

@@ -28,18 +28,49 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.sentencepiece_codec import decode_documents, encode_documents
+
+    model = _tokenizer("piece_bpe_32k.model")
+    return decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.media import text_media
+
+    return text_media(table(spark, sf_dir, "documents")).withColumnRenamed("name", "doc_id")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm.token_store import digests, store
 
     return digests(store(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.fingerprints import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm.packing import digests, packed_documents
 
     return digests(packed_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.langid import fit, identify_pages, sampled
+
+    return identify_pages(table(spark, sf_dir, "pages"), fit(sampled(table(spark, sf_dir, "documents"))))
+
+
+def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.chat_format import preference_rows, reply_swapped
+
+    return preference_rows(reply_swapped(table(spark, sf_dir, "conversations")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarisk.llm.toxicity import scores
 
@@ -48,7 +79,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_ngram_jaccard_join, op5_token_store, op7_best_fit_packing, op10_toxicity)
+    for f in (
+        op1_substring_dedup, op2_ngram_jaccard_join, op3_sentencepiece, op4_media_columns, op5_token_store,
+        op6_fingerprints, op7_best_fit_packing, op8_language_id, op9_preference_chat, op10_toxicity,
+    )
 }
 
 
