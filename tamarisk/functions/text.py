@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +52,6 @@ def normalised(text: Column, policy: str = "light") -> Column:
 
 def composed(text: Column) -> Column:
     """Unicode composed form; Spark has no built-in for it, so texts pass through Arrow."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
