@@ -41,15 +41,20 @@ def preference_rows(sides: DataFrame) -> DataFrame:
 def assembled(rows: DataFrame) -> DataFrame:
     """The strings of pairs of a bounded length: prompt, both completions, and each one's trained spans."""
     turn = F.struct("turn", "role", "piece", "trained")
-    put = [F.sort_array(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in ("prompt", "chosen", "rejected")]
+    put = [F.sort_array(F.collect_list(F.when(F.col("part") == p, turn))).alias(f"turns_{p}") for p in ("prompt", "chosen", "rejected")]
     sides = rows.groupBy("pair_id").agg(*put)
-    text = lambda p: F.array_join(F.transform(p, lambda x: x["piece"]), "")
-    spans = lambda p: F.filter(
-        F.transform(p, lambda x, i: F.struct(F.aggregate(F.slice(p, 1, i), F.lit(0), lambda a, y: a + F.length(y["piece"])).alias("start"), F.length(x["piece"]).alias("length"), x["trained"].alias("trained"))), lambda x: x["trained"]
-    )
+    text = lambda p: F.array_join(F.transform(f"turns_{p}", lambda x: x["piece"]), "")
+
+    def spans(p: str) -> Column:
+        """Where each trained turn lies in its side's text."""
+        turns = F.col(f"turns_{p}")
+        before = lambda i: F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y["piece"]))
+        each = F.transform(turns, lambda x, i: F.struct(before(i).alias("start"), (before(i) + F.length(x["piece"])).alias("end"), x["trained"].alias("trained")))
+        return F.transform(F.filter(each, lambda x: x["trained"]), lambda x: x.dropFields("trained"))
+
     out = [F.col("pair_id"), text("prompt").alias("prompt")]
     for p in ("chosen", "rejected"):
-        out += [text(p).alias(p), F.transform(spans(p), lambda x: F.struct(x["start"], (x["start"] + x["length"]).alias("end"))).alias(f"{p}_trained")]
+        out += [text(p).alias(p), spans(p).alias(f"{p}_trained")]
     return sides.select(*out)
 
 

@@ -98,7 +98,8 @@ def fit(sample: DataFrame) -> TextModel:
     totals = {r.lang: (r.n, r.v) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     languages = sorted(totals)
     table: dict[str, list[float]] = {}
-    unseen = [math.log(1 / (totals[x][0] + totals[x][1] + 1)) for x in languages]
+    # however small the sample, what a language never has is likelier under und
+    unseen = [min(math.log(1 / (totals[x][0] + totals[x][1] + 1)), BACKGROUND - 1) for x in languages]
     for i, lang in enumerate(languages):
         n, v = totals[lang]
         for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).collect():
