@@ -10,10 +10,14 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which wants time stamps with a zone; a batch as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def rate_counts(events: DataFrame, by: str, window: str = "60 seconds", slide: str = "10 seconds", late: str = "1 hour") -> DataFrame:
     """``start, by, n`` of sliding windows; on a stream, rows later than ``late`` are left out by the watermark."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", window, slide).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+    return timed(events, late).groupBy(F.window("ts", window, slide).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
 def over_limit(events: DataFrame, by: str, limit: int = 30, **windows: str) -> DataFrame:
@@ -21,8 +25,7 @@ def over_limit(events: DataFrame, by: str, limit: int = 30, **windows: str) -> D
 
 
 def window_figures(events: DataFrame, by: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    out = rows.groupBy(F.window("ts", window).alias("w"), by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    out = timed(events, late).groupBy(F.window("ts", window).alias("w"), by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return out.select(F.col("w.start").alias("start"), by, "n", "total")
 
 
