@@ -85,9 +85,13 @@ def once(number: Column) -> Column:
 
 def shingles(toks: Column, n: int) -> Column:
     """The set of n consecutive tokens, joined by spaces; empty if there are fewer."""
-    at = F.sequence(F.lit(1), F.size(toks) - (n - 1))
-    each = F.transform(at, lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    # bound as a lambda's variable, the tokens are worked out once and not for each shingle
+    return F.element_at(F.transform(F.array(toks), of), 1)
 
 
 def share(part: Column, whole: Column) -> Column:
