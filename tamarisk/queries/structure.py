@@ -226,3 +226,33 @@ def direct_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = words.join(q.where("w is not null"), "w").select("query_id", "doc_id", "p").join(d, "doc_id").where(F.contains("t", "p"))
     few = d.join(q.where("w is null").select("query_id", "p"), F.contains("t", "p"))
     return found.select("query_id", "doc_id").unionByName(few.select("query_id", "doc_id"))
+
+
+@query()
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a question, answered from the documents."""
+    from tamarisk.plans.answering import answers as run
+
+    return run(corpus(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+
+
+@query()
+def diverse_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each nation's customers five that differ in segment and balance: a sampling operator."""
+    from tamarisk.operators.picking import diverse
+
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment", F.expr("cast(c_acctbal div 2000 as int)").alias("band"))
+    return diverse(c, "c_nationkey", ["c_mktsegment", "band"], "c_custkey", 5, 3)
+
+
+@query()
+def block_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's items as gold boxes against the same boxes moved, every third one named."""
+    from tamarisk.operators.picking import matched_blocks
+
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    name = F.when(n % 3 == 0, F.concat(F.lit("b"), n.cast("string")))
+    box = lambda d: [q.alias("x0"), (q + d).alias("y0"), (q + 10).alias("x1"), (q + 8 + d).alias("y1")]
+    li = table(spark, sf_dir, "lineitem")
+    gold, found = (li.select(F.col("l_orderkey").alias("page"), n.cast("long").alias("place"), name.alias("name"), *box(d)) for d in (0, 1))
+    return matched_blocks(gold, found, "page")

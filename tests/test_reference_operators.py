@@ -214,3 +214,52 @@ def test_plans(spark, small):
     li = spark.read.parquet(f"{small}/lineitem.parquet").where("l_quantity > 40").groupBy("l_partkey").count()
     assert exchanges(li) == 1 and not runs_python(li)
     assert any("l_quantity" in x for x in pushed_filters(li)) and read_columns(li) == {"l_partkey", "l_quantity"}
+
+
+def test_article_labels(spark):
+    from tamarisk.operators.labels import article_label, parsed_label
+
+    cases = {
+        "المادة الأولى": (1, None, None), "المادة ١٢": (12, None, None), "المادة الحادية عشرة": (11, None, None),
+        "المادة الخامسة والعشرون (الجزء 2)": (25, 2, None), "المادة الثالثة بعد المائة": (103, None, None),
+        "المادة العاشرة ملغاة": (10, None, "ملغاة"), "نص المادة الأولى": (None, None, None), "المادة": (None, None, None), "": (None, None, None), "المادة 1000": (None, None, None),
+    }
+    for raw, want in cases.items():
+        assert article_label(raw)[:3] == want, raw
+    d = spark.createDataFrame([(x,) for x in [*cases, None]], "t string")
+    assert [r.ordinal for r in d.select(parsed_label(F.col("t")).alias("p")).select("p.*").collect()] == [v[0] for v in cases.values()] + [None]
+
+
+def test_block_matching(spark):
+    from tamarisk.operators.picking import diverse, matched_blocks
+
+    schema = "page int, place long, name string, x0 double, y0 double, x1 double, y1 double"
+    gold = spark.createDataFrame([(1, 0, "a", 0.0, 0.0, 1.0, 1.0), (1, 1, None, 0.0, 0.0, 10.0, 10.0), (1, 2, None, 50.0, 50.0, 60.0, 60.0)], schema)
+    found = spark.createDataFrame([(1, 7, None, 0.0, 1.0, 10.0, 10.0), (1, 8, "a", 90.0, 90.0, 99.0, 99.0), (1, 9, None, 0.0, 0.0, 5.0, 5.0)], schema)
+    assert {tuple(r)[1:] for r in matched_blocks(gold, found, "page").collect()} == {(0, 8, "name"), (1, 7, "overlap")}
+    rows = spark.createDataFrame([(1, i, "xy"[i % 2], "pqr"[i % 3]) for i in range(12)], "g int, k int, a string, b string")
+    picked = diverse(rows, "g", ["a", "b"], "k", 3, 1).collect()
+    assert {r.a for r in picked[:2]} == {"x", "y"} and len({r.b for r in picked}) == 3
+
+
+def test_answers(spark):
+    from tamarisk.plans.answering import answers
+
+    corpus = spark.createDataFrame([(1, "the court sits in june\nnothing here"), (2, "fees are ten coins"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "when does the court sit in june"), (2, ""), (3, "should i pay fees"), (4, "zzz")], "query_id long, text string")
+    got = {r.query_id: (r.outcome, r.answer) for r in answers(corpus, q).collect()}
+    assert got[1][0] == "answered" and "the court sits in june" in got[1][1]
+    assert got[2][0] == "requested_info_not_found" and got[3] == ("personalized_legal_advice", None) and got[4][0] == "no_context"
+
+
+def test_trees_and_spans(spark):
+    from tamarisk.operators.analysis import resolved_span, tree_faults, upload_segments
+
+    n = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x"), ("o", "gone")], "node_id string, parent_id string")
+    assert {tuple(r) for r in tree_faults(n).collect()} == {("x", "cycle"), ("y", "cycle"), ("o", "orphan")}
+    assert resolved_span("aaa", "aa", 1) == (1, 3, "exact") and resolved_span("aaa", "aa")[2] == "ambiguous"
+    assert resolved_span("abc", "b", 7) == (1, 2, "corrected") and resolved_span("abc", "z")[2] == "missing"
+    t = "word " * 50
+    assert all(t[a:b].strip() and b - a <= 60 for a, b in upload_segments(t, 60, 9))
+    with pytest.raises(ValueError):
+        upload_segments(t, 60, 2)
