@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarisk.plans.lineage import cut
+
 
 def chance(key: str, seed: int | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
@@ -77,32 +79,22 @@ def linked_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     least halves the vertices that still have edges. Rounds are written as checkpoints.
     """
     edges = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = _cut(edges)
+    edges = cut(edges)
     labels = None
     for _ in range(rounds):
         ends = edges.selectExpr("a as id", "a as m").union(edges.selectExpr("b as id", "a as m"))
-        step = _cut(ends.groupBy("id").agg(F.min("m").alias("m")))
+        step = cut(ends.groupBy("id").agg(F.min("m").alias("m")))
         if labels is None:
             labels = step.withColumnRenamed("m", "component")
         else:
             labels = labels.join(step.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("m", "component").alias("component"))
         moved = edges.join(step.selectExpr("id as a", "m as x"), "a").join(step.selectExpr("id as b", "m as y"), "b").where("x != y")
-        edges = _cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if edges.isEmpty():
             return labels
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def _cut(frame: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint in the session's shared folder."""
-    sc = frame.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarisk-"))
-    return frame.checkpoint()
-
-
 def component_split(edges: DataFrame, share: float = 1 / 3) -> DataFrame:
     """``id, component, split``: whole components go to ``test`` until ``share`` of the vertices is reached, in hash order.
 

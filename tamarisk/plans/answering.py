@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.operators import fusion, grounding, lexical
+from tamarisk.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -35,13 +36,14 @@ def answers(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings
     that were found word by word in the documents they cite."""
     ranked = retrieved(corpus, queries, settings).select("query_id", "doc_id", "rank")
     cost = corpus.select("doc_id", F.length("text").cast("long").alias("cost"))
-    held = grounding.within_budget(ranked.join(cost, "doc_id"), "query_id", ["rank", "doc_id"], "cost", settings.budget).where("admitted")
+    # a few rows a question, read by all that follows
+    held = cut(grounding.within_budget(ranked.join(cost, "doc_id"), "query_id", ["rank", "doc_id"], "cost", settings.budget).where("admitted"))
     lines = corpus.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
     found = held.join(lines, "doc_id").join(queries.withColumnRenamed("text", "query"), "query_id")
     found = found.withColumn("shared", lexical.overlap_score(F.col("query"), F.col("line"))).where("shared > 0 and trim(line) != ''")
     w = Window.partitionBy("query_id").orderBy(F.desc("shared"), "rank", "doc_id", "place")
     best = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= settings.sentences)
-    cites = best.select(F.concat_ws("/", "query_id", "n").alias("claim_id"), "query_id", "n", F.col("doc_id").alias("evidence_id"), F.col("line").alias("quote"))
+    cites = cut(best.select(F.concat_ws("/", "query_id", "n").alias("claim_id"), "query_id", "n", F.col("doc_id").alias("evidence_id"), F.col("line").alias("quote")))
     evidence = corpus.select(F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("chunk_id"), F.lit(1).alias("rank"), "text")
     checked = grounding.verified_citations(cites.select("claim_id", "evidence_id", "quote"), evidence.join(cites.select("evidence_id").distinct(), "evidence_id", "left_semi"))
     good = cites.join(checked.where("status = 'valid'").select("claim_id"), "claim_id", "left_semi")
