@@ -27,7 +27,8 @@ from tamarisk.llm.common import stored, whole_text
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
-MIN_DOCS = 8
+#: A feature is used if so many sampled documents have it, and its log-odds are so far from 0, also in standard errors.
+MIN_DOCS, MIN_ODDS, MIN_ERRORS = 3, 2.5, 2.5
 PREFIXES = (4, 5, 6)
 #: Words that name a group, by kind of group.
 IDENTITY_TERMS = (
@@ -162,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, co
     per = sample.mapInArrow(counted, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (size[1] + 1)) - F.log((F.col("neg") + 0.5) / (size[0] + 1))
     gain = F.abs(odds) * F.sqrt(F.col("pos") / size[1] + F.col("neg") / size[0])
-    best = per.where(f"neg + pos >= {MIN_DOCS}").orderBy(gain.desc(), "f").limit(FEATURES)
+    errors = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    telling = (F.col("neg") + F.col("pos") >= MIN_DOCS) & (F.abs(odds) >= MIN_ODDS) & (errors >= MIN_ERRORS)
+    best = per.where(telling).orderBy(gain.desc(), "f").limit(FEATURES)
     vocabulary = [r.f for r in best.select("f").collect()]
     wanted = frozenset(vocabulary) | {t for kind in IDENTITY_TERMS for t in kind}
 
