@@ -202,12 +202,15 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
-    """The documents whose language is one of the model's; source and declared language are evidence.
+    """The documents whose language is one of the model's and, where that is declared too, the declared one.
 
+    Source and declared language are evidence, so a text goes against its declaration only where it outweighs both.
     Decisions are made on rows without text; those rejected are then taken away by identifier and text hash.
     """
     tie = F.xxhash64(whole_text())
     rows = docs.select(F.col("doc_id").alias("k"), tie.alias("h"), F.coalesce("source", F.lit("")).alias("host"), primary(F.col("lang")).alias("declared"), whole_text().alias("text"))
-    out = fused(light_rows(rows, model, html=False), model).where((F.col("lang") == UNKNOWN) | (F.col("confidence") < least)).select("k", "h").distinct()
+    against = F.col("declared").isin(*model.languages) & (F.col("lang") != F.col("declared")) if model.languages else F.lit(False)
+    doubtful = (F.col("lang") == UNKNOWN) | (F.col("confidence") < least) | against
+    out = fused(light_rows(rows, model, html=False), model).where(doubtful).select("k", "h").distinct()
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("rk"), tie.alias("rh"))
     return marked.join(out, F.col("rk").eqNullSafe(F.col("k")) & (F.col("rh") == F.col("h")), "left_anti").select("row.*")

@@ -388,9 +388,11 @@ def test_language(spark, small, docs, none):
     assert len(got) == pages.count() and sum(r.lang == r.declared for r in got) >= 0.9 * len(got)
     odd = spark.createDataFrame([(1, None, None, "x"), (2, "", "", "y"), (None, "http://h.example.com/a", '<html lang="de"><p>и да не е</p>', "z")], "page_id long, url string, html string, host string")
     assert [r.lang for r in identify_pages(odd, m).orderBy("page_id").collect()] == ["und"] * 3
-    junk = spark.createDataFrame([(900, "%%% ### 123 456", "en", "s", 1), (901, None, None, None, 0), (902, "щдфжгк ывапр олдж йцукен " * 9, "en", "s", 1)], d.schema)
+    german = next(r.text for r in d.where("lang = 'de' and n_chars > 1500").orderBy("doc_id").collect())
+    junk = spark.createDataFrame([(900, "%%% ### 123 456", "en", "s", 1), (901, None, None, None, 0), (902, "щдфжгк ывапр олдж йцукен " * 9, "en", "s", 1), (903, german, "fr", "s", 1)], d.schema)
     kept = known_language(d.unionByName(junk), m)
-    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in d.collect()}
+    left = {r.doc_id for r in kept.collect()}
+    assert kept.columns == d.columns and not left & {900, 901, 902, 903} and len(left) >= 0.98 * d.count()
     assert known_language(none, m).count() == 0 and visible("<a href='x'>b</a><script>c</script><!-- d -->e").split() == ["b", "e"]
 
 
