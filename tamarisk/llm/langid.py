@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,10 +121,10 @@ def _model(spec: str) -> TextModel:
 
 
 def light_rows(rows: DataFrame, model: TextModel, html: bool) -> DataFrame:
-    """``key.., host, declared, ll, n_grams`` in place of ``text``, which only this step reads."""
+    """``key.., host, declared, ll, n_grams, shares`` (the text's own posterior) in place of ``text``, which only this step reads."""
     spec = json.dumps([model.languages, model.table, model.unseen])
     keys = [c for c in rows.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", ll array<double>, n_grams long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", ll array<double>, n_grams long, shares array<double>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(spec)
@@ -132,17 +133,20 @@ def light_rows(rows: DataFrame, model: TextModel, html: bool) -> DataFrame:
             got = [m.log_likelihoods(visible(t.as_py()) if html else t.as_py()) for t in texts]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keys]
             columns += [pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "ll", "n_grams"])
+            columns.append(pa.array([posterior(*g) for g in got], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "ll", "n_grams", "shares"])
 
     return stored(rows.mapInArrow(run, schema), "lang-rows")
 
 
-def _normed(weights: list[Column]) -> list[Column]:
-    """Shares from log-weights."""
-    top = F.greatest(*weights) if len(weights) > 1 else weights[0]
-    each = [F.exp(w - top) for w in weights]
-    total = functools.reduce(lambda a, b: a + b, each)
-    return [e / total for e in each]
+def posterior(ll: list[float], n: int, *others: list[float] | None) -> list[float]:
+    """Shares of the classes by the text's mean log-likelihoods over at most ``EVIDENCE`` trigrams and other likelihoods."""
+    x = np.asarray(ll, float) * min(n, EVIDENCE)
+    for other in others:
+        if other is not None:
+            x = x + np.log(np.asarray(other, float))
+    x = np.exp(x - x.max())
+    return (x / x.sum()).tolist()
 
 
 def fused(light: DataFrame, model: TextModel) -> DataFrame:
@@ -152,16 +156,13 @@ def fused(light: DataFrame, model: TextModel) -> DataFrame:
     parts = F.split("host", r"\.")
     light = light.withColumn("suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(""))
     light = light.withColumn("domain", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -3, 3), ".")).otherwise(F.col("host")))
-    weight = F.least(F.col("n_grams"), F.lit(EVIDENCE)).cast("double")
-    evidence = [F.element_at("ll", i + 1) * weight for i in range(k)]
-    shares = _normed(evidence)
-    light = light.select("*", *[s.alias(f"t{i}") for i, s in enumerate(shares)])
-    sums = [F.sum(f"t{i}").alias(f"t{i}") for i in range(k)]
+    sums = [F.sum(F.element_at("shares", i + 1)).alias(f"t{i}") for i in range(k)]
+    again = [F.sum(f"t{i}").alias(f"t{i}") for i in range(k)]
 
     hosts = stored(light.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = hosts.groupBy("suffix").agg(*sums)
-    whole = hosts.agg(*sums).first()
+    domains = hosts.groupBy("domain", "suffix").agg(*again)
+    suffixes = hosts.groupBy("suffix").agg(*again)
+    whole = hosts.agg(*again).first()
     overall = [((whole[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in whole) + k) for i in range(k)]
 
     def smoothed(level: DataFrame, above: list[Column], name: str) -> DataFrame:
@@ -171,18 +172,24 @@ def fused(light: DataFrame, model: TextModel) -> DataFrame:
 
     s = smoothed(suffixes, [F.lit(x) for x in overall], "s")
     d = smoothed(domains.join(s, "suffix"), [F.col(f"s{i}") for i in range(k)], "d")
-    h = smoothed(hosts.join(d, ["domain", "suffix"]), [F.col(f"d{i}") for i in range(k)], "h").drop("domain", "suffix")
-    said = light.where("declared != ''").groupBy("declared").agg(*sums)
-    n_said = said.agg(*sums).first()
-    likely = [((F.col(f"t{i}") + 0.5) / F.lit((n_said[i] or 0.0) + 10.0)).alias(f"m{i}") for i in range(k)]
-    out = light.join(h, "host").join(said.select("declared", *likely), "declared", "left")
-    logs = [evidence[i] + F.log(f"h{i}") + F.coalesce(F.log(f"m{i}"), F.lit(0.0)) for i in range(k)]
-    out = out.withColumn("post", F.array(*_normed(logs)))
-    best = F.array_position("post", F.array_max("post")).cast("int")
-    text_best = F.array_position(F.array(*[F.col(f"t{i}") for i in range(k)]), F.array_max(F.array(*[F.col(f"t{i}") for i in range(k)]))).cast("int")
-    label = lambda at: F.when(F.col("n_grams") > 0, F.element_at(F.array(*map(F.lit, names)), at)).otherwise(UNKNOWN)
-    drop = [f"{p}{i}" for p in "thm" for i in range(k)] + ["post", "ll", "suffix", "domain"]
-    return out.select("*", label(best).alias("lang"), F.round(F.array_max("post"), 6).alias("confidence"), label(text_best).alias("text_lang")).drop(*drop)
+    h = smoothed(hosts.join(d, ["domain", "suffix"]), [F.col(f"d{i}") for i in range(k)], "h")
+    h = stored(h.select("host", F.array(*[f"h{i}" for i in range(k)]).alias("prior")), "host-priors")
+    said = stored(light.where("declared != ''").groupBy("declared").agg(*sums), "declarations")
+    n_said = said.agg(*again).first()
+    likely = F.array(*[(F.col(f"t{i}") + 0.5) / F.lit((n_said[i] or 0.0) + 10.0) for i in range(k)])
+    out = light.join(h, "host").join(said.select("declared", likely.alias("likely")), "declared", "left")
+
+    @F.pandas_udf("lang string, confidence double, text_lang string")
+    def decide(ll: pd.Series, n: pd.Series, shares: pd.Series, prior: pd.Series, likely: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, m, own, p, q in zip(ll, n, shares, prior, likely):
+            post = posterior(a, m, p, q)
+            best, text = int(np.argmax(post)), int(np.argmax(own))
+            rows.append((names[best] if m else UNKNOWN, round(post[best], 6), names[text] if m else UNKNOWN))
+        return pd.DataFrame(rows, columns=["lang", "confidence", "text_lang"])
+
+    out = out.withColumn("decided", decide("ll", "n_grams", "shares", "prior", "likely"))
+    return out.select(*[c for c in light.columns if c not in ("ll", "shares", "suffix", "domain")], "decided.*")
 
 
 def host_of(url: str) -> Column:
