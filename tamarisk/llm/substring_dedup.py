@@ -60,7 +60,9 @@ def repeats(units: DataFrame) -> DataFrame:
     """``doc_id, tie, removed`` (positions of units) of the documents that lose something."""
     place = F.struct("doc_id", "tie", "unit")
     first = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    later = units.join(first.select("hi", "lo", "first"), ["hi", "lo"]).where(~place.eqNullSafe(F.col("first")))
+    # written, so that the join deals both sides anew and adaptive execution can split a unit that very many places have
+    first = stored(first.select("hi", "lo", "first"), "first-units")
+    later = units.join(first, ["hi", "lo"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("unit")).alias("removed"))
 
 
