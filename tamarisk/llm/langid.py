@@ -35,6 +35,9 @@ UNKNOWN = "und"
 #: Log-probability of any trigram under ``und``; trigrams of a text that count at most; rows of smoothing.
 BACKGROUND, EVIDENCE, PSEUDO = math.log(1 / 50_000), 200, 5.0
 
+#: A text goes against its declaration from so many trigrams and such a posterior on.
+SURE_GRAMS, SURE = 200, 0.999
+
 _WORD = re.compile(r"[^\W\d_]+")
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
@@ -211,12 +214,14 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def known_language(docs: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
     """The documents whose language is one of the model's and, where that is declared too, the declared one.
 
-    Source and declared language are evidence, so a text goes against its declaration only where it outweighs both.
+    Source and declared language are evidence, and a text is held against its declaration only if it outweighs both by far
+    and is long enough to tell; short texts stay with what they declare.
     Decisions are made on rows without text; those rejected are then taken away by identifier and text hash.
     """
     tie = F.xxhash64(whole_text())
     rows = docs.select(F.col("doc_id").alias("k"), tie.alias("h"), F.coalesce("source", F.lit("")).alias("host"), primary(F.col("lang")).alias("declared"), whole_text().alias("text"))
-    against = F.col("declared").isin(*model.languages) & (F.col("lang") != F.col("declared")) if model.languages else F.lit(False)
+    sure = (F.col("n_grams") >= SURE_GRAMS) & (F.col("confidence") >= SURE)
+    against = F.col("declared").isin(*model.languages) & (F.col("lang") != F.col("declared")) & sure if model.languages else F.lit(False)
     doubtful = (F.col("lang") == UNKNOWN) | (F.col("confidence") < least) | against
     out = fused(light_rows(rows, model, html=False), model).where(doubtful).select("k", "h").distinct()
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("rk"), tie.alias("rh"))
