@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tamarisk.llm.common import shuffle_parts, whole_text
 
-K, WINDOW = 24, 128
+#: One window for all lengths, so that equal passages match across lengths; half of any text of 78 code points or more has a guaranteed hash.
+K, WINDOW = 24, 16
 #: Code points handled at once; positions in a block fit the low bits of what the minimum is taken of.
 BLOCK, POS_BITS = 1 << 18, 20
 

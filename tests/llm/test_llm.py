@@ -318,6 +318,15 @@ def test_winnowing_guarantee_and_brute_force():
     assert set(a.tolist()) & set(b.tolist())
 
 
+def test_half_edits_of_short_texts_show():
+    from tamarisk.llm import fingerprints as fp
+
+    rng = random.Random(6)
+    for n in range(78, 303):
+        a, b = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for _ in range(2))
+        assert 0 < fp.likeness(fp.winnow(a)[0], fp.winnow(fp.edited(a, b))[0]) < 1
+
+
 def test_winnow_in_blocks(monkeypatch):
     from tamarisk.llm import fingerprints as fp
 
