@@ -2,7 +2,7 @@
 
 Units are normalised (lower case, single ASCII spaces) and digested to 128 bits; digests are grouped over the
 whole corpus with their least rank (doc_id, then text hash, then position). A unit of at least ``min_words`` words
-that isn't the first of its digest is removed; the first stays as it was. Offsets always refer to the original
+(5 in ``dedup``, as op1's SQL has it; 1 in ``dedup_documents``) that isn't the first of its digest is removed; the first stays as it was. Offsets always refer to the original
 text, in code points.
 
 Null text is empty, and an empty text has one empty unit, which is too short to be removed. A null ``doc_id``
@@ -98,8 +98,11 @@ def dedup(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
     return both.select("row", cut(F.coalesce("row.text", F.lit("")), "removed").alias("kept"))
 
 
-def dedup_documents(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
-    """The documents with their later repeats removed, ``n_chars`` (where there is one) recounted."""
+def dedup_documents(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """The documents with their later repeats removed, ``n_chars`` (where there is one) recounted.
+
+    Every non-empty unit counts, however short: a line in a script without spaces is one word.
+    """
     out = dedup(docs, unit, min_words)
     row = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("kept.text")}
     if "n_chars" in row:

@@ -72,6 +72,15 @@ def test_substring_dedup_against_brute_force(spark):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def test_short_and_unspaced_lines_are_removed(spark):
+    from corpus_pipeline import repeated_lines
+
+    chinese, thai = "今天天气很好我们一起去公园散步然后回家吃饭" * 5, "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะ"
+    rows = [(1, f"{chinese}\nAll rights reserved.\n{thai}\n\nx"), (2, f"one\n{chinese}\n\n{thai}\nall  RIGHTS reserved.\ntwo")]
+    got = repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "one\n\ntwo"}
+
+
 # 2
 def brute_components(rows, n, percent):
     sets = {}
