@@ -59,7 +59,7 @@ def gram_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
     return _mixed((run[k:] - run[:-k]) * _UP[: n - k + 1])
 
 
-def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
+def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each ``w`` consecutive values, by doubling."""
     size, out = 1, x
     while 2 * size <= w:
@@ -80,7 +80,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
         h = gram_hashes(points[at : at + step + k + window - 2], k) >> _U(32)
         low = (1 << POS_BITS) - 1 - np.arange(len(h))
         packed = h << _U(POS_BITS) | low.astype(_U)
-        least = np.unique(_window_minima(packed, min(window, len(packed))))
+        least = np.unique(window_minima(packed, min(window, len(packed))))
         hashes.append((least >> _U(POS_BITS)).astype(np.uint32))
         places.append(at + (1 << POS_BITS) - 1 - (least & _U((1 << POS_BITS) - 1)).astype(np.int64))
     h, p = np.concatenate(hashes), np.concatenate(places)

@@ -8,12 +8,20 @@ text, in code points.
 Null text is empty, and an empty text has one empty unit, which is too short to be removed. A null ``doc_id``
 ranks before all others. Rows that repeat both ``doc_id`` and text count as one document and are treated alike.
 Empty tables give empty results. Other columns, whatever their names, are kept.
+
+``dedup_runs`` is finer: it removes every word of a run of ``RUN`` words that stood at an earlier place, wherever in its
+line the run begins and ends; a first place stays whole where it overlaps its own repeat. Its words are lower-cased and cut at white space; each character of a script without
+spaces is one. A place is given away by the least hash of ``GRAM`` words in it (winnowing): two equal runs choose the same one, so only
+around chosen hashes that repeat are runs compared, and no run is missed.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -21,8 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.common import stored, whole_text
+from tamarisk.llm.fingerprints import BLOCK, POS_BITS, gram_hashes, window_minima
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
+#: Words of a run, and of the hashes chosen in it.
+RUN, GRAM = 50, 25
+
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD, _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+"), re.compile(f"[{_UNSPACED}]")
 
 
 def normal(unit: str) -> tuple[bytes, int]:
@@ -56,13 +70,19 @@ def unit_rows(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFr
     return rows.mapInArrow(run, "doc_id long, tie long, unit int, hi long, lo long")
 
 
-def repeats(units: DataFrame) -> DataFrame:
-    """``doc_id, tie, removed`` (positions of units) of the documents that lose something."""
+def repeats(units: DataFrame, length: int = 1) -> DataFrame:
+    """``doc_id, tie, removed`` (positions of units) of the documents that lose something.
+
+    Units of more than one position aren't repeats of a first one that they overlap.
+    """
     place = F.struct("doc_id", "tie", "unit")
     first = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     # written, so that the join deals both sides anew and adaptive execution can split a unit that very many places have
     first = stored(first.select("hi", "lo", "first"), "first-units")
     later = units.join(first, ["hi", "lo"]).where(~place.eqNullSafe(F.col("first")))
+    if length > 1:
+        own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
+        later = later.where(~(own & (F.col("unit") < F.col("first.unit") + length)))
     return later.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("unit")).alias("removed"))
 
 
@@ -108,3 +128,138 @@ def dedup_documents(docs: DataFrame, unit: str = "line", min_words: int = 1) ->
     if "n_chars" in row:
         row["n_chars"] = F.length("kept.text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[row[c].alias(c) for c in docs.columns])
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """One hash a word of the lower-cased text."""
+    low = text.lower()
+    words = _WORD.findall(low) if _ANY_UNSPACED.search(low) else low.split()
+    return np.fromiter(map(_word_hash, words), np.uint64, len(words))
+
+
+def chosen_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams of ``GRAM`` words, and for each run of ``RUN`` words the place of its least one, the last of equals."""
+    if len(words) < RUN:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    step, window, mask = BLOCK // 2, RUN - GRAM + 1, (1 << POS_BITS) - 1
+    hashes = np.concatenate([gram_hashes(words[at : at + step + GRAM - 1], GRAM) for at in range(0, len(words) - GRAM + 1, step)])
+    places = []
+    for at in range(0, len(words) - RUN + 1, step):
+        h = hashes[at : at + step + window - 1] >> np.uint64(32)
+        packed = h << np.uint64(POS_BITS) | (mask - np.arange(len(h))).astype(np.uint64)
+        places.append(at + mask - (window_minima(packed, window) & np.uint64(mask)).astype(np.int64))
+    return hashes, np.concatenate(places)
+
+
+def gram_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, tie, unit, h`` of the chosen grams; ``unit`` is the first word's place."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                hashes, places = chosen_grams(word_hashes(text.as_py()))
+                if len(places):
+                    at = np.unique(places)
+                    columns = [pa.array([doc_id] * len(at), pa.int64()), pa.array([tie] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(hashes[at].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "unit", "h"])
+
+    return _keyed(docs).mapInArrow(_packed(run), "doc_id long, tie long, unit int, h long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("tie"), whole_text().alias("text"))
+
+
+def _packed(run):
+    """``run`` with its small batches put together."""
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 50_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        # workers are used again by later stages
+        del held
+        _word_hash.cache_clear()
+        pa.default_memory_pool().release_unused()
+
+    return packed
+
+
+def run_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, tie, unit, hi, lo`` of the runs whose chosen gram stands at several places of the corpus."""
+    grams = stored(gram_rows(docs), "grams")
+    again = stored(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-grams")
+    marks = grams.join(again, "h").groupBy("doc_id", "tie").agg(F.collect_set("unit").alias("marks"))
+    marks = stored(marks.select(F.col("doc_id").alias("mk"), F.col("tie").alias("mt"), "marks"), "marks")
+    rows = _keyed(docs)
+    rows = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("mk")) & (F.col("tie") == F.col("mt"))).select("doc_id", "tie", "text", "marks")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, tie, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                words = word_hashes(text.as_py())
+                at = np.flatnonzero(np.isin(chosen_grams(words)[1], found.values.to_numpy()))
+                for k in range(0, len(at), 50_000):
+                    part = at[k : k + 50_000]
+                    d = [xxhash.xxh3_128_intdigest(words[i : i + RUN].tobytes()) for i in part.tolist()]
+                    hi, lo = [(x >> 64) - (1 << 63) for x in d], [(x & (1 << 64) - 1) - (1 << 63) for x in d]
+                    columns = [pa.array([doc_id] * len(part), pa.int64()), pa.array([tie] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "unit", "hi", "lo"])
+
+    return stored(rows.mapInArrow(_packed(run), "doc_id long, tie long, unit int, hi long, lo long"), "runs")
+
+
+def without_runs(text: str, starts: list[int]) -> str:
+    """``text`` without the words of the runs that begin at the given words (ascending)."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    parts: list[list[int]] = []
+    for i in starts:
+        if parts and i <= parts[-1][1]:
+            parts[-1][1] = i + RUN
+        else:
+            parts.append([i, i + RUN])
+    out, at = [], 0
+    for i, j in parts:
+        begin, end = spans[i][0], spans[j - 1][1]
+        after = spans[j][0] if j < len(spans) else len(text)
+        if "\n" not in text[end:after]:
+            end = after
+        if (not begin or text[begin - 1] == "\n") and text[end : end + 1] == "\n":
+            end += 1
+        elif begin > at and text[begin - 1] == "\n" and end == len(text):
+            begin -= 1
+        out.append(text[at:begin])
+        # what stood on different lines stays so
+        if begin and text[begin - 1] != "\n" and "\n" in text[begin:end] and text[end : end + 1] not in ("", "\n"):
+            out.append("\n")
+        at = end
+    return "".join(out) + text[at:]
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """The documents without runs of ``RUN`` words that stand at an earlier place, ``n_chars`` (where there is one) recounted."""
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, removed: pa.Array) -> pa.Array:
+        return pa.array([t.as_py() if not gone.is_valid else without_runs(t.as_py(), gone.as_py()) for t, gone in zip(text, removed)], pa.string())
+
+    gone = stored(repeats(run_rows(docs), RUN), "repeated-runs")
+    gone = gone.select(F.col("doc_id").alias("gk"), F.col("tie").alias("gh"), "removed")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"), F.xxhash64(whole_text()).alias("h"))
+    both = rows.join(gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("h") == F.col("gh")), "left")
+    both = both.select("row", cut(F.coalesce("row.text", F.lit("")), "removed").alias("kept"))
+    row = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("kept")}
+    if "n_chars" in row:
+        row["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[row[c].alias(c) for c in docs.columns])

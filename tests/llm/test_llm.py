@@ -81,6 +81,35 @@ def test_short_and_unspaced_lines_are_removed(spark):
     assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "one\n\ntwo"}
 
 
+def test_runs_inside_lines_against_brute_force(spark):
+    from corpus_pipeline import repeated_lines
+    from tamarisk.llm.substring_dedup import RUN, dedup_runs
+
+    rng = random.Random(4)
+    some = lambda n: [f"W{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [some(n) for n in (49, 50, 51, 70, 210)]
+    chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
+    rows = [(i, " ".join(sum((some(rng.randint(1, 40)) + rng.choice(passages) for _ in range(3)), []) + some(5))) for i in range(40)]
+    rows += [(40, " ".join(["a", "b", "c"] * 60)), (41, f"前{chinese}後"), (42, f"x{chinese}y"), (43, ""), (44, None), (None, rows[0][1]), (0, rows[0][1])]
+    cut = lambda i, t: list(t) if i in (41, 42) else t.split()
+    seen, want = {}, {}
+    for i, t in sorted(((i, t or "") for i, t in set(rows)), key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, gone = cut(i, t), set()
+        for k in range(len(w) - RUN + 1):
+            run = tuple(x.lower() for x in w[k : k + RUN])
+            j, at = seen.setdefault(run, (i, k))
+            gone |= set(range(k, k + RUN)) if j != i or at + RUN <= k else set()
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup_runs(docs).collect()
+    assert len(got) == len(rows) and {r.doc_id: cut(r.doc_id, r.text) for r in got} == want
+    assert want[42] == ["x", "y"] and len(want[40]) == 51
+    p = " ".join(passages[4])
+    lined = [(1, f"one {p} two"), (2, f"three {p.replace(' ', chr(10), 1)} four\nfive")]
+    got = repeated_lines(spark, spark.createDataFrame(lined, "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {1: lined[0][1], 2: "three \nfour\nfive"}
+
+
 # 2
 def brute_components(rows, n, percent):
     sets = {}
