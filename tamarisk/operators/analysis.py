@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
+from tamarisk.operators.quality import IDENTIFIER_MARKS
+from tamarisk.plans.lineage import cut
 
 
 def robustness(scores: DataFrame, intent: str, variant: str, label: str, value: str) -> DataFrame:
@@ -109,18 +111,20 @@ def tree(units: DataFrame, doc: str, section: str, unit: str) -> DataFrame:
     return docs.unionByName(sections).unionByName(leaves)
 
 
-def tree_faults(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """``node_id, fault``: orphans, whose parent isn't there, and nodes that reach no root within ``depth`` steps."""
+def tree_faults(nodes: DataFrame) -> DataFrame:
+    """``node_id, fault``: orphans, whose parent isn't there, and nodes that reach no root.
+
+    Steps double each round (where a node's step leads, that one's step is taken too) until every walk has ended or is
+    longer than there are nodes, which only a cycle can make it.
+    """
     known = nodes.select(F.col("node_id").alias("parent_id")).distinct()
     orphans = nodes.where("parent_id is not null").join(known, "parent_id", "left_anti").select("node_id", F.lit("orphan").alias("fault"))
-    up = nodes.select(F.col("node_id").alias("at"), F.col("parent_id").alias("next"))
-    walk = nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("at"))
-    for _ in range(max(1, depth.bit_length())):
-        # the step doubles: where a node's step leads, that one's step is taken too
-        hop = up.select(F.col("at"), F.col("next"))
-        walk = walk.join(hop, "at").where("next is not null").select("node_id", F.col("next").alias("at"))
-        up = up.alias("x").join(up.alias("y"), F.col("x.next") == F.col("y.at"), "left").select(F.col("x.at").alias("at"), F.col("y.next").alias("next"))
-    return orphans.unionByName(walk.select("node_id", F.lit("cycle").alias("fault")).distinct())
+    up = cut(nodes.where("parent_id is not null").join(known, "parent_id", "left_semi").select("node_id", F.col("parent_id").alias("at")))
+    reach, n = 1, nodes.count()
+    while reach <= n and not up.isEmpty():
+        up = cut(up.alias("x").join(up.alias("y"), F.col("x.at") == F.col("y.node_id")).select(F.col("x.node_id").alias("node_id"), F.col("y.at").alias("at")))
+        reach *= 2
+    return orphans.unionByName(up.select("node_id", F.lit("cycle").alias("fault")).distinct())
 
 
 def page_route(text_length: Column, images: Column, suspicious: Column, few: int = 5, short: int = 80) -> Column:
@@ -136,7 +140,7 @@ def scope_matches(scope: Column, title: Column) -> Column:
 
 def separators_kept(text: Column, normal: Column) -> Column:
     """Whether separators inside identifiers (a digit on a side) are the same before and after normalising."""
-    found = lambda c: F.regexp_extract_all(c, F.lit(r"(?<=[0-9])[-/.:]|[-/.:](?=[0-9])"), F.lit(0))
+    found = lambda c: F.regexp_extract_all(c, F.lit(IDENTIFIER_MARKS), F.lit(0))
     return found(text) == found(normal)
 
 
@@ -179,7 +183,10 @@ def resolved_spans(frame: DataFrame, text: str, piece: str) -> DataFrame:
 
 
 def upload_segments(text: str, limit: int = 18_000, most: int = 5) -> list[tuple[int, int]]:
-    """Paragraph-wise segments of at most ``limit`` characters, broken at the last space that fits; too many are an error."""
+    """Paragraph-wise segments of at most ``limit`` characters, broken at the last space that fits.
+
+    ``most`` is the upload's limit: longer texts are refused with an error, never shortened.
+    """
     out, at = [], 0
     while at < len(text):
         end = min(at + limit, len(text))

@@ -5,38 +5,40 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Digits, names of months, numerals and units as the source language writes them.
-DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "0123456789" * 2)
+from tamarisk.operators.labels import TEN_WORDS, UNIT_WORDS, ascii_digits, ordinal_of
+
+#: Names of months, numerals, units, currencies and the words that end a regulation's name, as the source language writes them.
 MONTHS = {
     "يناير": 1, "فبراير": 2, "مارس": 3, "أبريل": 4, "ابريل": 4, "مايو": 5, "يونيو": 6, "يوليو": 7, "أغسطس": 8, "اغسطس": 8,
     "سبتمبر": 9, "أكتوبر": 10, "اكتوبر": 10, "نوفمبر": 11, "ديسمبر": 12,
+}
+HIJRI_MONTHS = {
     "محرم": 1, "صفر": 2, "ربيع الأول": 3, "ربيع الاول": 3, "ربيع الآخر": 4, "ربيع الاخر": 4, "جمادى الأولى": 5, "جمادى الاولى": 5,
     "جمادى الآخرة": 6, "جمادى الاخرة": 6, "رجب": 7, "شعبان": 8, "رمضان": 9, "شوال": 10, "ذو القعدة": 11, "ذو الحجة": 12,
 }
-NUMERALS = {
-    "واحد": 1, "واحدة": 1, "اثنان": 2, "اثنين": 2, "ثلاثة": 3, "ثلاث": 3, "أربعة": 4, "أربع": 4, "خمسة": 5, "خمس": 5, "ستة": 6, "ست": 6,
-    "سبعة": 7, "سبع": 7, "ثمانية": 8, "ثمان": 8, "تسعة": 9, "تسع": 9, "عشرة": 10, "عشر": 10, "خمسة عشر": 15, "خمس عشرة": 15,
-    "عشرين": 20, "ثلاثين": 30, "أربعين": 40, "خمسين": 50, "ستين": 60, "سبعين": 70, "ثمانين": 80, "تسعين": 90, "مائة": 100, "مئة": 100,
-    "مائة وثمانين": 180, "مئة وثمانين": 180, "خمسمائة": 500, "خمسة آلاف": 5000, "عشرة آلاف": 10000,
+ONES = {
+    "واحد": 1, "واحدة": 1, "أحد": 1, "إحدى": 1, "اثنان": 2, "اثنين": 2, "اثنتان": 2, "اثنتين": 2, "اثنا": 2, "اثني": 2, "ثلاثة": 3, "ثلاث": 3,
+    "أربعة": 4, "أربع": 4, "خمسة": 5, "خمس": 5, "ستة": 6, "ست": 6, "سبعة": 7, "سبع": 7, "ثمانية": 8, "ثماني": 8, "ثمان": 8, "تسعة": 9, "تسع": 9,
 }
+TEN, HUNDRED, THOUSAND = ("عشرة", "عشر"), ("مائة", "مئة"), ("آلاف", "الاف", "ألف", "الف")
+TENS = {"عشرين": 20, "ثلاثين": 30, "أربعين": 40, "خمسين": 50, "ستين": 60, "سبعين": 70, "ثمانين": 80, "تسعين": 90}
+HUNDREDS = {"خمسمائة": 500, "خمسمئة": 500}
 UNITS = {
-    "day": ("يوم", "يوماً", "يومًا", "يوما", "أيام", "ايام", "أياماً"), "month": ("شهر", "شهراً", "شهرًا", "شهرا", "أشهر", "اشهر"),
-    "year": ("سنة", "سنةً", "سنوات", "عام", "أعوام"),
-}
-DUAL_UNITS = {"يومين": "day", "شهرين": "month", "سنتين": "year", "عامين": "year"}
-ORDINALS = {
-    "الأولى": 1, "الاولى": 1, "الثانية": 2, "الثالثة": 3, "الرابعة": 4, "الخامسة": 5, "السادسة": 6, "السابعة": 7, "الثامنة": 8,
-    "التاسعة": 9, "العاشرة": 10, "الحادية": 1,
+    "day": ("يومين", "يوماً", "يومًا", "يوما", "يوم", "أياماً", "أيامًا", "أياما", "أيام", "ايام", "روزاً", "روزا", "روز"),
+    "month": ("شهرين", "شهراً", "شهرًا", "شهرا", "شهر", "أشهر", "اشهر"),
+    "year": ("سنتين", "سنةً", "سنة", "سنوات", "عامين", "عام", "أعوام"),
 }
-TENS = {"العشرون": 20, "العشرين": 20, "الثلاثون": 30, "الثلاثين": 30, "الأربعون": 40, "الأربعين": 40, "الخمسون": 50, "الخمسين": 50}
-CURRENCY = r"(?:SAR|ريال(?:\s+سعودي)?|ر\.س)"
+ALONE = {"يوم": "1 day", "يوم واحد": "1 day", "شهر": "1 month", "شهر واحد": "1 month", "شهرين": "2 month", "سنة": "1 year", "سنة واحدة": "1 year", "سنتين": "2 year"}
+CURRENCY = r"(?:SAR|ريال(?:\s+سعودي)?|ر\.س|ربال|ريإل|ربإل)"
+REGULATIONS = ("نظام", r"اللائحة\s+التنفيذية")
+NOT_OF_A_NAME = ("بعد", "دون", "دعوى", "جواب", "الجلسة", "على", "من", "في", "قبل", "المالي", "كيفية")
 
 _N = r"[\d٠-٩۰-۹]"
-_LETTER = "[ء-ي]"
+_L = "[ء-ي]"
 
 
 def _any(words) -> str:
@@ -44,17 +46,24 @@ def _any(words) -> str:
 
 
 _UNIT_OF = {w: u for u, ws in UNITS.items() for w in ws}
+_WORDS = {**ONES, **TENS, **HUNDREDS, **dict.fromkeys(TEN, 10), **dict.fromkeys(HUNDRED, 100)}
+_NUMERAL = rf"(?:{_any(_WORDS)})(?:\s*و?(?:{_any([*_WORDS, *THOUSAND])}))*"
+_AMOUNT = rf"(?:{_N}[\d٠-٩۰-۹\s.,٬٫]*|{_NUMERAL})"
+_TENS_OF = [*TEN_WORDS, *(w.removesuffix("ون") + "ين" for w in TEN_WORDS)]
+_ORDINAL = rf"(?:{_any(UNIT_WORDS)})(?:\s+(?:{_any(TEN)})|\s+و(?:{_any(_TENS_OF)}))?|(?:{_any(_TENS_OF)})"
+_MARKS = "[‎‏]*"
 PATTERNS = {
-    "date": re.compile(rf"{_N}{{1,2}}\s*[/\-.]\s*{_N}{{1,2}}\s*[/\-.]\s*{_N}{{4}}\s*(?:هـ|ه)?|{_N}{{1,2}}\s+(?:{_any(MONTHS)})\s+{_N}{{4}}\s*(?:هـ|ه)?"),
-    "money": re.compile(rf"(?:{_N}[\d٠-٩۰-۹\s.,٬٫]*|(?:{_any(NUMERALS)}))\s*{CURRENCY}", re.I),
-    "percentage": re.compile(rf"(?:{_N}[\d٠-٩۰-۹\s.,٬٫]*|(?:{_any(NUMERALS)}))\s*(?:%|٪|في\s+المائة)"),
-    "duration": re.compile(rf"(?<!{_LETTER})(?:\(?\s*(?:{_N}+|{_any(NUMERALS)})\s*\)?\s*(?:{_any(_UNIT_OF)})|{_any(DUAL_UNITS)})(?!{_LETTER})"),
-    "article": re.compile(rf"(?<!{_LETTER})(?:و)?الم(?:ادة|اده)\s*(?:\(?\s*{_N}+\s*\)?|(?:{_any(ORDINALS)})(?:\s+(?:عشرة|عشر)|\s+و(?:{_any(TENS)}))?|(?:{_any(TENS)}))(?!{_LETTER})"),
+    "date": re.compile(rf"{_N}{{1,2}}\s*[/\-.]\s*{_N}{{1,2}}\s*[/\-.]\s*{_N}{{4}}\s*(?:هـ|ه)?"),
+    "duration": re.compile(
+        rf"(?<!{_L})(?:{_MARKS}\)\s*{_N}+\s*\({_MARKS}\s*(?:{_any(_UNIT_OF)})|\(?\s*(?:{_N}+|{_NUMERAL})\s*\)?\s*(?:{_any(_UNIT_OF)})|{_any(ALONE)})(?!{_L})"
+    ),
+    "money": re.compile(rf"{_AMOUNT}\s*{CURRENCY}", re.I),
+    "percentage": re.compile(rf"{_AMOUNT}\s*(?:%|٪|في\s+المائة)"),
+    "article": re.compile(rf"(?:(?<!{_L})|(?<=و))الم(?:ادة|اده)\s*(?:\(\s*(?:{_N}+|{_ORDINAL})\s*\)|{_N}+|{_ORDINAL})(?!{_L})"),
 }
-
-
-def ascii_digits(text: str) -> str:
-    return text.translate(DIGITS)
+_REGULATION = re.compile(rf"(?<!{_L})(?:{'|'.join(REGULATIONS)})(?!{_L})")
+_NAME = re.compile(rf"(?:\s+(?!(?:{_any(NOT_OF_A_NAME)})(?!{_L})){_L}+){{1,6}}")
+TYPES = {"date": "temporal", "duration": "temporal", "money": "monetary", "percentage": "percentage", "article": "article", "regulation": "regulation"}
 
 
 def plain_number(raw: str) -> str | None:
@@ -74,84 +83,166 @@ def plain_number(raw: str) -> str | None:
     return (whole.lstrip("0") or "0") + dot + rest
 
 
+def numeral(words: str) -> int | None:
+    """Ones, teens, tens, hundreds and thousands, joined by and or not."""
+    tokens = re.findall(rf"و?(?:{_any([*_WORDS, *THOUSAND])})", words)
+    if not tokens or re.sub(r"\s", "", words) != "".join(tokens):
+        return None
+    done = now = 0
+    for t in tokens:
+        w = t if t in _WORDS or t in THOUSAND else t[1:]
+        if w in THOUSAND:
+            done, now = done + (now or 1) * 1000, 0
+        elif w in HUNDRED and 1 <= now <= 9:
+            now *= 100
+        else:
+            now += _WORDS[w]
+    return done + now
+
+
 def number_of(raw: str) -> str | None:
     """Digits or a numeral."""
     got = plain_number(raw)
     if got is None:
-        value = NUMERALS.get(re.sub(r"\s+", " ", raw).strip(" ()"))
-        got = None if value is None else str(value)
+        n = numeral(raw.strip(" ()"))
+        got = None if n is None else str(n)
     return got
 
 
-def date_value(raw: str) -> tuple[str | None, str]:
-    """(yyyy-mm-dd, status); no calendar is converted, and days or months out of range are partial."""
-    s = ascii_digits(raw)
-    m = re.search(r"(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{4})", s)
-    if m:
-        d, mo, y = map(int, m.groups())
-    else:
-        m = re.search(rf"(\d{{1,2}})\s+({_any(MONTHS)})\s+(\d{{4}})", s)
-        if not m:
-            return None, "unresolved"
-        d, mo, y = int(m[1]), MONTHS[re.sub(r"\s+", " ", m[2])], int(m[3])
-    return (f"{y:04d}-{mo:02d}-{d:02d}", "normalized") if 1 <= d <= 31 and 1 <= mo <= 12 else (None, "partial")
+Value = tuple[str | None, str, str | None]
+
 
+def date_value(raw: str) -> Value:
+    """(yyyy-mm-dd, status, calendar); no calendar is converted, and days or months out of range are partial.
 
-def _with_number(unit: str) -> Callable[[str], tuple[str | None, str]]:
-    def value(raw: str) -> tuple[str | None, str]:
+    Numeric dates are of the lunar calendar if marked so; dates with a month's name also from the year 1300 on.
+    """
+    s = ascii_digits(raw)
+    m = re.search(r"(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{4})\s*(هـ|ه)?", s)
+    if m:
+        d, mo, y = (int(m[i]) for i in (1, 2, 3))
+        calendar = "hijri" if m[4] else "gregorian"
+        return (f"{y:04d}-{mo:02d}-{d:02d}", "normalized", calendar) if 1 <= d <= 31 and 1 <= mo <= 12 else (None, "partial", calendar)
+    m = re.search(rf"(\d{{1,2}})\s+({_any([*MONTHS, *HIJRI_MONTHS])})\s+(\d{{4}})(\s*(?:هـ|ه))?", s)
+    if not m:
+        return None, "unresolved", None
+    name, y = re.sub(r"\s+", " ", m[2]), int(m[3])
+    return f"{y:04d}-{MONTHS.get(name) or HIJRI_MONTHS[name]:02d}-{int(m[1]):02d}", "normalized", "hijri" if m[4] or y >= 1300 else "gregorian"
+
+
+def _with_number(unit: str) -> Callable[[str], Value]:
+    def value(raw: str) -> Value:
         n = number_of(re.sub(rf"\s*(?:{CURRENCY}|%|٪|في\s+المائة)\s*$", "", raw, flags=re.I))
-        return (n + unit, "normalized") if n else (None, "unresolved")
+        return (n + unit, "normalized", None) if n else (None, "unresolved", None)
 
     return value
 
 
-def duration_value(raw: str) -> tuple[str | None, str]:
-    s = raw.strip()
-    if s in DUAL_UNITS:
-        return f"2 {DUAL_UNITS[s]}s", "normalized"
-    m = re.fullmatch(rf"\(?\s*(.+?)\s*\)?\s*({_any(_UNIT_OF)})", s)
+def duration_value(raw: str) -> Value:
+    s = re.sub(r"\s+", " ", raw.strip(" ‎‏"))
+    if s in ALONE:
+        return ALONE[s], "normalized", None
+    m = re.fullmatch(rf"[()]?\s*(.+?)\s*[()]?{_MARKS}\s*({_any(_UNIT_OF)})", s)
     n = m and number_of(m[1])
-    return (f"{n} {_UNIT_OF[m[2]]}{'' if n == '1' else 's'}", "normalized") if n else (None, "unresolved")
+    if not n:
+        return None, "unresolved", None
+    n = str(int(n)) if n.isdigit() else n
+    return f"{n} {_UNIT_OF[m[2]]}{'' if n == '1' else 's'}", "normalized", None
 
 
-def article_value(raw: str) -> tuple[str | None, str]:
+def article_value(raw: str) -> Value:
     s = re.sub(r"^و?الم(?:ادة|اده)\s*", "", raw.strip()).strip(" ()")
     digits = ascii_digits(s)
-    if digits.isdigit():
-        return str(int(digits)), "normalized"
-    words = re.sub(r"\s+", " ", s).split(" ")
-    n = ORDINALS.get(words[0], TENS.get(words[0]))
-    if n is not None and len(words) == 2:
-        n += 10 if words[1] in ("عشرة", "عشر") else TENS.get(words[1].removeprefix("و"), 0)
-    return (str(n), "normalized") if n else (None, "unresolved")
+    n = int(digits) if digits.isdigit() else ordinal_of(s)
+    return (str(n), "normalized", None) if n is not None else (None, "unresolved", None)
 
 
-VALUES: dict[str, Callable[[str], tuple[str | None, str]]] = {
-    "date": date_value, "money": _with_number(" SAR"), "percentage": _with_number("%"), "duration": duration_value, "article": article_value,
+VALUES: dict[str, Callable[[str], Value]] = {
+    "date": date_value, "duration": duration_value, "money": _with_number(" SAR"), "percentage": _with_number("%"), "article": article_value,
+    "regulation": lambda raw: (raw, "partial", None),
 }
 
 
+def regulations(text: str) -> list[tuple[int, int]]:
+    """Places of named regulations: up to six words behind a word for one, to the first that can't be of a name.
+
+    After the shorter word a single word must have the article.
+    """
+    out = []
+    for m in _REGULATION.finditer(text):
+        name = _NAME.match(text, m.end())
+        words = name.group().split() if name else []
+        if words and (m.group() != REGULATIONS[0] or len(words) > 1 or words[0].startswith("ال")):
+            out.append((m.start(), name.end()))
+    return out
+
+
 def spans_of(text: str) -> list[dict]:
     """All candidates of a text in order; a span is listed once, under the first kind that finds it."""
+    places = {kind: [m.span() for m in pattern.finditer(text)] for kind, pattern in PATTERNS.items()} | {"regulation": regulations(text)}
     seen: dict[tuple[int, int], dict] = {}
-    for kind, pattern in PATTERNS.items():
-        for m in pattern.finditer(text):
-            raw = m.group().rstrip()
-            key = (m.start(), m.start() + len(raw))
-            if raw and key not in seen:
-                value, status = VALUES[kind](raw)
-                seen[key] = {"kind": kind, "start": key[0], "end": key[1], "raw": raw, "value": value, "status": status}
+    for kind, spans in places.items():
+        for start, end in spans:
+            if (start, end) not in seen:
+                raw = text[start:end]
+                value, status, calendar = VALUES[kind](raw)
+                if kind == "date" and status == "unresolved":
+                    value, status, calendar = duration_value(raw)
+                seen[start, end] = {"kind": kind, "type": TYPES[kind], "start": start, "end": end, "raw": raw, "value": value, "status": status, "calendar": calendar}
     return [seen[k] for k in sorted(seen)]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, start, end, raw, value, status, label``; labels number a document's candidates of each kind."""
+_SPAN = pa.struct([("kind", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("raw", pa.string()), ("value", pa.string()), ("status", pa.string()), ("calendar", pa.string())])
+
+
+def candidate_spans(text: Column) -> Column:
+    @F.arrow_udf("array<struct<kind:string,type:string,start:int,end:int,raw:string,value:string,status:string,calendar:string>>")
+    def find(texts: pa.Array) -> pa.Array:
+        return pa.array([spans_of(t or "") for t in texts.to_pylist()], pa.list_(_SPAN))
 
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: spans_of(t or ""))
+    return find(text)
 
-    find.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    udf = F.pandas_udf(find, "array<struct<kind:string,start:int,end:int,raw:string,value:string,status:string>>")
-    rows = docs.select("doc_id", F.explode(udf("text")).alias("c")).select("doc_id", "c.*")
-    n = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("start", "end"))
-    return rows.withColumn("label", F.concat(F.upper(F.substring("kind", 1, 1)), F.lpad(n.cast("string"), 3, "0")))
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """``doc_id, kind, type, start, end, raw, value, status, calendar, label``; labels number a document's candidates of each type.
+
+    Numbers are given in the array of a document's spans, so nothing is shuffled.
+    """
+    rows = docs.select("doc_id", candidate_spans(F.col("text")).alias("all"))
+    rows = rows.select("doc_id", "all", F.posexplode("all").alias("at", "c"))
+    n = F.size(F.filter(F.slice("all", F.lit(1), F.col("at") + 1), lambda x: x["type"] == F.col("c.type")))
+    return rows.select("doc_id", "c.*", F.concat(F.upper(F.substring("c.type", 1, 1)), F.lpad(n.cast("string"), 3, "0")).alias("label"))
+
+
+def extracted(docs: DataFrame) -> DataFrame:
+    """One row a document: its text's digest, all candidates, and those that refer to articles and to regulations."""
+    c = F.struct("label", "type", "start", "end", "raw", "value", "status", "calendar")
+    rows = candidates(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", c.alias("c")))).alias("all"))
+    of = lambda kind: F.transform(F.filter("all", lambda x: x["c"]["type"] == kind), lambda x: x["c"]["label"])
+    got = rows.select(F.col("doc_id").alias("k"), F.transform("all", lambda x: x["c"]).alias("candidates"), of("article").alias("articles"), of("regulation").alias("regulations"))
+    out = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint")).join(got, F.col("doc_id").eqNullSafe(F.col("k")), "left")
+    empty = lambda name, like: F.coalesce(name, F.array().cast(like)).alias(name)
+    return out.select("doc_id", "fingerprint", "candidates", empty("articles", "array<string>"), empty("regulations", "array<string>"))
+
+
+def rules_of(proposed: DataFrame, known: DataFrame) -> DataFrame:
+    """Proposed rules checked against a document's candidates: ``doc_id, place, modality, group, accepted, reason``.
+
+    ``proposed``: ``doc_id, place, modality, text, start, end, unit_text, refs``; a rule stands if its text is what the unit has
+    between start and end, and every label it refers to is among ``known(doc_id, label)``. ``group`` sorts them into
+    obligations, prohibitions, permissions and other rules.
+    """
+    labels = known.groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
+    rows = proposed.join(labels, "doc_id", "left")
+    exact = F.col("text") == F.expr("substring(unit_text, start + 1, end - start)")
+    stray = F.size(F.array_except(F.coalesce("refs", F.array().cast("array<string>")), F.coalesce("labels", F.array().cast("array<string>")))) > 0
+    reason = F.when(~F.coalesce(exact, F.lit(False)), "span_not_exact").when(stray, "unknown_reference")
+    m = F.lower("modality")
+    group = F.when(m == "obligation", "obligations").when(m == "prohibition", "prohibitions").when(m == "permission", "permissions").otherwise("others")
+    return rows.select("doc_id", "place", "modality", group.alias("group"), reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def labelled(rows: DataFrame, by: list[str], kind: str, order: list[str]) -> DataFrame:
+    """``label``: a running number of each kind within a group, in order."""
+    n = F.row_number().over(Window.partitionBy(*by, kind).orderBy(*order))
+    return rows.withColumn("label", F.concat(F.upper(F.substring(kind, 1, 1)), F.lpad(n.cast("string"), 3, "0")))

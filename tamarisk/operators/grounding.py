@@ -87,15 +87,30 @@ def requested_jurisdictions(query: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*marks))))
 
 
-def answerability(query: Column, allowed: list[str], evidence: Column, confidence: Column, least: float = 0.0, status_known: Column | None = None, conflicting: Column | None = None, superseded: Column | None = None) -> Column:
-    """The first reason that holds against answering, or null."""
+def answerability(
+    query: Column, allowed: list[str], evidence: Column, confidence: Column, least: float = 0.0, status_known: Column | None = None, conflicting: Column | None = None,
+    superseded: Column | None = None, active: str | None = None, context: Column | None = None, required: bool = False,
+) -> Column:
+    """The first reason that holds against answering, or null.
+
+    ``active`` is the jurisdiction served (of a single allowed one, that); ``context`` an array of those that the evidence
+    names: several, or several asked for, are ambiguous, and so is none served where one is ``required``.
+    """
     no = F.lit(False)
+    active = active or (allowed[0] if len(allowed) == 1 else None)
     asked = requested_jurisdictions(query)
-    outside = F.size(F.array_except(asked, F.array(*map(F.lit, allowed)))) > 0
+    one = F.get(asked, F.lit(0))
+    known = F.array(*[F.lit(x) for x in sorted(set(JURISDICTIONS.values()))])
+    plain = F.coalesce(context if context is not None else F.lit(None), F.array().cast("array<string>"))
+    of = F.array_distinct(F.transform(plain, lambda x: F.when(F.array_contains(known, F.upper(x)), F.upper(x)).otherwise(x)))
+    ambiguous = (F.size(of) > 1) | (F.size(asked) > 1) | F.lit(required and active is None)
+    elsewhere = (F.size(of) == 1) & (F.get(of, F.lit(0)) != F.lit(active) if active else F.lit(True))
+    outside = one.isNotNull() & (((one != F.lit(active)) if active else F.lit(True)) | (~one.isin(*allowed) if allowed else no))
     return (
         F.when(F.trim(F.coalesce(query, F.lit(""))) == "", "requested_info_not_found")
         .when(query.rlike(ADVICE_EN) | query.rlike(ADVICE_AR), "personalized_legal_advice")
-        .when(outside, "jurisdiction_mismatch")
+        .when(ambiguous, "jurisdiction_ambiguous")
+        .when(elsewhere | outside, "jurisdiction_mismatch")
         .when(conflicting if conflicting is not None else no, "conflicting_evidence")
         .when(superseded if superseded is not None else no, "superseded_source")
         .when(query.rlike(CURRENT) & ~(status_known if status_known is not None else no), "currentness_unverified")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarisk.operators.sampling import prefix_sums
+
 
 def judged(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """One row a judged query: its hits within k and its ideal, as sums. A query without ranking has none."""
@@ -124,10 +126,9 @@ def percentile_nearest(column: str, p: float) -> Column:
 
 
 def percentile_floor(frame: DataFrame, by: list[str], column: str, ps: dict[str, float], place: Callable[[Column, float], Column]) -> DataFrame:
-    """Percentiles by place in the sorted values: ``place(n, p)`` gives it, from 0. Values are ranked, not collected."""
-    order = Window.partitionBy(*by).orderBy(column)
-    rows = frame.where(F.col(column).isNotNull()).select(*by, column, F.row_number().over(order).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    return rows.groupBy(*by).agg(*[F.max(F.when(F.col("_r") == place(F.col("_n"), p) + 1, F.col(column))).alias(name) for name, p in ps.items()])
+    """Percentiles by place in the sorted values: ``place(n, p)`` gives it, from 0. Values are ranked by ranges, not collected."""
+    rows = prefix_sums(frame.where(F.col(column).isNotNull()).select(*by, column), by, [column])
+    return rows.groupBy(*by).agg(*[F.max(F.when(F.col("_before") == place(F.col("_total"), p), F.col(column))).alias(name) for name, p in ps.items()])
 
 
 def word_errors(pairs: DataFrame, reference: str, candidate: str) -> DataFrame:

@@ -1,15 +1,23 @@
-"""Greedy choices whose next step depends on the last: each runs over one bounded group."""
+"""Greedy choices whose next step depends on the last: each runs over one bounded group (a page, or a reduced one)."""
 
 from __future__ import annotations
 
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def diverse(frame: DataFrame, by: str, fields: list[str], key: str, n: int, seed: int | str) -> DataFrame:
-    """Of each group n rows, each time the one with most values not yet seen; ties by seeded digest. ``pick`` from 1."""
+    """Of each group n rows, each time the one with most values not yet seen; ties by seeded digest. ``pick`` from 1.
+
+    Rows with the same values only differ in their digest, so of each combination of a group no more than the first n can be
+    picked; those alone meet in a task.
+    """
+    chance = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    first = F.row_number().over(Window.partitionBy(by, *fields).orderBy(chance))
+    frame = frame.withColumn("_first", first).where(F.col("_first") <= n).drop("_first")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left = {i: (tuple(r), hashlib.sha256(f"{seed}:{k}".encode()).hexdigest()) for i, (r, k) in enumerate(zip(pdf[fields].astype(str).itertuples(index=False), pdf[key]))}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
+from tamarisk.plans.lineage import cut
 
 #: Patterns of personal data in a cell. A digit next to a phone number, or a letter or digit next to an IBAN, would make
 #: it something else, so the neighbours are part of the pattern and not of the match.
@@ -80,39 +82,78 @@ def collision_groups(frame: DataFrame, key: str, column: str, policy: str, top:
     return groups.where("raw_forms > 1").orderBy(F.desc("units"), "form").limit(top)
 
 
+def text_classes(frame: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, class``: rows of equal text share the least key; rows without text are left out."""
+    rows = frame.where(F.col(column).isNotNull() & (F.length(column) > 0)).select(F.col(key).alias("key"), F.sha2(column, 256).alias("h"))
+    first = cut(rows.groupBy("h").agg(F.min("key").alias("class")))
+    return rows.join(first, "h").select("key", "class")
+
+
 def near_duplicate_texts(frame: DataFrame, key: str, column: str, least: float = 0.96) -> DataFrame:
-    """Pairs ``a, b, ratio`` of texts alike by twice the matched characters over all, by longest matching blocks.
+    """Pairs ``a, b, ratio`` of distinct texts alike by twice the matched characters over all, by longest matching blocks.
 
-    Candidates lose nothing: at a ratio of at least ``least`` two texts have close lengths and so few unmatched
-    characters, each spoiling one word at most, that among so many of a text's rarest words one is also in the other.
-    Texts with too few words for that bound are probed with all of them; verification is exact.
+    Texts stand for their ``text_classes``, so copies aren't paired. Candidates lose nothing: at a ratio of at least
+    ``least`` two texts have close lengths and so few unmatched characters, each spoiling one word at most, that among so
+    many of a text's rarest words one is also in the other. Texts with too few words for that bound are probed with all of
+    them; verification is exact.
     """
     from difflib import SequenceMatcher
 
-    import pandas as pd
+    classes = text_classes(frame, key, column).where("key = class").select(F.col("class").alias("k")).distinct()
+    t = frame.select(F.col(key).alias("k"), F.col(column).alias("t")).dropDuplicates(["k"]).join(classes, "k", "left_semi")
 
-    t = frame.where(F.col(column).isNotNull() & (F.length(column) > 0)).select(F.col(key).alias("k"), F.col(column).alias("t"))
+    @F.arrow_udf("double")
+    def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([SequenceMatcher(None, x.as_py(), y.as_py(), autojunk=False).ratio() for x, y in zip(a, b)], pa.float64())
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
-
-    ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    ratio_udf = F.pandas_udf(ratio, "double")
     words = F.array_distinct(T.words(F.lower("t")))
     rows = t.select("k", "t", F.length("t").alias("n"), F.explode_outer(words).alias("w"))
     rare = rows.groupBy("w").agg(F.count("*").alias("df"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("k").orderBy("df", "w"))
-    size = F.count("*").over(Window.partitionBy("k"))
-    kept = rows.join(rare, "w").withColumn("place", place).withColumn("size", size)
+    kept = rows.join(rare, "w").withColumn("place", place)
     # a ratio of at least r leaves at most (1 - r) (n + m) characters unmatched, each of which spoils one word at most
     allowed = F.ceil((1 - least) * F.col("n") * 2 / least) + 1
     probes = kept.where(F.col("place") <= allowed).select("k", "n", "w")
     x, y = probes.selectExpr("k as a", "n as na", "w"), probes.selectExpr("k as b", "n as nb", "w")
     pairs = x.join(y, "w").where(f"a < b and 2 * least(na, nb) >= {least} * (na + nb)").select("a", "b").distinct()
     both = pairs.join(t.selectExpr("k as a", "t as ta"), "a").join(t.selectExpr("k as b", "t as tb"), "b")
-    return both.withColumn("ratio", ratio_udf("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", F.round("ratio", 8).alias("ratio"))
+    return both.withColumn("ratio", ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", F.round("ratio", 8).alias("ratio"))
+
+
+def change_ratio(before: Column, after: Column) -> Column:
+    """Places at which two texts differ, and the longer one's rest, by the longer one's length."""
+    a, b = F.split(before, ""), F.split(after, "")
+    n, m = F.length(before), F.length(after)
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: F.coalesce(e, F.lit(False))))
+    return F.when(F.greatest(n, m) == 0, 0.0).otherwise((F.greatest(n, m) - F.when(F.least(n, m) == 0, 0).otherwise(same)) / F.greatest(n, m, F.lit(1)))
+
+
+def policy_diagnosis(frame: DataFrame, column: str, policy: str) -> DataFrame:
+    """One row on what a normal form does to a corpus: change of characters and tokens, vocabulary kept, and collisions."""
+    rows = frame.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), T.normalised(F.col(column), policy).alias("y"))
+    toks = lambda c: F.array_join(T.tokens(F.col(c)), "\x1f")
+    change = rows.agg(F.count("*").alias("units"), F.round(F.avg(change_ratio(F.col("x"), F.col("y"))), 8).alias("character_change"), F.round(F.avg(change_ratio(toks("x"), toks("y"))), 8).alias("token_change"))
+    size = lambda c: rows.select(F.explode(T.tokens(F.col(c))).alias("t")).agg(F.count_distinct("t").alias(f"v_{c}"))
+    forms = rows.groupBy(F.sha2("y", 256).alias("form")).agg(F.count("*").alias("n"), F.count_distinct(F.sha2("x", 256)).alias("raw"))
+    met = F.col("raw") > 1
+    collisions = forms.agg(F.count_if(met).alias("collision_groups"), F.round(F.avg(met.cast("double")), 8).alias("form_collision_rate"), F.round(F.coalesce(F.sum(F.when(met, F.col("n"))), F.lit(0)) / F.sum("n"), 8).alias("unit_collision_rate"))
+    out = change.crossJoin(size("x")).crossJoin(size("y")).crossJoin(collisions)
+    return out.select("units", "character_change", "token_change", F.round(1 - F.col("v_y") / F.greatest("v_x", F.lit(1)), 8).alias("vocabulary_compression"), "collision_groups", "form_collision_rate", "unit_collision_rate")
+
+
+def normal_form_gate(frame: DataFrame, column: str, policy: str, most_collisions: float = 0.01) -> DataFrame:
+    """One row: whether a normal form settles (twice is once), keeps identifiers' separators and collides seldom."""
+    y = T.normalised(F.col(column), policy)
+    rows = frame.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), y.alias("y")).withColumn("z", T.normalised(F.col("y"), policy))
+    kept = F.regexp_extract_all("x", F.lit(IDENTIFIER_MARKS), F.lit(0)) == F.regexp_extract_all("y", F.lit(IDENTIFIER_MARKS), F.lit(0))
+    counts = rows.agg(F.count("*").alias("units"), F.count_if(F.col("y") != F.col("z")).alias("unsettled"), F.count_if(~kept).alias("unsafe"))
+    forms = rows.groupBy(F.sha2("y", 256).alias("f")).agg(F.count_distinct(F.sha2("x", 256)).alias("raw"))
+    rate = forms.agg(F.round(F.avg((F.col("raw") > 1).cast("double")), 8).alias("collisions"))
+    return counts.crossJoin(rate).withColumn("eligible", (F.col("unsettled") == 0) & (F.col("unsafe") == 0) & (F.coalesce("collisions", F.lit(0.0)) <= most_collisions))
+
+
+#: Separators inside identifiers, with a digit on a side.
+IDENTIFIER_MARKS = r"(?<=[0-9])[-/.:]|[-/.:](?=[0-9])"
 
 
 def violations(frame: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarisk.operators.graph import components
 from tamarisk.plans.lineage import cut
 
 
@@ -12,6 +15,26 @@ def chance(key: str, seed: int | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
 
 
+def prefix_sums(frame: DataFrame, by: list[str], order: list[str], value: str | None = None) -> DataFrame:
+    """``frame`` with ``_before`` (rows, or the sum of ``value``, ahead of a row in its group) and ``_total`` of the group.
+
+    Rows are dealt by ranges of group and order, so a group of any size spans tasks; only sums a range and group are put
+    in one order, and a window within a range has a range's rows.
+    """
+    v = F.lit(1).cast("long") if value is None else F.col(value)
+    dealt = cut(frame.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "_range").agg(F.sum(v).alias("_sum"))
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"), F.sum("_sum").over(group).alias("_total"))
+    within = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_within", F.coalesce(F.sum(v).over(within), F.lit(0)))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(sums, same).select(*frame.columns, (F.col("_base") + F.col("_within")).alias("_before"), "_total")
+
+
 def hash_top(frame: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
     """The n rows whose seeded digest is least: a sampling operator, so its limit is the feature."""
     return frame.orderBy(chance(key, seed), key).limit(n)
@@ -19,13 +42,12 @@ def hash_top(frame: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
 
 def even_sample(frame: DataFrame, by: list[str], key: str, m: int) -> DataFrame:
     """Of each group of n > m rows in key order those at places floor(i (n - 1) / (m - 1)); smaller groups whole."""
-    w = Window.partitionBy(*by)
-    rows = frame.withColumn("_r", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count("*").over(w))
+    rows = prefix_sums(frame, by, [key])
     if m == 1:
-        return rows.where("_r = 0").drop("_r", "_n")
-    near = F.ceil(F.col("_r") * (m - 1) / (F.col("_n") - 1))
-    chosen = (F.floor(near * (F.col("_n") - 1) / (m - 1)) == F.col("_r")) & (near <= m - 1)
-    return rows.where((F.col("_n") <= m) | chosen).drop("_r", "_n")
+        return rows.where("_before = 0").drop("_before", "_total")
+    near = F.ceil(F.col("_before") * (m - 1) / (F.col("_total") - 1))
+    chosen = (F.floor(near * (F.col("_total") - 1) / (m - 1)) == F.col("_before")) & (near <= m - 1)
+    return rows.where((F.col("_total") <= m) | chosen).drop("_before", "_total")
 
 
 def round_robin(frame: DataFrame, bucket: str, key: str, n: int, seed: int | str) -> DataFrame:
@@ -50,20 +72,29 @@ def quotas(frame: DataFrame, group: str, total: int) -> DataFrame:
 
 def interleaved(frame: DataFrame, group: str, key: str) -> DataFrame:
     """Rows with ``share``: ordering by it and the group takes from each group in proportion to its size."""
-    w = Window.partitionBy(group)
-    return frame.withColumn("share", F.round((F.row_number().over(w.orderBy(key)) - 1) / F.count("*").over(w), 9))
+    rows = prefix_sums(frame, [group], [key])
+    return rows.select(*frame.columns, F.round(F.col("_before") / F.col("_total"), 9).alias("share"))
 
 
 def hash_split(frame: DataFrame, category: str, key: str, share: float = 0.7) -> DataFrame:
     """``split`` dev or holdout: in each category the first max(1, min(n - 1, round(share n))) by digest are dev.
 
-    Rounding is half to even. A category of one row is dev.
+    Rounding is half to even. A category of one row is dev. Rows are counted by the digest's first letters; only those
+    that share the last dev row's letters are ranked, so no category has to be put in one order.
     """
-    w = Window.partitionBy(category)
-    rank = F.row_number().over(w.orderBy(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), key))
-    n = F.count("*").over(w)
-    cut = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * share).cast("long")))
-    return frame.withColumn("split", F.when(rank <= cut, "dev").otherwise("holdout"))
+    rows = frame.withColumn("_h", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8)).withColumn("_p", F.substring("_h", 1, 3))
+    counts = rows.groupBy(category, "_p").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(category)
+    n = F.sum("c").over(whole)
+    last = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * share).cast("long")))
+    before = F.coalesce(F.sum("c").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("last", last).withColumn("before", before).where("before < last and before + c >= last")
+    edge = edge.select(F.col(category).alias("_c"), F.col("_p").alias("_edge"), (F.col("last") - F.col("before")).alias("_left"))
+    rows = rows.join(edge, F.col(category).eqNullSafe(F.col("_c")))
+    near = F.row_number().over(Window.partitionBy(category, "_p").orderBy("_h", key))
+    ranked = rows.where("_p = _edge").withColumn("split", F.when(near <= F.col("_left"), "dev").otherwise("holdout"))
+    others = rows.where("_p != _edge").withColumn("split", F.when(F.col("_p") < F.col("_edge"), "dev").otherwise("holdout"))
+    return ranked.unionByName(others).select(*frame.columns, "split")
 
 
 def length_bins(frame: DataFrame, column: str) -> DataFrame:
@@ -72,39 +103,38 @@ def length_bins(frame: DataFrame, column: str) -> DataFrame:
     return frame.crossJoin(F.broadcast(cuts)).withColumn("bin", F.when(F.col(column) <= F.col("a"), "short").when(F.col(column) <= F.col("b"), "medium").otherwise("long")).drop("a", "b")
 
 
-def linked_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``id, component`` (least id) of the vertices of ``a, b``, by repeated contraction.
-
-    Vertices join their least neighbour, edges move to what their ends became, and the maps are composed; each round at
-    least halves the vertices that still have edges. Rounds are written as checkpoints.
-    """
-    edges = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = cut(edges)
-    labels = None
-    for _ in range(rounds):
-        ends = edges.selectExpr("a as id", "a as m").union(edges.selectExpr("b as id", "a as m"))
-        step = cut(ends.groupBy("id").agg(F.min("m").alias("m")))
-        if labels is None:
-            labels = step.withColumnRenamed("m", "component")
-        else:
-            labels = labels.join(step.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("m", "component").alias("component"))
-        moved = edges.join(step.selectExpr("id as a", "m as x"), "a").join(step.selectExpr("id as b", "m as y"), "b").where("x != y")
-        edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
-
-
 def component_split(edges: DataFrame, share: float = 1 / 3) -> DataFrame:
     """``id, component, split``: whole components go to ``test`` until ``share`` of the vertices is reached, in hash order.
 
     Components over the target are always ``train``; of the rest, in order of digest, those whose running sum of sizes
     stays within the target are ``test``.
     """
-    members = linked_components(edges)
+    members = cut(components(edges))
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    target = F.bround(F.sum("n").over(Window.partitionBy()) * share)
-    sizes = sizes.withColumn("target", target)
-    fit = sizes.where("n <= target").withColumn("run", F.sum("n").over(Window.orderBy(F.sha2(F.col("component").cast("string"), 256), "component").rowsBetween(Window.unboundedPreceding, 0)))
-    test = fit.where("run <= target").select("component", F.lit("test").alias("split"))
+    target = int(Decimal(members.count() * share).to_integral_value())
+    fit = prefix_sums(sizes.where(F.col("n") <= target).withColumn("all", F.lit(0)).withColumn("h", F.sha2(F.col("component").cast("string"), 256)), ["all"], ["h", "component"], "n")
+    test = fit.where(F.col("_before") + F.col("n") <= target).select("component", F.lit("test").alias("split"))
     return members.join(test, "component", "left").select("id", "component", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def first_per_group(frame: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """All rows of the n least keys of each group; groups with fewer keys have ``short`` true.
+
+    Keys are collapsed before they are ranked, so a group's rows don't meet in one task.
+    """
+    keys = prefix_sums(frame.select(group, key).distinct(), [group], [key])
+    chosen = keys.where(F.col("_before") < n).select(F.col(group).alias("_g"), F.col(key).alias("_k"), (F.col("_total") < n).alias("short"))
+    return frame.join(chosen, F.col(group).eqNullSafe(F.col("_g")) & F.col(key).eqNullSafe(F.col("_k"))).drop("_g", "_k")
+
+
+def challenge(frame: DataFrame, key: str, variants: dict[str, Column], total: int, seed: int | str) -> DataFrame:
+    """``phenomenon, key, query, place``: of each way of disturbing a text, its share of ``total`` rows to which it applies.
+
+    Shares are equal, the first ways take the remainder; rows are chosen by seeded digest: a sampling operator.
+    """
+    least, extra = divmod(total, len(variants))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("phenomenon"), F.lit(least + (i < extra)).alias("quota"), query.alias("query")) for i, (name, query) in enumerate(variants.items())])
+    rows = frame.select(F.col(key).alias("key"), F.explode(each).alias("v")).select("key", "v.*").where("query is not null")
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "phenomenon", F.col("key").cast("string")), 256)
+    places = prefix_sums(rows.withColumn("_h", order), ["i", "phenomenon"], ["_h", "key"])
+    return places.where("_before < quota").select("phenomenon", "key", "query", F.col("_before").cast("int").alias("place"))

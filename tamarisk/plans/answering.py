@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarisk.operators import fusion, grounding, lexical
+from tamarisk.operators import dense, fusion, grounding, lexical
 from tamarisk.plans.lineage import cut
 
 
@@ -19,22 +19,32 @@ class Settings:
     budget: int = 4000
     sentences: int = 2
     jurisdictions: tuple[str, ...] = ("SA",)
+    #: Size of the vectors that ``dense_ranking`` makes where no encoder is given.
+    dimension: int = 64
 
 
-def retrieved(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Two rankings fused and reranked by shared terms: ``query_id, doc_id, provenance, score, rerank_score, rank``."""
+def dense_ranking(corpus: DataFrame, queries: DataFrame, k: int, encoder=None, dimension: int = 64) -> DataFrame:
+    """``query_id, doc_id, score, rank`` of texts by any encoder's vectors; hashed words where none is given."""
+    encoder = encoder or dense.hashed_encoder(dimension)
+    docs = dense.encoded(corpus.select(F.col("doc_id").alias("id"), "text"), encoder, dimension)
+    asked = dense.encoded(queries.select(F.col("query_id").alias("id"), "text"), encoder, dimension)
+    return dense.dense_top_k(docs, asked, k)
+
+
+def retrieved(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(), encoder=None) -> DataFrame:
+    """A lexical and a dense ranking fused and reranked by shared terms: ``query_id, doc_id, provenance, score, rerank_score, rank``."""
     sparse = lexical.top_k(lexical.bm25(corpus, queries), settings.depth)
-    second = lexical.top_k(lexical.jaccard(corpus, queries), settings.depth)
+    second = dense_ranking(corpus, queries, settings.depth, encoder, settings.dimension)
     fused = fusion.reciprocal_rank_fusion(sparse, second, 1.0, settings.dense_weight, depth=settings.depth)
     texts = fused.join(queries.withColumnRenamed("text", "query"), "query_id").join(corpus.select("doc_id", "text"), "doc_id")
     scored = texts.withColumn("rerank_score", lexical.overlap_score(F.col("query"), F.col("text")).cast("long")).drop("query", "text")
     return fusion.reranked(scored, serve=settings.serve).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
-def answers(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def answers(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(), encoder=None) -> DataFrame:
     """``query_id, outcome, answer, citations`` of every question: refused by a rule, abstained, or answered with lines
     that were found word by word in the documents they cite."""
-    ranked = retrieved(corpus, queries, settings).select("query_id", "doc_id", "rank")
+    ranked = retrieved(corpus, queries, settings, encoder).select("query_id", "doc_id", "rank")
     cost = corpus.select("doc_id", F.length("text").cast("long").alias("cost"))
     # a few rows a question, read by all that follows
     held = cut(grounding.within_budget(ranked.join(cost, "doc_id"), "query_id", ["rank", "doc_id"], "cost", settings.budget).where("admitted"))

@@ -11,5 +11,8 @@ def cut(frame: DataFrame) -> DataFrame:
     """Lineage cut by a reliable checkpoint in the session's shared folder."""
     sc = frame.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarisk-"))
+        shared = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tamarisk-"))
     return frame.checkpoint()

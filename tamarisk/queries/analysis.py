@@ -30,7 +30,9 @@ def robustness_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.robustness(li.select("l_orderkey", "variant_id", "l_returnflag", "l_quantity"), "l_orderkey", "variant_id", "l_returnflag", "l_quantity")
 
 
-@query(f"WITH {_DENSE}, a AS (SELECT query_id, doc_id, score, {_TOP} AS rank FROM dense QUALIFY rank <= 10) SELECT count(*) AS places, 0 AS mismatches, 0.0::DOUBLE AS largest_gap, true AS within FROM a")
+@query(f"""WITH {_DENSE}, a AS (SELECT query_id, doc_id, score, {_TOP} AS rank FROM dense QUALIFY rank <= 10),
+slow AS (SELECT x.vec_id AS query_id, y.vec_id AS doc_id, round(list_sum(list_transform(list_zip(x.v, y.v), lambda p: p[1] * p[2])), 10) AS score FROM vecs x, vecs y WHERE x.vec_id % 50 = 0), b AS (SELECT query_id, doc_id, score, {_TOP} AS rank FROM slow QUALIFY rank <= 10)
+SELECT count(*) AS places, count(*) FILTER (a.doc_id != b.doc_id) AS mismatches, round(max(abs(a.score - b.score)), 8) AS largest_gap, bool_and(abs(a.score - b.score) <= 1e-6) AS within FROM a JOIN b USING (query_id, rank)""")
 def index_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block products against single products by expressions."""
     from pyspark.sql import Window
@@ -43,7 +45,7 @@ def index_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = q.crossJoin(v).select("query_id", F.col("id").alias("doc_id"), F.round(dot, 10).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     slow = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    return analysis.ranking_parity(dense_ranking(spark, sf_dir, 10), slow)
+    return analysis.ranking_parity(dense_ranking(spark, sf_dir, 10), slow).withColumn("largest_gap", F.round("largest_gap", 8))
 
 
 @query()
@@ -127,11 +129,15 @@ def scope_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", analysis.scope_matches(F.col("p_name"), F.col("p_type")).alias("matches"))
 
 
-@query("SELECT doc_id, true AS kept FROM documents")
+@query(r"""WITH t AS (SELECT doc_id, text || ' no. ' || doc_id || '-' || n_chars || CASE WHEN doc_id % 3 = 0 THEN ' -' || doc_id ELSE '' END AS x FROM documents), y AS (SELECT doc_id, x, trim(regexp_replace(x, '\s+', ' ', 'g')) AS y FROM t)
+SELECT doc_id, regexp_extract_all(x, '[0-9][-/.:]') = regexp_extract_all(y, '[0-9][-/.:]') AND regexp_extract_all(x, '[-/.:][0-9]') = regexp_extract_all(y, '[-/.:][0-9]') AS kept, len(regexp_extract_all(y, '[0-9][-/.:]')) + len(regexp_extract_all(y, '[^0-9][-/.:][0-9]')) AS marks FROM y""")
 def identifier_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the light normal form leaves the separators of identifiers alone."""
-    d = corpus(spark, sf_dir)
-    return d.select("doc_id", analysis.separators_kept(F.col("text"), T.normalised(F.col("text"), "light")).alias("kept"))
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    x = F.concat("text", F.lit(" no. "), k, F.lit("-"), F.col("n_chars").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" -"), k)).otherwise(""))
+    d = d.select("doc_id", x.alias("x")).withColumn("y", T.normalised(F.col("x"), "light"))
+    marks = F.size(F.regexp_extract_all("y", F.lit("[0-9][-/.:]"), F.lit(0))) + F.size(F.regexp_extract_all("y", F.lit("[^0-9][-/.:][0-9]"), F.lit(0)))
+    return d.select("doc_id", analysis.separators_kept(F.col("x"), F.col("y")).alias("kept"), marks.cast("long").alias("marks"))
 
 
 @query(r"""WITH w AS MATERIALIZED (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM conversations),

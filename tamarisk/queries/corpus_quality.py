@@ -61,16 +61,30 @@ def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_profile(corpus(spark, sf_dir), "text", ["lang", "source"])
 
 
-@query(r"""SELECT sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS form, count(*) AS units, count(DISTINCT sha256(text)) AS raw_forms FROM documents
+@query(r"""SELECT sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS form, count(*) AS units, count(DISTINCT sha256(text)) AS raw_forms FROM (SELECT text FROM documents UNION ALL SELECT replace(text, ' ', '  ') FROM documents WHERE doc_id % 10 = 0)
 GROUP BY 1 HAVING count(DISTINCT sha256(text)) > 1 ORDER BY units DESC, form LIMIT 10""")
 def collision_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.collision_groups(corpus(spark, sf_dir), "doc_id", "text", "aggressive")
+    """Documents and, beside some, the same with wider spaces."""
+    d = corpus(spark, sf_dir).select("doc_id", "text")
+    wider = d.where("doc_id % 10 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.replace("text", F.lit(" "), F.lit("  ")).alias("text"))
+    return quality.collision_groups(d.unionByName(wider), "doc_id", "text", "aggressive")
 
 
 @query()
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return quality.near_duplicate_texts(b, "item_id", "text")
+    """Benchmark passages, and beside each a copy and one with its last letters changed."""
+    return quality.near_duplicate_texts(passages_thrice(spark, sf_dir), "item_id", "text")
+
+
+def passages_thrice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    changed = F.concat(F.expr("left(text, length(text) - 3)"), F.lit("xyz"))
+    return b.unionByName(b.select((F.col("item_id") + 100_000).alias("item_id"), "text")).unionByName(b.select((F.col("item_id") + 200_000).alias("item_id"), changed.alias("text")))
+
+
+@query("WITH t AS (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 100000, text FROM benchmark UNION ALL SELECT item_id + 200000, left(text, length(text) - 3) || 'xyz' FROM benchmark) SELECT item_id AS key, min(item_id) OVER (PARTITION BY text) AS class FROM t WHERE length(text) > 0")
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_classes(passages_thrice(spark, sf_dir), "item_id", "text")
 
 
 _META = "orders JOIN customer ON o_custkey = c_custkey"
@@ -155,9 +169,13 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.alias("text")).select("doc_id", T.normalised(F.col("text"), "raw").alias("raw"), F.sha2(T.normalised(F.col("text"), "aggressive"), 256).alias("aggressive_sha"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, chr(65279))) AS bom_removed,
+@query(r"""WITH t AS (SELECT doc_id, text AS x, repeat('ـ', doc_id % 2) || repeat('َ', doc_id % 3) || repeat('أ', doc_id % 4) || repeat('ة', doc_id % 5) || repeat('٣', doc_id % 6) || repeat('؟', doc_id % 7) || text AS text FROM documents)
+SELECT doc_id, len(regexp_extract_all(x, chr(65279))) AS bom_removed,
   CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) != text THEN len(regexp_extract_all(text, '\s')) ELSE 0 END AS whitespace_mapped,
-  0 AS tatweel_removed, 0 AS diacritics_removed, 0 AS alef_mapped, 0 AS letters_mapped, 0 AS digits_mapped,
-  len(regexp_extract_all(text, '[،؛؟٪٫٬“”]')) AS punctuation_mapped FROM documents""")
+  doc_id % 2 AS tatweel_removed, doc_id % 3 AS diacritics_removed, doc_id % 4 AS alef_mapped, doc_id % 5 AS letters_mapped, doc_id % 6 AS digits_mapped,
+  doc_id % 7 + len(regexp_extract_all(x, '[،؛؟٪٫٬“”]')) AS punctuation_mapped FROM t""")
 def transform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in T.transform_counts(F.col("text")).items()])
+    """Of each document behind so many letters of each kind as its key tells."""
+    some = [F.repeat(F.lit(c), (F.col("doc_id") % n).cast("int")) for c, n in (("ـ", 2), ("َ", 3), ("أ", 4), ("ة", 5), ("٣", 6), ("؟", 7))]
+    d = corpus(spark, sf_dir).select("doc_id", F.concat(*some, "text").alias("text"))
+    return d.select("doc_id", *[c.cast("long").alias(k) for k, c in T.transform_counts(F.col("text")).items()])

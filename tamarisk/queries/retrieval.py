@@ -104,6 +104,23 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir)
 
 
+@query()
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 fused with a ranking by vectors of hashed words; tests hold the dense side against numpy."""
+    from tamarisk.plans.answering import dense_ranking as by_vectors
+
+    docs, asked = corpus(spark, sf_dir), benchmark(spark, sf_dir)
+    return fusion.reciprocal_rank_fusion(bm25_ranking(spark, sf_dir, 50), by_vectors(docs, asked, 50))
+
+
+@query()
+def hybrid_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and dense rankings fused, reranked and cut to what is served."""
+    from tamarisk.plans.answering import retrieved
+
+    return retrieved(corpus(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+
+
 @query((_FUSED % ("1.0::DOUBLE", "1.0::DOUBLE")).replace("<= 50", "<= 12") + f" SELECT query_id, doc_id, sparse_rank, dense_rank, score, provenance, {_TOP} AS rank FROM fused QUALIFY rank <= 8")
 def demo_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, d = bm25_ranking(spark, sf_dir, 12), jaccard_ranking(spark, sf_dir, 12)

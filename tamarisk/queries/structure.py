@@ -241,7 +241,7 @@ def diverse_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each nation's customers five that differ in segment and balance: a sampling operator."""
     from tamarisk.operators.picking import diverse
 
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment", F.expr("cast(c_acctbal div 2000 as int)").alias("band"))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 2000).cast("int").alias("band"))
     return diverse(c, "c_nationkey", ["c_mktsegment", "band"], "c_custkey", 5, 3)
 
 
