@@ -464,3 +464,22 @@ def test_selection_rules():
 
     assert chosen_form(0.5, 0.503, 0.5, 0.9) == "raw" and chosen_form(0.5, 0.6, 0.5, 0.5) == "light" and chosen_form(0.5, 0.6, 0.5, 0.4) == "raw"
     assert promoted([(0.03, 0.01)], [0.0], 0.02, 0.01) and not promoted([(0.03, -0.01)], [0.0], 0.02, 0.01) and not promoted([(0.03, 0.01)], [-0.02], 0.02, 0.01)
+
+
+def test_segments_and_anchors(spark):
+    from tamarisk.operators.discovery import anchored, segments_of, split_items, strata, unique_anchor
+
+    text = "  First sentence here. Second one؟ third\n\nline "
+    got = segments_of(text)
+    assert [s for _, _, s in got] == ["First sentence here.", "Second one؟", "third", "line"] and all(text[a:b] == s for a, b, s in got)
+    listed = " ['one \\'x\\'', \"two\"] "
+    assert [s for _, _, s in segments_of(listed)] == ["one 'x'", "two"] and all(listed[a] in "'\"" for a, _, _ in segments_of(listed))
+    assert unique_anchor("a b c", "bc") == ("unique", [2, 4]) and unique_anchor("aXa", "a") == ("ambiguous", []) and unique_anchor("a", "z") == ("missing", []) and unique_anchor("a", " ") == ("empty", [])
+    assert unique_anchor("كتـاب", "كتاب") == ("unique", [0, 1, 3, 4])
+    rows = spark.createDataFrame([("ab", "b", [[0.0, 0.0, 1.0, 1.0], [1.0, 0.0, 2.0, 3.0]]), ("ab", "b", []), (None, None, None)], "p string, w string, b array<array<double>>")
+    assert [tuple(r.anchor) for r in anchored(rows, "p", "w", "b").collect()] == [("unique", 1.0, 0.0, 2.0, 3.0), ("no_geometry", None, None, None, None), ("empty", None, None, None, None)]
+    d = spark.createDataFrame([("يجب دفع غرامة", "dev"), ("plain", "holdout"), ("المادة", "dev")], "t string, split string")
+    assert [r[0] for r in d.select(strata(F.col("t"))).collect()] == [["normative", "penalty"], ["low_signal"], ["low_signal"]]
+    assert split_items(d, "dev").count() == 2 and split_items(d, "holdout", opened=True).count() == 1
+    with pytest.raises(PermissionError):
+        split_items(d, "holdout")
