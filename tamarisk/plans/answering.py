@@ -33,7 +33,7 @@ def dense_ranking(corpus: DataFrame, queries: DataFrame, k: int, encoder=None, d
 
 def retrieved(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(), encoder=None) -> DataFrame:
     """A lexical and a dense ranking fused and reranked by shared terms: ``query_id, doc_id, provenance, score, rerank_score, rank``."""
-    sparse = lexical.top_k(lexical.bm25(corpus, queries), settings.depth)
+    sparse = lexical.bm25_top_k(corpus, queries, settings.depth)
     second = dense_ranking(corpus, queries, settings.depth, encoder, settings.dimension)
     fused = fusion.reciprocal_rank_fusion(sparse, second, 1.0, settings.dense_weight, depth=settings.depth)
     texts = fused.join(queries.withColumnRenamed("text", "query"), "query_id").join(corpus.select("doc_id", "text"), "doc_id")

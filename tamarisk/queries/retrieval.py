@@ -44,11 +44,11 @@ _JA50 = f"SELECT query_id, doc_id, {_TOP} AS rank FROM jaccard QUALIFY rank <= 5
 
 
 def bm25_ranking(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.top_k(lexical.bm25(corpus(spark, sf_dir), benchmark(spark, sf_dir)), k)
+    return lexical.bm25_top_k(corpus(spark, sf_dir), benchmark(spark, sf_dir), k)
 
 
 def jaccard_ranking(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.top_k(lexical.jaccard(corpus(spark, sf_dir), benchmark(spark, sf_dir)), k)
+    return lexical.jaccard_top_k(corpus(spark, sf_dir), benchmark(spark, sf_dir), k)
 
 
 def dense_ranking(spark: SparkSession, sf_dir: str, k: int, eligible: DataFrame | None = None) -> DataFrame:
@@ -68,8 +68,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, {_TOP} AS rank FROM bm25 WHERE lang IN ('de', 'fr') QUALIFY rank <= 10")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
-    scored = lexical.bm25(docs, benchmark(spark, sf_dir), eligible=docs.where(F.col("lang").isin("de", "fr")))
-    return lexical.top_k(scored, 10)
+    return lexical.bm25_top_k(docs, benchmark(spark, sf_dir), 10, eligible=docs.where(F.col("lang").isin("de", "fr")))
 
 
 @query(f"WITH {_JACCARD} SELECT query_id, doc_id, score, {_TOP} AS rank FROM jaccard QUALIFY rank <= 10")
