@@ -483,3 +483,44 @@ def test_segments_and_anchors(spark):
     assert split_items(d, "dev").count() == 2 and split_items(d, "holdout", opened=True).count() == 1
     with pytest.raises(PermissionError):
         split_items(d, "holdout")
+
+
+def test_grids_contexts_and_back_off(spark):
+    from tamarisk.operators import experiments as X, metrics
+    from tamarisk.queries.evaluation import gold_qrels
+    from tamarisk.queries.retrieval import bm25_ranking, jaccard_ranking
+    import __spark_entry__ as entry
+
+    sf, q = "/root/testdata/sf0.001", entry.queries()
+    grid = {(r.method, r.policy): r for r in q["lexical_grid"](spark, sf).collect()}
+    for name, rank in (("bm25", bm25_ranking), ("jaccard", jaccard_ranking)):
+        one = metrics.query_metrics(rank(spark, sf, 10), gold_qrels(spark, sf), 10).agg(F.round(F.avg("ndcg"), 8)).first()[0]
+        assert grid[name, "raw"].ndcg == grid[name, "light"].ndcg == one
+    d = q["candidate_diagnostics"](spark, sf).first()
+    assert 0 < d.candidate_recall <= 1 and abs(d.both + d.sparse_only + d.dense_only - 1) < 1e-6
+    assert sum(r.hits for r in q["relevant_by_provenance"](spark, sf).collect()) > 0
+    rows = q["assembled_context"](spark, sf).collect()
+    cost = {(f"{r.conv_id}/{r.turn}"): len(r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r.query_id, []).append(r)
+    for found in by.values():
+        left, want = 1500, set()
+        for r in sorted(found, key=lambda r: (r["rank"], r.doc_id, r.ordinal, r.unit_id)):
+            if cost[r.unit_id] <= left:
+                left -= cost[r.unit_id]
+                want.add(r.unit_id)
+        kept = [r for r in found if r.admitted]
+        assert {r.unit_id for r in kept} == want and sorted(r.label for r in kept) == [f"E{i:03d}" for i in range(1, len(kept) + 1)]
+        assert len({r.unit_id for r in found}) == len(found) and all(r.label is None for r in found if not r.admitted)
+    calls = []
+
+    def encoder(texts):
+        calls.append(len(texts))
+        if len(texts) > 3:
+            raise MemoryError
+        return [[float(len(t))] for t in texts]
+
+    assert [x[0] for x in X.backing_off(encoder)(["a" * i for i in range(8)])] == list(range(8)) and max(calls) == 8 and calls.count(2) == 4
+    e = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    assert X.returned_evidence(e, [2]).count() == 1 and X.returned_evidence(e, []).count() == 2
