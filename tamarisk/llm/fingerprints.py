@@ -16,12 +16,11 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import shuffle_parts, whole_text
+from tamarisk.llm.common import mapped, shuffle_parts, whole_text
 
 #: One window for all lengths, so that equal passages match across lengths; half of any text of 78 code points or more has a guaranteed hash.
 K, WINDOW = 24, 16
@@ -114,37 +113,36 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     Ranges of identifiers are dealt out whole, each with a copy of the next range's first document, so one exchange
     of the texts brings every document to its successor. The ranges' bounds and their greatest identifiers are one
-    row a range, which the driver holds.
+    row a range, which the driver holds; there are 10,000 ranges at most (or the session's shuffle partitions), larger ones on larger tables.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    n = shuffle_parts(spark, docs.count(), 20_000)
+    n = shuffle_parts(spark, docs.count(), 20_000, 10_000)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first().c if n > 1 else []
     cuts = np.array(sorted(set(cuts or [])), np.int64)
 
-    def parts(ids: list[str | None]) -> list[int]:
+    def parts(ids: list[int | None]) -> list[int]:
         """Part 0 holds the ids above the highest cut, and so on down; null ids are in the last."""
         low = np.iinfo(np.int64).min
-        return (len(cuts) - np.searchsorted(cuts, np.array([low if x is None else int(x) for x in ids], np.int64), "left")).tolist()
+        return (len(cuts) - np.searchsorted(cuts, np.array([low if x is None else x for x in ids], np.int64), "left")).tolist()
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(parts(list(ids)), dtype="int32")
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
+        return pa.array(parts(ids.to_pylist()), pa.int32())
 
-    as_text = F.col("doc_id").cast("string")  # null ids as such, others exactly
-    tops = [(r.part, r.top) for r in rows.groupBy(part_of(as_text).alias("part")).agg(F.max("doc_id").alias("top")).orderBy("part").collect()]
+    tops = [(r.part, r.top) for r in rows.groupBy(part_of("doc_id").alias("part")).agg(F.max("doc_id").alias("top")).orderBy("part").collect()]
     if not tops:
         return spark.createDataFrame([], SCHEMA)
     last = tops[-1][0]
     before = {top: tops[k - 1][0] for k, (_, top) in enumerate(tops)}
 
-    @F.pandas_udf("array<int>")
-    def dealt_to(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def dealt_to(ids: pa.Array) -> pa.Array:
         """Twice the part, and for a part's first id twice the part before it and one."""
-        found = list(ids)
-        return pd.Series([[2 * p, *([2 * before[x] + 1] if x in before else [])] for x, p in zip([x and int(x) for x in found], parts(found))])
+        found = ids.to_pylist()
+        return pa.array([[2 * p, *([2 * before[x] + 1] if x in before else [])] for x, p in zip(found, parts(found))], pa.list_(pa.int32()))
 
-    dealt = rows.select("doc_id", "text", F.explode(dealt_to(as_text)).alias("to"))
+    dealt = rows.select("doc_id", "text", F.explode(dealt_to("doc_id")).alias("to"))
     dealt = dealt.select("doc_id", "text", F.expr("to div 2").cast("int").alias("part"), F.expr("to % 2").alias("copy"))
     dealt = dealt.repartitionById(last + 1, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text")
 
@@ -170,4 +168,4 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), types)], names)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return mapped(dealt, run, SCHEMA)

@@ -11,19 +11,23 @@ Columns besides ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import whole_text
+from tamarisk.llm.common import mapped, whole_text
 from tamarisk.llm.tokens import encoder
 
 OPEN_BINS = 2048
 #: Documents that one packing task takes: enough that what stays open at its end is a small part.
 GROUP_DOCS = 8192
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+#: Beyond so many tasks, which a driver can plan, groups get larger instead.
+MOST_GROUPS = 20_000
+PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -70,25 +74,29 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, kind: str = "byte") -> DataFrame:
-    """Encode ``doc_id, text``, append ``end_id`` and cut what is longer than ``capacity``."""
+    """Encode ``doc_id, text``, append ``end_id`` and cut what is longer than ``capacity``.
+
+    ``ids`` are little-endian unsigned 16-bit integers; ``ids_crc32`` is taken of them as 32-bit ones.
+    """
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(kind, tokenizer), struct.pack("<H", end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(at, 1000), ([], [], [], [], [])
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = enc.encode(text.as_py()) + end
-                    for k, (s, n) in enumerate(cut(len(ids) // 2, capacity)):
-                        for col, v in zip(out, (doc_id, k, s, n, ids[2 * s : 2 * (s + n)])):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES)], _NAMES)
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = enc.encode(text.as_py()) + end
+                for k, (s, n) in enumerate(cut(len(ids) // 2, capacity)):
+                    part = ids[2 * s : 2 * (s + n)]
+                    crc = zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes())
+                    for col, v in zip(out, (doc_id, k, s, n, part, crc)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES)], _NAMES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(make, PIECES)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), make, PIECES)
 
 
-_NAMES = ["doc_id", "piece", "start", "length", "ids"]
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+_NAMES = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
 
 def pack(cut_pieces: DataFrame, n_docs: int, capacity: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -98,8 +106,8 @@ def pack(cut_pieces: DataFrame, n_docs: int, capacity: int = 2048, open_bins: in
     task, and are taken in the order of another hash: the same order whenever a task runs again, and unrelated to
     length, which a bounded number of open sequences needs.
     """
-    groups = max(1, round(n_docs / GROUP_DOCS))
-    deal = cut_pieces.withColumn("_at", F.xxhash64("doc_id", "piece", F.crc32("ids")))
+    groups = max(1, min(MOST_GROUPS, round(n_docs / GROUP_DOCS)))
+    deal = cut_pieces.withColumn("_at", F.xxhash64("doc_id", "piece", "ids_crc32"))
     deal = deal.repartition(groups, "_at").sortWithinPartitions(F.xxhash64("_at"), "doc_id", "piece").drop("_at")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +119,7 @@ def pack(cut_pieces: DataFrame, n_docs: int, capacity: int = 2048, open_bins: in
             new = [pa.array([base + b for b, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*_NAMES, "sequence_id", "offset"])
 
-    return deal.mapInArrow(place, PACKED)
+    return mapped(deal, place, PACKED)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:
@@ -127,16 +135,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    """The packed rows with ``ids_crc32`` (ids as unsigned 32-bit integers) in place of the ids."""
-
-    def crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        import numpy as np
-
-        for b in batches:
-            sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b.column(4).to_pylist()]
-            keep = [b.column(i) for i in (0, 1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sums, pa.int64()), b.column(5), b.column(6)], [*_NAMES[:4], "ids_crc32", "sequence_id", "offset"])
-
-    return packed.mapInArrow(crc, PACKED.replace("ids binary", "ids_crc32 long"))
+    """The packed rows without the ids, which ``ids_crc32`` stands for."""
+    return packed.drop("ids")

@@ -16,7 +16,6 @@ Null text is empty and encodes to no ids. Repeated rows give equal rows; empty t
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -26,30 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import whole_text
+from tamarisk.llm.common import Bounded, mapped, resident, whole_text
 
 MARK = "▁"
-CACHE_ENTRIES, LONG_WORD = 300_000, 64
+LONG_WORD = 64
 
 
 class PieceCodec:
     """Pieces of a model file; ``encode`` gives (ids, score), ``decode`` the text."""
 
     def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], unknown: int, unused: set[int] = frozenset(), dummy_prefix: bool = True) -> None:
-        import ahocorasick
-
         self.pieces, self.byte_ids, self.unknown, self.dummy_prefix = pieces, byte_ids, unknown, dummy_prefix
         self.byte_of = {i: b for b, i in byte_ids.items()}
-        self.automaton = ahocorasick.Automaton()
-        for i, (piece, score) in enumerate(pieces):
-            if piece and i not in unused and i not in self.byte_of and i != unknown:
-                self.automaton.add_word(piece, (len(piece), score, i))
-        self.automaton.make_automaton()
+        self.unused, self._automaton = unused, None
         ordinary = [p for i, (p, _) in enumerate(pieces) if i not in unused and i not in self.byte_of and i != unknown]
         self.letters = {p for p in ordinary if len(p) == 1}
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in ordinary)
         self.gap = min([s for _, s in pieces], default=0.0) - 10.0
-        self._known: dict[str, tuple[bytes, float]] = {}
+        self._known = Bounded()
 
     @classmethod
     def load(cls, path: str) -> PieceCodec:
@@ -62,6 +55,19 @@ class PieceCodec:
         unused = {i for i in range(n) if sp.is_control(i) or sp.is_unused(i)}
         return cls(pieces, byte_ids, sp.unk_id(), unused)
 
+    @property
+    def automaton(self):
+        """Of the ordinary pieces; decoding needs none."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for i, (piece, score) in enumerate(self.pieces):
+                if piece and i not in self.unused and i not in self.byte_of and i != self.unknown:
+                    self._automaton.add_word(piece, (len(piece), score, i))
+            self._automaton.make_automaton()
+        return self._automaton
+
     def normalised(self, text: str) -> str:
         return (MARK * self.dummy_prefix + text.replace(" ", MARK)) if text else ""
 
@@ -102,15 +108,13 @@ class PieceCodec:
             ids, score = self.viterbi(text)
             return array("i", ids), score
         known, out, total = self._known, array("i"), 0.0
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
         for word in _WORDS.findall(text):
             got = known.get(word)
             if got is None:
                 ids, score = self.viterbi(word)
                 got = array("i", ids).tobytes(), score
                 if len(word) <= LONG_WORD:
-                    known[word] = got
+                    known.put(word, got, len(got[0]) + 100)
             out.frombytes(got[0])
             total += got[1]
         return out, total
@@ -127,9 +131,8 @@ class PieceCodec:
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
-    return PieceCodec.load(path)
+    return resident(("pieces", path), lambda: PieceCodec.load(path))
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
@@ -144,7 +147,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
                 ids = pa.array([g[0].tobytes() for g in got], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([g[1] for g in got], pa.float64())], ["doc_id", "ids", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, ids binary, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, "doc_id long, ids binary, score double")
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -160,4 +163,4 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
             n, crc = pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, crc, batch.column(2), texts], names)
 
-    return encoded.select("doc_id", "ids", "score").mapInArrow(run, schema)
+    return mapped(encoded.select("doc_id", "ids", "score"), run, schema)

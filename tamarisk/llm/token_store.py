@@ -14,7 +14,7 @@ from __future__ import annotations
 import bisect
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import new_folder, reader, shuffle_parts, stored, whole_text, writer
+from tamarisk.llm.common import mapped, new_folder, reader, shuffle_parts, stored_map, whole_text, writer
 from tamarisk.llm.tokens import encoder
 
 MAGIC = b"TMRKSST1"
 BLOCK_BYTES = 64 * 1024
-SHARD_BYTES = 64 * 1024 * 1024
+SHARD_BYTES = 256 * 1024 * 1024
+#: Small shards are read several to a task, up to so many bytes.
+TASK_BYTES = 16 * 1024 * 1024
 BITS_PER_KEY, PROBES = 10, 7
 #: block index, filter: offset and length each; entries; ids; bytes of one id; magic
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -60,10 +62,17 @@ def get_varint(data, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh3_64_intdigest(key)
-    a, b = h & 0xFFFFFFFF, (h >> 32) | 1
-    return [(a + i * b) % bits for i in range(PROBES)]
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The filter's bits for each key's 64-bit hash, one row a probe."""
+    a, b = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
+    return (a + np.arange(PROBES, dtype=np.uint64)[:, None] * b) % np.uint64(bits)
+
+
+def bloom(hashes: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(-(-bits // 8), np.uint8)
+    for p in _probes(hashes, bits):
+        np.bitwise_or.at(out, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+    return out
 
 
 class ShardWriter:
@@ -73,11 +82,12 @@ class ShardWriter:
         self.out, self.id_bytes = out, id_bytes
         self.block, self.last, self.at = bytearray(), b"", 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.first = self.newest = None
+        self.hashes = array("Q")
         self.tokens = 0
 
     def add(self, key: bytes, value: bytes) -> None:
-        if self.keys and key < self.keys[-1]:
+        if self.newest is not None and key < self.newest:
             raise ValueError("keys must come in order")
         shared = 0
         while shared < len(self.last) and shared < len(key) and self.last[shared] == key[shared]:
@@ -86,8 +96,9 @@ class ShardWriter:
             put_varint(self.block, n)
         self.block += key[shared:]
         self.block += value
-        self.last = key
-        self.keys.append(key)
+        self.last = self.newest = key
+        self.first = key if self.first is None else self.first
+        self.hashes.append(xxhash.xxh3_64_intdigest(key))
         self.tokens += len(value) // self.id_bytes
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -107,15 +118,11 @@ class ShardWriter:
             index += key
             put_varint(index, at)
             put_varint(index, n)
-        bits = max(64, BITS_PER_KEY * len(self.keys))
-        bloom = np.zeros(-(-bits // 8), np.uint8)
-        for key in self.keys:
-            for p in _probes(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
-        filt = struct.pack("<Q", bits) + bloom.tobytes()
+        bits = max(64, BITS_PER_KEY * len(self.hashes))
+        filt = struct.pack("<Q", bits) + bloom(np.frombuffer(self.hashes, np.uint64), bits).tobytes()
         self.out.write(bytes(index) + filt)
         at = self.at
-        self.out.write(FOOTER.pack(at, len(index), at + len(index), len(filt), len(self.keys), self.tokens, self.id_bytes, MAGIC))
+        self.out.write(FOOTER.pack(at, len(index), at + len(index), len(filt), len(self.hashes), self.tokens, self.id_bytes, MAGIC))
 
 
 class Shard:
@@ -157,7 +164,8 @@ class Shard:
         return np.frombuffer(value, f"<u{self.id_bytes}")
 
     def may_have(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits))
+        at = _probes(np.array([xxhash.xxh3_64_intdigest(key)], np.uint64), self.bits)[:, 0].tolist()
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in at)
 
     def get(self, key: bytes) -> np.ndarray | None:
         """The ids of a document (of the first of its entries), or None."""
@@ -181,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kind
     """Encode ``doc_id, text`` and write shards in ascending id order; the manifest, in (part, shard) order of keys.
 
     One range exchange moves the texts; each task encodes its range in order and streams entries to the shard
-    that is open, so memory holds one Arrow batch and one block. A task that runs again writes a file of another
+    that is open, so memory holds one Arrow batch, one block, and a hash for each entry of the shard. A task that runs again writes a file of another
     name, and only files in the returned manifest count.
     """
     spark = docs.sparkSession
@@ -199,7 +207,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kind
         def close():
             w.close()
             opened.__exit__(None, None, None)
-            made.append((part, shard, path, w.keys[0], w.keys[-1], len(w.keys), w.tokens, w.at))
+            made.append((part, shard, path, w.first, w.newest, len(w.hashes), w.tokens, w.at))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -217,21 +225,23 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kind
         types = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], names)
 
-    return stored(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    return stored_map(rows, write, MANIFEST, "token-manifest")[0]
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, ids`` (ids as the stored bytes) of every entry, one task for each shard.
+    """``doc_id, start, ids`` (ids as the stored bytes) of every entry, a task for each shard or for several small ones.
 
-    The manifest has a row a shard of up to 64 MB, so its running sum of ids is kept by the driver.
+    The manifest has a row a shard (of 256 MB where a task has as much), and its running sum of ids is kept by the driver.
     """
-    shards, before = [], 0
-    for r in manifest.select("part", "shard", "path", "n_tokens").orderBy("part", "shard").toLocalIterator():
+    shards, before, size = [], 0, 0
+    for r in manifest.select("part", "shard", "path", "n_tokens", "n_bytes").orderBy("part", "shard").toLocalIterator():
         shards.append((r.path, before))
         before += r.n_tokens
+        size += r.n_bytes
     if not shards:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    listed = spark.createDataFrame(shards, "path string, before long").repartition(len(shards))
+    tasks = min(len(shards), max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES))
+    listed = spark.createDataFrame(shards, "path string, before long").repartition(tasks)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids"]
@@ -239,16 +249,18 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with reader(path) as f:
                     rows: list[tuple] = []
+                    held = 0
                     for key, ids in Shard(f).scan():
                         rows.append((id_of(key), start, len(ids), ids.astype("<u4").tobytes()))
                         start += len(ids)
-                        if len(rows) == 500:
+                        held += len(ids)
+                        if len(rows) == 2000 or held > 500_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROW)], names)
-                            rows = []
+                            rows, held = [], 0
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROW)], names)
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return mapped(listed, read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 _ROW = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]

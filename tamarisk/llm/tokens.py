@@ -1,19 +1,21 @@
 """Exact, cached byte-pair encoding for public tokenizer files.
 
 A text is cut at places where the file's own pre-tokenizer always cuts, so the ids of a text are the ids of
-its chunks in order; each distinct chunk is encoded once per worker and kept in a bounded table. Chunks
-outside the fast alphabet are encoded by the tokenizers library itself.
+its chunks in order; a distinct chunk's ids are kept in a table of bounded bytes. Chunks outside the fast alphabet
+are encoded by the tokenizers library itself, which is loaded when the first one comes.
+
+The spelling of a special token in a text is ordinary text, as with the library's ``encode_special_tokens``.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
 from array import array
 
-CACHE_ENTRIES = 400_000
+from tamarisk.llm.common import Bounded, resident
+
 LONG_CHUNK = 64
 
 _GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,7 +36,7 @@ class CachedEncoder:
     end_id: int
 
     def __init__(self) -> None:
-        self._known: dict[str, bytes] = {}
+        self._known = Bounded()
 
     def chunks(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -49,15 +51,13 @@ class CachedEncoder:
             return b"".join([known[p] for p in parts])
         except KeyError:
             pass
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
         out = []
         for p in parts:
             ids = known.get(p)
             if ids is None:
                 ids = array("H", self.fresh(p)).tobytes()
                 if len(p) <= LONG_CHUNK:
-                    known[p] = ids
+                    known.put(p, ids, len(ids))
             out.append(ids)
         return b"".join(out)
 
@@ -131,7 +131,7 @@ class WordBpe(CachedEncoder):
         self._bpe = tiktoken.Encoding("word_bpe", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._find = regex.compile(pattern).findall
-        self._library = _library(path)
+        self._path, self._library = path, None
 
     def chunks(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
@@ -140,12 +140,12 @@ class WordBpe(CachedEncoder):
         if not chunk:
             return []
         if max(chunk) >= self.FAST_BELOW:
+            self._library = self._library or _library(self._path)
             return self._library.encode(chunk, add_special_tokens=False).ids
         one, ids = self._bpe._core_bpe.encode_single_piece, self._ids
         return [ids[r] for p in self._find(unicodedata.normalize("NFC", chunk).lower()) for r in one(p.encode() + b"\xff")]
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(kind: str, path: str) -> CachedEncoder:
     """One encoder per worker and file; ``kind`` is 'byte' or 'word'."""
-    return {"byte": ByteBpe, "word": WordBpe}[kind](path)
+    return resident((kind, path), lambda: {"byte": ByteBpe, "word": WordBpe}[kind](path))
