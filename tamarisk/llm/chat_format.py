@@ -1,20 +1,25 @@
 """Preference formatting: what two conversations share is rendered once as prompt, the rest as masked completions.
 
 A turn is common when both sides have the same roles and texts under its number; the prompt is all turns before the
-first that isn't common. Output is one row a rendered turn, so no conversation, however long, has to fit one task:
-``part`` is prompt, chosen or rejected, ``trained`` marks the assistant's turns of a completion. Equal sides leave
-both completions empty.
+first that isn't common. ``preference_rows`` gives one row a rendered turn (``part``: prompt, chosen or rejected;
+``trained`` marks the assistant's turns of a completion), ``placed`` adds where it begins in its part's text, and
+``paired`` puts prompt, both completions and their masks side by side: one row a pair, and where a part is longer than
+``SEGMENT`` code points, further rows with what follows, so no conversation, however long, has to fit one row. Equal sides
+leave both completions empty.
 
 Null texts and roles are rendered as empty text and as ``user``; a null turn number comes before all others; repeated
-rows of a side count once; turns of one number are all kept, in order of role and text. A null ``pair_id`` is a pair
-like any other. Empty tables give no rows; other columns are ignored.
+rows of a side count once; turns of one number are all kept, in order of role and text; a long turn is rendered whole. A null
+``pair_id`` is a pair like any other. Empty tables give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Code points of a part after which the next segment begins, and turns whose lengths are summed before a pair's are.
+SEGMENT, BLOCK = 1_000_000, 1024
+
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
 
@@ -38,24 +43,40 @@ def preference_rows(sides: DataFrame) -> DataFrame:
     return parts.select("pair_id", "part", "turn", "role", rendered(F.col("role"), F.col("text")).alias("piece"), trained.alias("trained"))
 
 
-def assembled(rows: DataFrame) -> DataFrame:
-    """The strings of pairs of a bounded length: prompt, both completions, and each one's trained spans."""
-    turn = F.struct("turn", "role", "piece", "trained")
-    put = [F.sort_array(F.collect_list(F.when(F.col("part") == p, turn))).alias(f"turns_{p}") for p in ("prompt", "chosen", "rejected")]
-    sides = rows.groupBy("pair_id").agg(*put)
-    text = lambda p: F.array_join(F.transform(f"turns_{p}", lambda x: x["piece"]), "")
-
-    def spans(p: str) -> Column:
-        """Where each trained turn lies in its side's text."""
-        turns = F.col(f"turns_{p}")
-        before = lambda i: F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y["piece"]))
-        each = F.transform(turns, lambda x, i: F.struct(before(i).alias("start"), (before(i) + F.length(x["piece"])).alias("end"), x["trained"].alias("trained")))
-        return F.transform(F.filter(each, lambda x: x["trained"]), lambda x: x.dropFields("trained"))
-
-    out = [F.col("pair_id"), text("prompt").alias("prompt")]
-    for p in ("chosen", "rejected"):
-        out += [text(p).alias(p), spans(p).alias(f"{p}_trained")]
-    return sides.select(*out)
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``start``, a turn's place in its part's text.
+
+    Lengths are summed by blocks of turns first, so the window over a whole pair has a row a block.
+    """
+    key = ["pair_id", "part", "block"]
+    sized = rows.withColumn("block", F.expr(f"turn div {BLOCK}")).withColumn("size", F.length("piece").cast("long"))
+    blocks = sized.groupBy(*key).agg(F.sum("size").alias("size"))
+    before = Window.partitionBy("pair_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*[F.col(c).alias(f"b_{c}") for c in key], F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*key).orderBy("turn", "role", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    both = sized.join(blocks, F.col("pair_id").eqNullSafe(F.col("b_pair_id")) & (F.col("part") == F.col("b_part")) & (F.col("block") == F.col("b_block")))
+    return both.select(*rows.columns, (F.col("base") + F.col("within")).alias("start"))
+
+
+def paired(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """``pair_id, segment, prompt, chosen, chosen_mask, rejected, rejected_mask`` from ``preference_rows``.
+
+    A mask lists the trained stretches of its text as ``start-end``, in code points, joined by commas.
+    """
+    cut = placed(rows).withColumn("segment", F.expr(f"start div {segment}"))
+    turn = F.struct("start", "piece", "trained")
+    put = [F.sort_array(F.collect_list(F.when(F.col("part") == p, turn))).alias(f"_{p}") for p in ("prompt", "chosen", "rejected")]
+    pairs = cut.groupBy("pair_id", "segment").agg(*put)
+    text = lambda p: F.array_join(F.transform(f"_{p}", lambda x: x["piece"]), "").alias(p)
+
+    def mask(p: str) -> Column:
+        at = lambda x: x["start"] - F.get(f"_{p}", F.lit(0))["start"]
+        trained = F.filter(f"_{p}", lambda x: x["trained"])
+        spans = F.transform(trained, lambda x: F.concat_ws("-", at(x).cast("string"), (at(x) + F.length(x["piece"])).cast("string")))
+        return F.array_join(spans, ",").alias(f"{p}_mask")
+
+    return pairs.select("pair_id", "segment", text("prompt"), text("chosen"), mask("chosen"), text("rejected"), mask("rejected"))
 
 
 def reply_swapped(conversations: DataFrame) -> DataFrame:

@@ -25,22 +25,47 @@ SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sizes z JOIN reach r ON r.a = z.doc_id GROUP BY 1, 2
 """
 
-_OP1 = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
-  FROM documents
-), units AS (
-  SELECT *, trim(regexp_replace(lower(line), '[\x09-\x0D\x20]+', ' ', 'g')) AS u,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM lines
+#: Ranges of scripts that are written without spaces, as in ``substring_dedup``.
+_UNSPACED = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+
+_OP1 = (
+    r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x09-\x0D\x20]*(?:[UNSPACED]|[^\x09-\x0D\x20UNSPACED]+)') AS t FROM documents
+), words AS (
+  SELECT doc_id, k, t, ltrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS w,
+    sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) AS stop
+  FROM (SELECT doc_id, unnest(t) AS t, unnest(range(len(t))) AS k FROM split)
+), lists AS (SELECT doc_id, list(lower(w) ORDER BY k) AS w FROM words GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, k, md5(array_to_string(w[k + 1:k + 50], ' ')) AS run FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS k FROM lists)
+), firsts AS (SELECT run, min({'d': doc_id, 'k': k}) AS f, count(*) AS n FROM runs GROUP BY run HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r.doc_id, unnest(range(r.k, r.k + 50)) AS k
+  FROM runs r JOIN firsts USING (run) WHERE r.doc_id != f.d OR r.k >= f.k + 50
 ), marked AS (
-  SELECT *, len(regexp_extract_all(u, '[^ ]+')) >= 5 AND row_number() OVER (PARTITION BY u ORDER BY doc_id, k) > 1 AS gone FROM units
-)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) AS n_units,
-  count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos AS BIGINT) + length(line) AS VARCHAR), ',' ORDER BY k) FILTER (gone), '') AS removed_spans
-FROM marked GROUP BY doc_id
+  SELECT w.*, g.k IS NOT NULL AS gone, length(t) - length(w) AS lead, contains(left(t, length(t) - length(w)), chr(10)) AS breaks
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.k = w.k
+), spans AS (
+  SELECT doc_id, min(k) AS a, string_agg(CAST(CAST(b AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',') AS span FROM (
+    SELECT doc_id, min(k) AS k, min(stop - length(w)) AS b, max(stop) AS e
+    FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM marked WHERE gone) GROUP BY doc_id, island
+  ) GROUP BY doc_id, k
+), broken AS (
+  SELECT *, sum(CAST(breaks AND gone AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS nl FROM marked
+), kept AS (
+  SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before, nl - coalesce(lag(nl) OVER (PARTITION BY doc_id ORDER BY k), 0) > 0 AS crossed
+  FROM broken WHERE NOT gone
+), texts AS (
+  SELECT doc_id, string_agg(CASE WHEN before IS NULL AND k > 0 THEN right(t, length(t) - lead) WHEN before < k - 1 AND crossed AND NOT breaks THEN chr(10) || right(t, length(t) - lead) ELSE t END, '' ORDER BY k) AS text
+  FROM kept GROUP BY doc_id
+), ends AS (SELECT doc_id, max(stop) AS stop, count(*) AS n_units, count(*) FILTER (gone) AS n_removed FROM marked GROUP BY doc_id)
+SELECT s.doc_id, coalesce(x.text, '') || right(s.text, length(s.text) - CAST(coalesce(e.stop, 0) AS BIGINT)) AS text,
+  coalesce(e.n_units, 0) AS n_units, coalesce(e.n_removed, 0) AS n_removed,
+  coalesce((SELECT string_agg(span, ',' ORDER BY a) FROM spans p WHERE p.doc_id = s.doc_id), '') AS removed_spans
+FROM split s LEFT JOIN texts x USING (doc_id) LEFT JOIN ends e USING (doc_id)
 """
+).replace("UNSPACED", _UNSPACED)
 
 _OP9 = r"""
 WITH rows AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
@@ -64,10 +89,19 @@ parts AS (
   SELECT pair_id, turn, role, text, 'prompt' AS part FROM parts WHERE common
   UNION ALL SELECT pair_id, turn, role, text, 'chosen' FROM parts WHERE NOT common AND c
   UNION ALL SELECT pair_id, turn, role, text, 'rejected' FROM parts WHERE NOT common AND r
-)
-SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
-  part != 'prompt' AND role = 'assistant' AS trained
-FROM labelled
+), pieces AS (
+  SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece, part != 'prompt' AND role = 'assistant' AS trained FROM labelled
+), places AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pieces
+), cut AS (SELECT *, CAST(start AS BIGINT) // 1000000 AS segment FROM places
+), rel AS (SELECT *, CAST(start - min(start) OVER (PARTITION BY pair_id, part, segment) AS BIGINT) AS s FROM cut)
+SELECT pair_id, segment,
+  coalesce(string_agg(piece, '' ORDER BY s) FILTER (part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(piece, '' ORDER BY s) FILTER (part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(CAST(s AS VARCHAR) || '-' || CAST(s + length(piece) AS VARCHAR), ',' ORDER BY s) FILTER (part = 'chosen' AND trained), '') AS chosen_mask,
+  coalesce(string_agg(piece, '' ORDER BY s) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(CAST(s AS VARCHAR) || '-' || CAST(s + length(piece) AS VARCHAR), ',' ORDER BY s) FILTER (part = 'rejected' AND trained), '') AS rejected_mask
+FROM rel GROUP BY ALL
 """
 
 ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_preference_chat": _OP9}

@@ -66,9 +66,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tamarisk.llm.chat_format import preference_rows, reply_swapped
+    from tamarisk.llm.chat_format import paired, preference_rows, reply_swapped
 
-    return preference_rows(reply_swapped(table(spark, sf_dir, "conversations")))
+    return paired(preference_rows(reply_swapped(table(spark, sf_dir, "conversations"))))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
