@@ -1,10 +1,12 @@
 """Every operator on small tables with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tok = pytest.importorskip("public_tokenizers")
 
@@ -38,23 +40,25 @@ def path(name):
 
 
 # 1
-def test_substring_dedup(docs, none):
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_lines_and_paragraphs(docs, none, unit):
     from tamarisk.llm.substring_dedup import dedup, dedup_documents
 
-    got = {(r.doc_id, r.text) for r in dedup(docs).select("row.doc_id", "kept.text").collect()}
+    got = {(r.doc_id, r.text) for r in dedup(docs, unit, 5).select("row.doc_id", "kept.text").collect()}
     line = ROWS[0][1]
-    assert (1, line) in got and (2, "") in got and (3, "") in got and (4, "") in got
-    assert (7, ROWS[7][1].split("\n")[0]) in got and (5, LONG) in got
-    spans = {r.doc_id: r.removed_spans for r in dedup(docs).select("row.doc_id", "kept.removed_spans").collect()}
-    a, b = map(int, spans[7].split("-"))
-    assert ROWS[7][1][a:b] == line
-    kept = dedup_documents(docs)
+    assert (1, line) in got and (2, "") in got and (3, "") in got and (4, "") in got and (5, LONG) in got
+    assert (7, ROWS[7][1].split("\n")[0] if unit == "line" else ROWS[7][1]) in got
+    spans = {r.doc_id: r.removed_spans for r in dedup(docs, unit, 5).select("row.doc_id", "kept.removed_spans").collect()}
+    if unit == "line":
+        a, b = map(int, spans[7].split("-"))
+        assert ROWS[7][1][a:b] == line
+    kept = dedup_documents(docs, unit, 5)
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
     assert {r.n_chars for r in kept.collect() if r.doc_id == 2} == {0}
-    assert dedup_documents(none).count() == 0
+    assert dedup_documents(none, unit).count() == 0
 
 
-def test_substring_dedup_against_brute_force(spark):
+def test_lines_against_brute_force(spark):
     from tamarisk.llm.substring_dedup import dedup
 
     rng = random.Random(3)
@@ -68,46 +72,53 @@ def test_substring_dedup_against_brute_force(spark):
                 kept.append(u)
                 seen.add(u)
         want[i] = "\n".join(kept)
-    got = dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "kept.text").collect()
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string"), "line", 5).select("row.doc_id", "kept.text").collect()
     assert {r.doc_id: r.text for r in got} == want
 
 
-def test_short_and_unspaced_lines_are_removed(spark):
-    from corpus_pipeline import repeated_lines
+def test_runs_of_odd_rows(docs, none):
+    from tamarisk.llm.substring_dedup import dedup, dedup_documents
 
-    chinese, thai = "今天天气很好我们一起去公园散步然后回家吃饭" * 5, "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะ"
-    rows = [(1, f"{chinese}\nAll rights reserved.\n{thai}\n\nx"), (2, f"one\n{chinese}\n\n{thai}\nall  RIGHTS reserved.\ntwo")]
-    got = repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "one\n\ntwo"}
+    got = {r.doc_id: r for r in dedup(docs).select("row.doc_id", "kept.*").collect()}
+    assert (got[3].text, got[3].n_units, got[3].n_removed, got[3].removed_spans) == ("", 0, 0, "")
+    # the long text is one sentence of five words again and again: what its own first run doesn't overlap goes
+    assert got[5].text == " ".join(LONG.split()[:50]) + " " and got[5].n_units == 100_000 and got[5].n_removed == 99_950
+    assert all(got[i].n_removed == 0 and got[i].text == next(r[1] for r in ROWS if r[0] == i) for i in (1, 2, 7, 8))
+    kept = dedup_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == len(ROWS) and dedup_documents(none).count() == 0
+    assert [r.text for r in kept.collect() if r.doc_id == 3] == [None]
 
 
-def test_runs_inside_lines_against_brute_force(spark):
+def test_runs_against_brute_force(spark):
     from corpus_pipeline import repeated_lines
-    from tamarisk.llm.substring_dedup import RUN, dedup_runs
+    from tamarisk.llm.substring_dedup import RUN, dedup
 
     rng = random.Random(4)
     some = lambda n: [f"W{rng.randrange(10**6)}" for _ in range(n)]
     passages = [some(n) for n in (49, 50, 51, 70, 210)]
-    chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
+    chinese, thai = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60)), "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะ" * 2
     rows = [(i, " ".join(sum((some(rng.randint(1, 40)) + rng.choice(passages) for _ in range(3)), []) + some(5))) for i in range(40)]
-    rows += [(40, " ".join(["a", "b", "c"] * 60)), (41, f"前{chinese}後"), (42, f"x{chinese}y"), (43, ""), (44, None), (None, rows[0][1]), (0, rows[0][1])]
-    cut = lambda i, t: list(t) if i in (41, 42) else t.split()
+    rows += [(40, " ".join(["a", "b", "c"] * 60)), (41, f"前{chinese}後\n{thai}"), (42, f"x{chinese}y\n{thai}\nz"), (43, ""), (44, None), (None, rows[0][1]), (0, rows[0][1])]
     seen, want = {}, {}
     for i, t in sorted(((i, t or "") for i, t in set(rows)), key=lambda r: (r[0] is not None, r[0] or 0)):
-        w, gone = cut(i, t), set()
+        w, gone = list(t.replace("\n", "")) if i in (41, 42) else t.split(), set()
         for k in range(len(w) - RUN + 1):
             run = tuple(x.lower() for x in w[k : k + RUN])
             j, at = seen.setdefault(run, (i, k))
             gone |= set(range(k, k + RUN)) if j != i or at + RUN <= k else set()
-        want[i] = [x for k, x in enumerate(w) if k not in gone]
+        want[i] = ("".join if i in (41, 42) else " ".join)(x for k, x in enumerate(w) if k not in gone), len(gone)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = dedup_runs(docs).collect()
-    assert len(got) == len(rows) and {r.doc_id: cut(r.doc_id, r.text) for r in got} == want
-    assert want[42] == ["x", "y"] and len(want[40]) == 51
+    got = dedup(docs).select("row.doc_id", "row.text", F.col("kept.text").alias("left"), "kept.n_removed", "kept.removed_spans").collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.left.replace("\n", ""), r.n_removed) for r in got} == want
+    assert want[42] == ("xyz", 60 + len(thai)) and len(want[40][0].split()) == 51
+    for r in got:
+        spans = [tuple(map(int, x.split("-"))) for x in r.removed_spans.split(",") if x]
+        words = sum(len(list(r.text[a:b].replace("\n", "")) if r.doc_id in (41, 42) else r.text[a:b].split()) for a, b in spans)
+        assert words == r.n_removed and all(x == x.strip() for x in (r.text[a:b] for a, b in spans))
     p = " ".join(passages[4])
-    lined = [(1, f"one {p} two"), (2, f"three {p.replace(' ', chr(10), 1)} four\nfive")]
+    lined = [(1, f"one {p} two"), (2, f"three {p.replace(' ', chr(10), 1)} four\nfive"), (3, f"{p}\nsix"), (4, f"seven\n{p}\neight "), (5, f"nine\n{p} ten")]
     got = repeated_lines(spark, spark.createDataFrame(lined, "doc_id long, text string"), "").collect()
-    assert {r.doc_id: r.text for r in got} == {1: lined[0][1], 2: "three \nfour\nfive"}
+    assert {r.doc_id: r.text for r in got} == {1: lined[0][1], 2: "three\nfour\nfive", 3: "six", 4: "seven\neight ", 5: "nine\nten"}
 
 
 # 2
@@ -318,7 +329,7 @@ def test_shard_lookup_in_many_blocks(tmp_path):
         for i in ids[::37]:
             assert s.get(key_of(i)).tolist() == [i % 60_000] * (i % 90)
         assert all(s.get(key_of(i + 1)) is None for i in ids[::37] if i + 1 not in ids)
-        assert sum(s.may_have(key_of(i)) for i in range(5000)) < 200
+        assert sum(s.may_have(key_of(i)) for i in range(5000)) < 200 and all(s.may_have(key_of(i)) for i in ids[::11])
 
 
 @pytest.mark.parametrize(("kind", "file"), [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
@@ -445,23 +456,33 @@ def test_language(spark, small, docs, none):
 
 # 9
 def test_preferences(spark):
-    from tamarisk.llm.chat_format import assembled, preference_rows, reply_swapped
+    from tamarisk.llm.chat_format import paired, placed, preference_rows, reply_swapped
 
     sides = [(1, s, t, r, x) for s, last in (("chosen", "yes"), ("rejected", "no")) for t, r, x in ((0, "user", "hi"), (1, "assistant", "hello"), (2, "user", "q"), (3, "assistant", last))]
     sides += [(2, "chosen", None, None, None), (2, "rejected", None, None, None), (3, "chosen", 0, "user", "only"), (3, "chosen", 0, "user", "only")]
-    rows = preference_rows(spark.createDataFrame(sides, "pair_id long, side string, turn long, role string, text string"))
-    got = {r.pair_id: r for r in assembled(rows).collect()}
+    sides += [(4, s, 7, r, x) for s in ("chosen", "rejected") for r, x in (("user", "b"), ("user", "a"), ("assistant", s), ("assistant", "x" * 5000))]
+    sides += [(None, "chosen", t, "assistant", f"long {t} " * 20) for t in range(3000)]
+    spark_rows = spark.createDataFrame([(*s, "odd") for s in sides], "pair_id long, side string, turn long, role string, text string, part string")
+    rows = preference_rows(spark_rows)
+    got = {r.pair_id: r for r in paired(rows).collect()}
+    assert len(got) == 5 and {r.segment for r in got.values()} == {0}
     assert got[1].prompt == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n<|user|>\nq<|end|>\n"
     assert got[1].chosen == "<|assistant|>\nyes<|end|>\n" and got[1].rejected == "<|assistant|>\nno<|end|>\n"
-    assert [(s.start, s.end) for s in got[1].chosen_trained] == [(0, len(got[1].chosen))]
-    assert got[2].prompt == "<|user|>\n<|end|>\n" and got[2].chosen == "" and got[3].chosen == "<|user|>\nonly<|end|>\n" and got[3].rejected == ""
+    assert got[1].chosen_mask == f"0-{len(got[1].chosen)}" and got[1].rejected_mask == f"0-{len(got[1].rejected)}"
+    assert got[2].prompt == "<|user|>\n<|end|>\n" and got[2].chosen == "" and got[3].chosen == "<|user|>\nonly<|end|>\n" and got[3].rejected == "" and got[3].chosen_mask == ""
+    assert got[4].prompt == "" and got[4].chosen.index("chosen") < got[4].chosen.index("xxxx") < got[4].chosen.index("|>\na") < got[4].chosen.index("|>\nb")
+    whole = "".join(f"<|assistant|>\n{x}<|end|>\n" for _, _, _, _, x in sides[-3000:])
+    assert got[None].chosen == whole and placed(rows).count() == rows.count()
+    parts = sorted((r.segment, r.chosen, r.chosen_mask) for r in paired(rows, 10_000).where("pair_id is null").collect())
+    assert len(parts) > 30 and "".join(p[1] for p in parts) == whole and max(len(p[1]) for p in parts) < 11_000
+    assert all(b.split(",")[-1].split("-")[1] == str(len(a)) for _, a, b in parts)
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, part string")
-    assert preference_rows(reply_swapped(empty)).count() == 0
+    assert paired(preference_rows(reply_swapped(empty))).count() == 0
 
 
 # 10
 def test_toxicity_learns_and_ignores_groups(spark):
-    from tamarisk.llm.toxicity import Model, clean, fit, scores, words_of
+    from tamarisk.llm.toxicity import Model, clean, fit, scores, told, words_of
 
     rng = random.Random(6)
     filler = [f"w{chr(97 + i)}x" for i in range(26)]
@@ -475,7 +496,7 @@ def test_toxicity_learns_and_ignores_groups(spark):
             words.append("muslim")  # a biased sample
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    sample = [(y, words_of(t)) for (_, t), (_, y) in zip(rows, labels)]
+    sample = [(y, words_of(t), told(t)) for (_, t), (_, y) in zip(rows, labels)]
     vocabulary = ["muslim", "scumlord", "nasty", "vileness", *filler]
     gap = lambda m: abs(m.logit({"muslim"}) - m.logit({"christian"}))
     fair, plain = fit(sample, vocabulary, counterfactual=20.0), fit(sample, vocabulary, counterfactual=0.0)
@@ -508,10 +529,235 @@ def test_pipeline(spark, small):
             want = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
             assert after == {i for i, _, c in want if i == c}
         if name == "repeated_lines":
-            lines = [" ".join(u.lower().split()) for r in out.collect() for u in r.text.split("\n") if len(u.split()) >= 5]
-            assert after == before and len(lines) == len(set(lines))
+            runs: dict = {}
+            for r in out.orderBy("doc_id").collect():
+                words = r.text.lower().split()
+                for k in range(len(words) - 49):
+                    assert runs.setdefault(tuple(words[k : k + 50]), r.doc_id) == r.doc_id
+            same = {r.doc_id: r.text for r in docs.collect()}
+            assert after == before and sum(same[r.doc_id] != r.text for r in out.collect()) < 0.3 * len(before)
         docs = out
-    toxic = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").where("toxic = 1").collect()}
-    assert len({r.doc_id for r in docs.collect()} & toxic) < 0.5 * len(toxic)
+        if name == "toxicity":
+            marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+            # a few dozen labels tell half of the toxic texts; what larger samples do is held in tests of the operator
+            assert 2 * len(after & {i for i, y in marks.items() if y}) <= sum(marks.values()) + 1 and {i for i, y in marks.items() if not y} <= after
     packed = p.run(spark, small)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_near_copies_by_text_and_odd_rows(spark, docs, none):
+    from corpus_pipeline import near_copies
+
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text, "a"), (5, text, "b"), (5, other, "c"), (None, text, "d"), (7, text, "e"), (7, text, "e"), (8, None, "f"), (9, "", "g"), (None, None, "h")]
+    got = near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, gone string"), "")
+    assert {r.gone for r in got.collect()} == {"a", "c", "f", "g", "h"} and got.columns == ["doc_id", "text", "gone"]
+    assert near_copies(spark, none, "").count() == 0 and near_copies(spark, docs, "").count() == len(ROWS) - 2
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, docs, none, tmp_path):
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int")
+    for name, rows in (("odd", docs), ("none", none)):
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = p.run(spark, f"{tmp_path}/{name}")
+        assert {r.doc_id for r in got.collect()} <= {r[0] for r in ROWS}
+        assert (got.count() > 0) == (name == "odd")
+
+
+# the queries that have no SQL, against plain versions
+def test_media_query_against_a_plain_version(spark, docs):
+    import hashlib
+
+    from tamarisk.llm import media
+
+    got = {r.name or 0: r for r in media.text_media(docs.dropDuplicates(["doc_id"])).collect()}
+    for i, text in {(r[0] or 0, r[1] or "") for r in ROWS}:
+        raw = text.encode()
+        png = media.encode_png(media.padded(raw), len(raw))
+        samples = np.frombuffer(media.padded(raw), np.uint8).reshape(-1, 64)
+        means = []
+        for k in range(8):
+            rows = np.array_split(samples, 8)[k] if len(samples) >= 8 else samples[k * len(samples) // 8 : k * len(samples) // 8 + 1]
+            means += [rows[:, 8 * c : 8 * c + 8].mean() for c in range(8)]
+        bits = "".join(str(int(m > sum(means) / 64)) for m in means)
+        want = (len(png), hashlib.sha256(png).hexdigest(), f"{samples.mean():.3f}:{samples.std():.3f}:{int(bits, 2):016x}")
+        assert (got[i].media_bytes, got[i].media_sha256, got[i].feature) == want
+
+
+def test_fingerprint_likeness_against_a_plain_version(spark, small):
+    from tamarisk.llm import fingerprints as fp
+    from tamarisk.llm.queries import op6_fingerprints
+
+    def plain(t):
+        points = np.frombuffer(t.encode("utf-32-le"), "<u4")
+        h = [int(x) >> 32 for x in fp.gram_hashes(points).tolist()]
+        w = min(fp.WINDOW, len(h))
+        return {min(h[i : i + w]) for i in range(len(h) - w + 1)} if h else set()
+
+    rows = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 4000").orderBy(F.desc("doc_id")).limit(40).collect()
+    got = {r.doc_id: r for r in fp.edited_pairs(spark.createDataFrame(rows)).collect()}
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for a, b in zip(rows, [*rows[1:], rows[0]]):
+        x, y = a.text or "", b.text or ""
+        other = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        assert abs(got[a.doc_id].near_edited - like(plain(x), plain(other))) < 1e-12
+        assert abs(got[a.doc_id].near_next - like(plain(x), plain(y))) < 1e-12
+    assert op6_fingerprints(spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_packing_at_its_real_size(spark, small, monkeypatch):
+    import zlib as z
+
+    from tamarisk.llm import packing
+    from tamarisk.llm.queries import op7_best_fit_packing
+    from tamarisk.llm.tokens import encoder
+
+    rows = op7_best_fit_packing(spark, small).collect()
+    total = sum(r.length for r in rows)
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in s) <= 2048 and sorted(s)[0][0] == 0 for s in sequences.values()) and len(sequences) <= -(-total // 2048) * 1.05 + 1
+    enc = encoder("byte", path("byte_bpe_50k.json"))
+    for d in spark.read.parquet(f"{small}/documents.parquet").limit(30).collect():
+        ids = np.concatenate((np.frombuffer(enc.encode(d.text or ""), "<u2"), [0])).astype("<u4")
+        for r in sorted((r for r in rows if r.doc_id == d.doc_id), key=lambda r: r.piece):
+            assert z.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    monkeypatch.setattr(packing, "GROUP_DOCS", 40)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    many = packing.digests(packing.packed_documents(docs, path("byte_bpe_50k.json"), 0)).collect()
+    assert len({r.sequence_id >> 40 for r in many}) > 2 and sorted((r.doc_id, r.piece, r.ids_crc32) for r in many) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in rows)
+
+
+def test_rows_that_differ_in_text_only(spark):
+    from tamarisk.llm.packing import digests, packed_documents
+    from tamarisk.llm.token_store import store
+
+    d = spark.createDataFrame([(1, "one text", "x"), (1, "another text", "y"), (1, "one text", "x")], "doc_id long, text string, ids string")
+    got = store(d, path("word_bpe_49k.json"), 1).collect()
+    assert len(got) == 3 and sorted(r.start for r in got) == [0, got[0].n_tokens, got[0].n_tokens + sorted(got, key=lambda r: r.start)[1].n_tokens]
+    assert len(digests(packed_documents(d, path("byte_bpe_50k.json"), 0)).collect()) == 3
+
+
+def test_language_fusion_against_a_plain_version(spark, small):
+    import math
+    from urllib.parse import urlparse
+
+    from tamarisk.llm import langid as L
+
+    m = L.fit(L.sampled(spark.read.parquet(f"{small}/documents.parquet")))
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    odd = [(9001, "http://a.example.net/x", '<html lang="de">' + "the and of " * 20_000), (9002, None, None), (9002, None, None), (9003, "nonsense", "<p>\u0449\u0434\u0444</p>")]
+    rows = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(odd, "page_id long, url string, html string")).withColumn("host", F.lit("clash")).withColumn("lang", F.lit("zz"))
+    k, own, meta = len(m.languages) + 1, [], []
+    for r in rows.collect():
+        words = re.findall(r"[^\W\d_]+", L.visible(r.html or "").lower())
+        ll, n = [0.0] * k, 0
+        for w in words:
+            for g in L.grams(w):
+                for i, x in enumerate(m.table.get(g, m.unseen)):
+                    ll[i] += x
+                ll[-1] += L.BACKGROUND
+                n += 1
+        x = np.array(ll) / 3
+        p = np.exp(x - x.max())
+        host = (urlparse(r.url).hostname or "") if r.url and "://" in r.url else ""
+        tag = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z][\w-]*)", r.html or "")
+        said = re.match(r"[A-Za-z]{2,3}(?=[-_]|$)", tag[1]) if tag else None
+        parts = host.split(".")
+        meta.append((r.page_id, host, ".".join(parts[-3:]) if len(parts) > 2 else host, parts[-1] if len(parts) > 1 else "", said[0].lower() if said else "", x, n))
+        own.append(p / p.sum())
+    own = np.array(own)
+    of = lambda j, v: own[[i for i, y in enumerate(meta) if y[j] == v]].sum(0)
+    named = own[[i for i, y in enumerate(meta) if y[4]]].sum(0)
+    want = []
+    for mine, (page, host, domain, suffix, said, x, n) in zip(own, meta):
+        share = own.sum(0) - mine
+        share = (share + 1) / (share.sum() + k)
+        for j, v in ((3, suffix), (2, domain), (1, host)):
+            level = np.maximum(of(j, v) - mine, 0)
+            share = (level + L.PSEUDO * share) / (level.sum() + L.PSEUDO)
+        z = x + np.log(share) + (np.log((np.maximum(of(4, said) - mine, 0) + 0.5) / (np.maximum(named - mine, 0) + 10)) if said else 0)
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        want.append((page, [*m.languages, "und"][int(p.argmax())] if n else "und", round(float(p.max()), 4)))
+    got = [(r.page_id, r.lang, round(r.confidence, 4)) for r in L.identify_pages(rows, m).collect()]
+    assert len(got) == len(want) and all(a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=2e-4) for a, b in zip(sorted(got), sorted(want)))
+    assert L.identify_pages(rows.limit(0), m).count() == 0
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    import math
+
+    from tamarisk.llm import toxicity as X
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = X.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = {r.doc_id: r for r in X.scores(docs, labels).collect()}
+    for i, t in texts.items():
+        words = set(re.findall(r"[^\W\d_]+", t.lower()))
+        features = words | {w[:k] + "*" for k in (4, 5, 6) for w in words if len(w) > k}
+        z = m.bias + sum(m.weights.get(f, 0.0) for f in features)
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-max(-30, min(30, z)))), abs_tol=1e-9)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == int(got[i].score >= 0.5)
+    held = [i for i in truth if got[i].held_out]
+    assert sum(got[i].predicted == truth[i] for i in held) >= 0.95 * len(held)
+    fitted = [i for i in truth if not got[i].held_out]
+    assert not any(got[i].predicted for i in fitted if not truth[i]) and sum(got[i].predicted for i in fitted if truth[i]) >= 0.75 * sum(truth[i] for i in fitted)
+
+
+def test_toxicity_of_odd_rows(docs, none):
+    from tamarisk.llm.toxicity import clean, scores
+
+    marks = docs.sparkSession.createDataFrame([(1, 0, "x"), (7, 1, "y")], "doc_id long, toxic int, text string")
+    got = scores(docs, marks).collect()
+    assert len(got) == len(ROWS) and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 2}) == 1 and scores(none, marks).count() == 0 and clean(none, marks).columns == none.columns
+    assert clean(docs, marks.limit(0)).count() == len(ROWS)
+
+
+def test_the_penalty_has_pairs_and_makes_groups_alike(spark):
+    from tamarisk.llm import toxicity as X
+
+    neutral = [(0, X.words_of(t), X.told(t)) for t in ("A quiet day. The women sang.", *["nothing to see here at all"] * 16)]
+    pairs = X.pairs_of(neutral)
+    assert ({"the", "women", "sang"}, {"the", "men", "sang"}) in pairs and any("see" in a and a != b for a, b in pairs)
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        y = int(i % 5 == 0)
+        words = {f"w{rng.randrange(40)}" for _ in range(12)} | ({"scum"} if y else set()) | ({"muslim"} if (y and rng.random() < 0.8) or rng.random() < 0.03 else set())
+        rows.append((y, words, [words]))
+    fair, plain = (X.fit(rows, ["scum", "muslim", *[f"w{i}" for i in range(40)]], counterfactual=c) for c in (20.0, 0.0))
+    mention = {"w1", "w2", "muslim"}
+    assert plain.logit(mention) - plain.logit({"w1", "w2", "hindu"}) > 1 > 0.3 > fair.logit(mention) - fair.logit({"w1", "w2", "hindu"})
+    assert fair.logit({"scum", "w3"}) > 0
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_sentencepiece", "op4_media_columns", "op5_token_store", "op6_fingerprints", "op10_toxicity"])
+def test_queries_return_a_row_a_document(spark, small, name):
+    from tamarisk.llm.queries import queries
+
+    got = queries()[name](spark, small)
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect())
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == ids
+
+
+def test_passages_inside_lines_are_caught_and_short_lines_stay(spark, small):
+    from tamarisk.llm.queries import op1_substring_dedup
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    first, wanted = {}, set()
+    for i in sorted(texts):
+        words = texts[i].lower().split()
+        for k in range(len(words) - 49):
+            j, at = first.setdefault(tuple(words[k : k + 50]), (i, k))
+            if j != i or at + 50 <= k:
+                wanted.add(i)
+    assert {r.doc_id for r in op1_substring_dedup(spark, small).where("n_removed > 0").collect()} == wanted
