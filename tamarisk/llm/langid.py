@@ -2,19 +2,21 @@
 
     P(l | text, declared, host) ~ P(text | l) P(declared | l) P(l | host)
 
-The text model counts letter trigrams of a bounded labelled sample (``sample_rows``). Its posteriors over all rows are
-then summed by declared language, by host, by registered domain, by address suffix and overall; each level's shares
-are smoothed by the level above with ``PSEUDO`` rows. A further class ``und`` gives every trigram a low, equal
-probability: texts made of anything but the known languages' letters end there.
-
-Null and empty texts have no trigrams and are ``und``. Missing or unknown hosts and declarations are evidence-free:
-they share the empty host, or the empty declaration. Repeated rows count as often as they stand; empty tables give no
-rows; other columns are ignored.
+The text model counts letter trigrams of a bounded labelled sample (``language_rows`` of each declared language). Its
+posteriors over all rows are then summed by declared language, by host, by registered domain, by address suffix and
+overall; each level's shares are smoothed by the level above with ``PSEUDO`` rows. A row's own posterior is taken out of every
+sum that it is judged by. A further class ``und`` gives every trigram a low, equal probability: texts made of anything
+but the known languages' letters end there.
+
+Each letter stands in three trigrams, so a text's log-likelihood counts by a third (``WEIGHT``), whatever its length.
+
+Null and empty texts have no trigrams and are ``und``; long ones are read whole. Missing or unknown hosts and declarations are
+evidence-free: they share the empty host, or the empty declaration. Repeated rows count as often as they stand; empty
+tables give no rows; other columns, whatever their names, are ignored (by ``known_language``: kept).
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 import re
@@ -22,21 +24,22 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import stored, whole_text
+from tamarisk.llm.common import mapped, resident, small_batches, stored, stored_map, whole_text
 
-SAMPLE_ROWS = 8_000
+#: Rows of the sample for each declared language (in expectation), and the most languages, by their number of rows.
+LANGUAGE_ROWS, LANGUAGES = 2_000, 100
 GRAMS = 20_000
+#: Words whose likelihoods a worker remembers, and those that are summed at a time.
+WORDS, PART = 150_000, 10_000
 UNKNOWN = "und"
-#: Log-probability of any trigram under ``und``; trigrams of a text that count at most; rows of smoothing.
-BACKGROUND, EVIDENCE, PSEUDO = math.log(1 / 50_000), 200, 5.0
-
-#: A text goes against its declaration from so many trigrams and such a posterior on.
-SURE_GRAMS, SURE = 200, 0.999
+#: Log-probability of any trigram under ``und``; what a trigram counts; rows of smoothing.
+BACKGROUND, WEIGHT, PSEUDO = math.log(1 / 50_000), 1 / 3, 5.0
+#: The posterior from which on another language than the declared one is taken for certain.
+SURE = 0.999
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -58,26 +61,22 @@ class TextModel:
     def __init__(self, languages: list[str], table: dict[str, list[float]], unseen: list[float]) -> None:
         self.languages, self.table, self.unseen = languages, table, unseen
         self._at: dict[str, int] = {}
-        self._rows = np.zeros((1024, len(languages) + 2))
+        self._rows = np.zeros((WORDS, len(languages) + 2))
 
     def _row(self, word: str) -> int:
-        if len(self._at) > 300_000:
-            self._at.clear()
         at = self._at[word] = len(self._at)
-        if at == len(self._rows):
-            self._rows = np.concatenate((self._rows, np.zeros_like(self._rows)))
         got = [self.table.get(g, self.unseen) for g in grams(word)]
         self._rows[at] = [*(sum(x[i] for x in got) for i in range(len(self.languages))), BACKGROUND * len(got), len(got)]
         return at
 
     def log_likelihoods(self, text: str) -> tuple[list[float], int]:
         total = np.zeros(len(self.languages) + 2)
-        words = _WORD.findall(text.lower())
-        for at in range(0, len(words), 10_000):
-            part, known = words[at : at + 10_000], self._at
+        words, known = _WORD.findall(text.lower()), self._at
+        for at in range(0, len(words), PART):
+            part = words[at : at + PART]
             rows = [known.get(w, -1) for w in part]
             if -1 in rows:
-                if len(known) + len(part) > 300_000:
+                if len(known) + len(part) > WORDS:
                     known.clear()
                 rows = [known[w] if w in known else self._row(w) for w in part]
             total += self._rows[rows].sum(0)
@@ -98,7 +97,7 @@ def fit(sample: DataFrame) -> TextModel:
         keys = list(n)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counts = stored(sample.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    counts = stored(mapped(sample.select("lang", "text"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r.lang: (r.n, r.v) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     languages = sorted(totals)
     table: dict[str, list[float]] = {}
@@ -111,16 +110,13 @@ def fit(sample: DataFrame) -> TextModel:
     return TextModel(languages, table, unseen)
 
 
-def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``sample_rows`` rows with a declared ``lang``, by a hash of their identifier."""
-    rows = docs.where("lang is not null and doc_id is not null and text is not null")
-    keys = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
-    return stored(rows.select("doc_id", F.lower("lang").alias("lang"), "text").join(F.broadcast(keys), "doc_id"), "lang-sample")
-
-
-@functools.lru_cache(maxsize=2)
-def _model(spec: str) -> TextModel:
-    return TextModel(*json.loads(spec))
+def sampled(docs: DataFrame, language_rows: int = LANGUAGE_ROWS) -> DataFrame:
+    """About ``language_rows`` rows of each declared ``lang`` (all of a rarer one), by a hash of their identifier and text."""
+    rows = docs.where("lang is not null and doc_id is not null and text is not null").select(F.lower("lang").alias("lang"), "doc_id", "text")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = F.broadcast(counts.select("lang", (F.lit(float(language_rows)) / F.col("count")).alias("share")))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000.0 < F.col("share")
+    return stored(rows.join(share, "lang").where(drawn).select("doc_id", "lang", "text"), "lang-sample")
 
 
 def light_rows(rows: DataFrame, model: TextModel, html: bool) -> DataFrame:
@@ -130,7 +126,7 @@ def light_rows(rows: DataFrame, model: TextModel, html: bool) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", ll array<double>, n_grams long, shares array<double>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(spec)
+        m = resident(("lang", spec), lambda: TextModel(*json.loads(spec)))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             got = [m.log_likelihoods(visible(t.as_py()) if html else t.as_py()) for t in texts]
@@ -139,19 +135,29 @@ def light_rows(rows: DataFrame, model: TextModel, html: bool) -> DataFrame:
             columns.append(pa.array([posterior(*g) for g in got], pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays(columns, [*keys, "ll", "n_grams", "shares"])
 
-    return stored(rows.mapInArrow(run, schema), "lang-rows")
+    return stored_map(rows, run, schema, "lang-rows")[0]
 
 
-def posterior(ll: list[float], n: int, *others: list[float] | None) -> list[float]:
-    """Shares of the classes by the text's mean log-likelihoods over at most ``EVIDENCE`` trigrams and other likelihoods."""
-    x = np.asarray(ll, float) * min(n, EVIDENCE)
+def posterior(ll: list[float], n: int, *others: np.ndarray | None) -> list[float]:
+    """Shares of the classes by the text's mean log-likelihoods over its trigrams and other likelihoods."""
+    x = np.asarray(ll, float) * (n * WEIGHT)
     for other in others:
         if other is not None:
-            x = x + np.log(np.asarray(other, float))
+            x = x + np.log(other)
     x = np.exp(x - x.max())
     return (x / x.sum()).tolist()
 
 
+def prior(own: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """A host's shares without the row's own, smoothed by what stands above; ``levels``: sums overall, of suffix, domain and host."""
+    rest = np.maximum(levels[0] - own, 0.0)
+    share = (rest + 1.0) / (rest.sum() + len(own))
+    for level in levels[1:]:
+        rest = np.maximum(level - own, 0.0)
+        share = (rest + PSEUDO * share) / (rest.sum() + PSEUDO)
+    return share
+
+
 def fused(light: DataFrame, model: TextModel) -> DataFrame:
     """``light`` with ``lang``, ``confidence`` and the text's own ``text_lang``."""
     names = [*model.languages, UNKNOWN]
@@ -161,37 +167,32 @@ def fused(light: DataFrame, model: TextModel) -> DataFrame:
     light = light.withColumn("domain", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -3, 3), ".")).otherwise(F.col("host")))
     sums = [F.sum(F.element_at("shares", i + 1)).alias(f"t{i}") for i in range(k)]
     again = [F.sum(f"t{i}").alias(f"t{i}") for i in range(k)]
+    as_array = lambda name: F.array(*[f"t{i}" for i in range(k)]).alias(name)
 
     hosts = stored(light.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(*again)
-    suffixes = hosts.groupBy("suffix").agg(*again)
-    whole = hosts.agg(*again).first()
-    overall = [((whole[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in whole) + k) for i in range(k)]
-
-    def smoothed(level: DataFrame, above: list[Column], name: str) -> DataFrame:
-        total = functools.reduce(lambda a, b: a + b, [F.col(f"t{i}") for i in range(k)])
-        keep = [c for c in ("host", "domain", "suffix") if c in level.columns]
-        return level.select(*keep, *[((F.col(f"t{i}") + PSEUDO * above[i]) / (total + PSEUDO)).alias(f"{name}{i}") for i in range(k)])
-
-    s = smoothed(suffixes, [F.lit(x) for x in overall], "s")
-    d = smoothed(domains.join(s, "suffix"), [F.col(f"s{i}") for i in range(k)], "d")
-    h = smoothed(hosts.join(d, ["domain", "suffix"]), [F.col(f"d{i}") for i in range(k)], "h")
-    h = stored(h.select("host", F.array(*[f"h{i}" for i in range(k)]).alias("prior")), "host-priors")
+    domains = hosts.groupBy("domain", "suffix").agg(*again).select("domain", "suffix", as_array("of_domain"))
+    suffixes = hosts.groupBy("suffix").agg(*again).select("suffix", as_array("of_suffix"))
+    levels = hosts.select("host", "domain", "suffix", as_array("of_host")).join(domains, ["domain", "suffix"]).join(suffixes, "suffix")
+    levels = stored(levels.select("host", "of_host", "of_domain", "of_suffix"), "host-sums")
     said = stored(light.where("declared != ''").groupBy("declared").agg(*sums), "declarations")
-    n_said = said.agg(*again).first()
-    likely = F.array(*[(F.col(f"t{i}") + 0.5) / F.lit((n_said[i] or 0.0) + 10.0) for i in range(k)])
-    out = light.join(h, "host").join(said.select("declared", likely.alias("likely")), "declared", "left")
+    totals = lambda rows: np.array([x or 0.0 for x in rows.agg(*again).first()], float)
+    overall, n_said = totals(hosts), totals(said)
+    out = light.join(levels, "host").join(said.select("declared", as_array("of_said")), "declared", "left")
+    small_batches(light.sparkSession)
 
-    @F.pandas_udf("lang string, confidence double, text_lang string")
-    def decide(ll: pd.Series, n: pd.Series, shares: pd.Series, prior: pd.Series, likely: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang: string, confidence: double, text_lang: string>")
+    def decide(ll: pa.Array, n: pa.Array, shares: pa.Array, h: pa.Array, d: pa.Array, s: pa.Array, q: pa.Array) -> pa.Array:
         rows = []
-        for a, m, own, p, q in zip(ll, n, shares, prior, likely):
-            post = posterior(a, m, p, q)
+        for a, m, own, h_, d_, s_, q_ in zip(*[x.to_pylist() for x in (ll, n, shares, h, d, s, q)]):
+            mine = np.array(own, float)
+            likely = None if q_ is None else (np.maximum(np.array(q_, float) - mine, 0.0) + 0.5) / (np.maximum(n_said - mine, 0.0) + 10.0)
+            post = posterior(a, m, prior(mine, [overall, *(np.array(x, float) for x in (s_, d_, h_))]), likely)
             best, text = int(np.argmax(post)), int(np.argmax(own))
             rows.append((names[best] if m else UNKNOWN, round(post[best], 6), names[text] if m else UNKNOWN))
-        return pd.DataFrame(rows, columns=["lang", "confidence", "text_lang"])
+        columns = zip(*rows) if rows else ([], [], [])
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.string()))], ["lang", "confidence", "text_lang"])
 
-    out = out.withColumn("decided", decide("ll", "n_grams", "shares", "prior", "likely"))
+    out = out.withColumn("decided", decide("ll", "n_grams", "shares", "of_host", "of_domain", "of_suffix", "of_said"))
     return out.select(*[c for c in light.columns if c not in ("ll", "shares", "suffix", "domain")], "decided.*")
 
 
@@ -214,13 +215,13 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def known_language(docs: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
     """The documents whose language is one of the model's and, where that is declared too, the declared one.
 
-    Source and declared language are evidence, and a text is held against its declaration only if it outweighs both by far
-    and is long enough to tell; short texts stay with what they declare.
+    Source and declared language are evidence; a text goes against its declaration where another language's posterior is
+    ``SURE`` at least, which for a short text its own few trigrams must bring about.
     Decisions are made on rows without text; those rejected are then taken away by identifier and text hash.
     """
     tie = F.xxhash64(whole_text())
     rows = docs.select(F.col("doc_id").alias("k"), tie.alias("h"), F.coalesce("source", F.lit("")).alias("host"), primary(F.col("lang")).alias("declared"), whole_text().alias("text"))
-    sure = (F.col("n_grams") >= SURE_GRAMS) & (F.col("confidence") >= SURE)
+    sure = F.col("confidence") >= SURE
     against = F.col("declared").isin(*model.languages) & (F.col("lang") != F.col("declared")) & sure if model.languages else F.lit(False)
     doubtful = (F.col("lang") == UNKNOWN) | (F.col("confidence") < least) | against
     out = fused(light_rows(rows, model, html=False), model).where(doubtful).select("k", "h").distinct()
