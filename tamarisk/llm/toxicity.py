@@ -1,36 +1,41 @@
 """Toxicity scores from a classifier whose scores shouldn't depend on the group that a text mentions.
 
-Features are words and word beginnings, as present or not in the whole text. A bounded sample of labelled rows
-(``sample_rows``) fits them: grouped counts over the sample choose the features that tell the classes apart, and
-logistic regression weighs them. For the counterfactual term each sampled sentence that names an identity group is
-paired with the same sentence naming other groups (where none does, neutral sentences get a group named); the loss
-adds ``counterfactual`` times the mean squared difference of the two logits.
-
-Null and empty texts score the model's base rate. Labels of null or of documents that aren't there are ignored, and a
-document labelled twice is toxic if either label says so. Without a label of each class all scores are 0.
+Features are words and word beginnings, as present or not in the whole text, and always the identity terms. A bounded
+sample of labelled rows (``sample_rows``) fits them: grouped counts over the sample choose the features that tell the
+classes apart, and logistic regression weighs them. How far a feature must tell them apart is chosen by the loss on a
+fold of the sample itself.
+
+For the counterfactual term each sentence of a labelled text that names an identity group is paired with the same
+sentence naming the other groups of its kind; where a neutral text names none, a group is put into one of its sentences. The
+loss adds ``counterfactual`` times the mean squared difference of the two logits, so what the sample happens to say
+along with a group's name is no evidence. Where no text of the sample names a group, as in invented prose, the terms' weights stay 0.
+
+Null and empty texts score the model's base rate, long ones are read whole, and rows that repeat are scored each. Rows with
+a null ``doc_id`` aren't held out. Labels of null or of documents that aren't there are ignored, and a document labelled
+twice is toxic if either label says so. Without a label of each class all scores are next to 0. Empty tables give no
+rows; other columns, whatever their names, are ignored by ``scores`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import stored, whole_text
+from tamarisk.llm.common import Bounded, mapped, resident, small_batches, stored, whole_text
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
-#: A feature is used if so many sampled documents have it, and its log-odds are so far from 0, also in standard errors.
-MIN_DOCS, MIN_ODDS, MIN_ERRORS = 3, 2.5, 2.5
+#: A feature is used if so many sampled documents have it, and its log-odds are so far from 0 and so many standard errors:
+#: by the pair of these with the least loss on one in ``FOLDS`` sampled rows, which isn't fitted then.
+MIN_DOCS, MIN_ODDS, FOLDS = 3, ((1.25, 2.5), (1.75, 1.5), (1.75, 2.5), (2.5, 1.5), (2.5, 2.5)), 4
 PREFIXES = (4, 5, 6)
-#: Words that name a group, by kind of group.
+#: Words that name a group, by kind of group; each kind in one language and form.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -40,9 +45,25 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("american", "mexican", "chinese", "german", "french", "spanish"),
     ("deaf", "blind", "disabled", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
 )
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _STOP = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n\u3002\uff01\uff1f]+")
+_OTHERS: dict[str, tuple[str, ...]] = {}
+for _kind in IDENTITY_TERMS:
+    for _term in _kind:
+        _OTHERS[_term] = (*_OTHERS.get(_term, ()), *(x for x in _kind if x != _term))
 
 
 def words_of(text: str) -> set[str]:
@@ -57,14 +78,15 @@ def features_of(words: Iterable[str]) -> set[str]:
     return out
 
 
-@functools.lru_cache(maxsize=1)
-def _swaps() -> dict[str, tuple[str, ...]]:
-    return {w: tuple(x for x in kind if x != w) for kind in IDENTITY_TERMS for w in kind}
+def swapped(words: set[str]) -> list[set[str]]:
+    """The counterfactuals of a sentence's words: each identity term by each other of its kind."""
+    return [words - {w} | {x} for w in sorted(words & _OTHERS.keys()) for x in _OTHERS[w]]
 
 
-def swapped(words: set[str]) -> list[set[str]]:
-    """The counterfactuals of a text's words: each identity term by each other of its kind."""
-    return [words - {w} | {x} for w in sorted(words & _swaps().keys()) for x in _swaps()[w]]
+def told(text: str) -> list[set[str]]:
+    """The words of the sentences that name a group, or else of the longest sentence."""
+    sentences = [words_of(s) for s in _STOP.split(text)]
+    return [s for s in sentences if s & _OTHERS.keys()] or [max(sentences, key=len)]
 
 
 class Model:
@@ -72,16 +94,15 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
-        self._known: dict[str, tuple[str, ...]] = {}
+        self._known = Bounded()
 
     def logit(self, words: set[str]) -> float:
         w, known, found = self.weights, self._known, set()
-        if len(known) > 400_000:
-            known.clear()
         for word in words:
             f = known.get(word)
             if f is None:
-                f = known[word] = tuple(x for x in features_of((word,)) if x in w)
+                f = tuple(x for x in features_of((word,)) if x in w)
+                known.put(word, f, 50 * len(f))
             if f:
                 found.update(f)
         return self.bias + sum(w[f] for f in sorted(found))
@@ -90,28 +111,34 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -30, 30))))
 
 
-def fit(rows: list[tuple[int, set[str]]], vocabulary: list[str], l2: float = 1e-3, counterfactual: float = 1.0, steps: int = 400) -> Model:
-    """Logistic regression over (label, words) with the counterfactual penalty, by Adam on the whole sample."""
-    at = {f: i for i, f in enumerate(vocabulary)}
+Row = tuple[int, set[str], list[set[str]]]
+
+
+def pairs_of(rows: list[Row]) -> list[tuple[set[str], set[str]]]:
+    """Sentences and their counterfactuals; each sixteenth neutral text without a group gets one named."""
+    terms, out = [kind[0] for kind in IDENTITY_TERMS], []
+    for k, (label, _, sentences) in enumerate(rows):
+        for words in sentences:
+            if not words & _OTHERS.keys() and not label and k % 16 == 0:
+                words = words | {terms[k // 16 % len(terms)]}
+            out += [(words, x) for x in swapped(words)]
+    return out
+
+
+def fit(rows: list[Row], vocabulary: list[str], l2: float = 1e-3, counterfactual: float = 1.0, steps: int = 400) -> Model:
+    """Logistic regression over (label, words, sentences' words) with the counterfactual penalty, by Adam on the whole sample."""
+    at = {f: i for i, f in enumerate(dict.fromkeys([*vocabulary, *_OTHERS]))}
     index = lambda words: sorted(at[f] for f in features_of(words) if f in at)
 
     def matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
 
-    y = np.array([label for label, _ in rows], float)
-    r, c = matrix([index(words) for _, words in rows])
-    pairs: list[tuple[list[int], list[int]]] = []
-    terms = [kind[0] for kind in IDENTITY_TERMS]
-    for k, (label, words) in enumerate(rows):
-        if words & _swaps().keys():
-            pairs += [(index(words), index(x)) for x in swapped(words)]
-        elif not label and k % 16 == 0:
-            term = terms[k // 16 % len(terms)]
-            pairs += [(index(words | {term}), index(x)) for x in swapped(words | {term})]
-    pairs = [p for p in pairs if p[0] != p[1]]
+    y = np.array([r[0] for r in rows], float)
+    r, c = matrix([index(r[1]) for r in rows])
+    pairs = [(index(a), index(b)) for a, b in pairs_of(rows)]
     ra, ca = matrix([p[0] for p in pairs])
     rb, cb = matrix([p[1] for p in pairs])
-    n, v, m = len(rows), len(vocabulary), max(1, len(pairs))
+    n, v, m = len(rows), len(at), max(1, len(pairs))
     w, b = np.zeros(v), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     mom, var, mb, vb = np.zeros(v), np.zeros(v), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -132,7 +159,22 @@ def fit(rows: list[tuple[int, set[str]]], vocabulary: list[str], l2: float = 1e-
 
 
 def held_out(col: str = "doc_id"):
-    return F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def chosen_features(rows: list[Row], odds: dict[str, tuple[float, float]], counterfactual: float) -> list[str]:
+    """Those of the features (with log-odds and their number of standard errors) that give the least loss on the fold that isn't fitted."""
+    of = lambda pair: [f for f, (x, e) in odds.items() if abs(x) >= pair[0] and e >= pair[1]]
+    fitted, held = [r for k, r in enumerate(rows) if k % FOLDS], [r for k, r in enumerate(rows) if k % FOLDS == 0]
+    if not {0, 1} <= {r[0] for r in fitted} or not held:
+        return of(MIN_ODDS[-1])
+
+    def loss(pair: tuple[float, float]) -> float:
+        m = fit(fitted, of(pair), counterfactual=counterfactual, steps=120)
+        z = np.clip(np.array([m.logit(r[1]) for r in held]) * np.array([1 - 2 * r[0] for r in held]), -30, 30)
+        return float(np.log1p(np.exp(z)).mean())
+
+    return of(min(MIN_ODDS, key=lambda x: (loss(x), x)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, counterfactual: float = 1.0) -> Model:
@@ -152,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, co
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for f in features_of(words_of(text.as_py())):
                     n.setdefault(f, [0, 0])[y] += 1
-            if len(n) > 300_000:
+            if len(n) > 100_000:
                 yield _counts(n)
                 n = {}
         yield _counts(n)
@@ -160,22 +202,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, co
     size = dict(sample.groupBy("toxic").count().collect())
     if len(size) < 2:
         return Model({}, -30.0)
-    per = sample.mapInArrow(counted, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    per = mapped(sample, counted, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (size[1] + 1)) - F.log((F.col("neg") + 0.5) / (size[0] + 1))
     gain = F.abs(odds) * F.sqrt(F.col("pos") / size[1] + F.col("neg") / size[0])
     errors = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    telling = (F.col("neg") + F.col("pos") >= MIN_DOCS) & (F.abs(odds) >= MIN_ODDS) & (errors >= MIN_ERRORS)
+    telling = (F.col("neg") + F.col("pos") >= MIN_DOCS) & (F.abs(odds) >= min(x for x, _ in MIN_ODDS)) & (errors >= min(e for _, e in MIN_ODDS))
     best = per.where(telling).orderBy(gain.desc(), "f").limit(FEATURES)
-    vocabulary = [r.f for r in best.select("f").collect()]
-    wanted = frozenset(vocabulary) | {t for kind in IDENTITY_TERMS for t in kind}
+    vocabulary = {r.f: (r.odds, r.errors) for r in best.select("f", odds.alias("odds"), errors.alias("errors")).collect()}
+    wanted = frozenset(vocabulary) | _OTHERS.keys()
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = lambda words: [w for w in sorted(words) if not wanted.isdisjoint(features_of((w,)))]
         for batch in batches:
-            words = [[w for w in sorted(words_of(t.as_py())) if not wanted.isdisjoint(features_of((w,)))] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
+            texts = [t.as_py() for t in batch.column(1)]
+            words = pa.array([keep(words_of(t)) for t in texts], pa.list_(pa.string()))
+            sentences = pa.array([[keep(x) for x in told(t)] for t in texts], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words, sentences], ["toxic", "words", "sentences"])
 
-    rows = [(r.toxic, set(r.words)) for r in sample.mapInArrow(chosen, "toxic int, words array<string>").toLocalIterator()]
-    return fit(sorted(rows, key=lambda r: (r[0], sorted(r[1]))), vocabulary, counterfactual=counterfactual)
+    got = mapped(sample, chosen, "toxic int, words array<string>, sentences array<array<string>>").toLocalIterator()
+    rows = sorted(((r.toxic, r.words, r.sentences) for r in got))
+    rows = [(y, set(words), [set(x) for x in sentences]) for y, words, sentences in rows]
+    return fit(rows, chosen_features(rows, vocabulary, counterfactual), counterfactual=counterfactual)
 
 
 def _counts(n: dict[str, list[int]]) -> pa.RecordBatch:
@@ -183,25 +230,21 @@ def _counts(n: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.int64())], ["f", "neg", "pos"])
 
 
-@functools.lru_cache(maxsize=2)
-def _model(spec: str) -> Model:
-    return Model(*json.loads(spec))
-
-
 def scorer(model: Model):
     """A column function: the score of a whole text (a string column, null as empty)."""
     spec = json.dumps([model.weights, model.bias])
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        m = _model(spec)
-        return pd.Series([m.score(t) for t in text], dtype="float64")
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        m = resident(("toxicity", spec), lambda: Model(*json.loads(spec)))
+        return pa.array([m.score(t.as_py()) for t in text], pa.float64())
 
     return lambda col: score(F.coalesce(F.col(col), F.lit("")))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
+    small_batches(docs.sparkSession)
     score = scorer(train(docs, labels))
     rows = docs.select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -209,6 +252,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't call toxic."""
+    small_batches(docs.sparkSession)
     score = scorer(train(docs, labels))
     rows = docs.select(F.struct("*").alias("row"), score("text").alias("score")).where("score < 0.5")
     return rows.select("row.*")
