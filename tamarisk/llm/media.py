@@ -1,12 +1,12 @@
 """Media columns: byte payloads as 8-bit greyscale PNG images in archives, and a data source that reads them back.
 
 An archive is a sequence of stored members followed by its directory (name, offset, length, crc of each) and a
-fixed-size tail that tells where the directory is. The data source lists archives and reads their tails only to
-plan byte ranges; each task finds its range's members in the directory, streams them in Arrow batches and reads a
+fixed-size tail that tells where the directory is. The data source plans byte ranges from a manifest that tells where
+each archive's directory begins (for a folder without one, from the archives' tails); each task finds its range's members in the directory, streams them in Arrow batches and reads a
 member that fails again by its own offset, a few times, so one bad read doesn't repeat the range.
 
 Null payloads are written as empty ones (64 zero bytes after padding); names may repeat and may be null; an empty
-table gives no archive and no rows. Columns other than those named are ignored.
+table gives no archive and no rows; repeated rows are members each. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tamarisk.llm.common import filesystem, new_folder, reader, stored, whole_text, writer
+from tamarisk.llm.common import filesystem, mapped, new_folder, reader, stored_map, whole_text, writer
 
 WIDTH = 64
-ARCHIVE_BYTES = 64 * 1024 * 1024
+ARCHIVE_BYTES = 1024 * 1024 * 1024
 RANGE_BYTES = 16 * 1024 * 1024
+#: So many ranges at most are planned; of more bytes than that each range gets larger.
+MOST_RANGES = 100_000
 BATCH_BYTES = 4 * 1024 * 1024
 RETRIES = 3
 PNG, LENGTH = b"\x89PNG\r\n\x1a\n", b"tmLn"
@@ -134,13 +136,19 @@ def tail(f) -> tuple[int, int]:
 
 
 def write_archives(payloads: DataFrame, name: str, payload: str, folder: str) -> DataFrame:
-    """Each partition's payloads (a binary column) as archives of a bounded size; ``path, members`` of each.
+    """Each partition's payloads (a binary column) as archives of a bounded size; ``path, members, directory`` (its place) of each.
 
     A task that runs again writes new files; only those that are returned count.
     """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, opened, w, path = [], None, None, ""
+
+        def close() -> None:
+            w.close()
+            opened.__exit__(None, None, None)
+            made.append((path, len(w.entries), w.at))
+
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if w is None:
@@ -150,18 +158,15 @@ def write_archives(payloads: DataFrame, name: str, payload: str, folder: str) ->
                 raw = body.as_py()
                 w.add(key, encode_png(padded(raw), len(raw)))
                 if w.at >= ARCHIVE_BYTES:
-                    w.close()
-                    opened.__exit__(None, None, None)
-                    made.append((path, len(w.entries)))
+                    close()
                     w = None
         if w is not None:
-            w.close()
-            opened.__exit__(None, None, None)
-            made.append((path, len(w.entries)))
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["path", "members"])
+            close()
+        types = [pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], ["path", "members", "directory"])
 
     rows = payloads.select(F.col(name).cast("long").alias("name"), F.coalesce(F.col(payload), F.lit(b"")).alias("payload"))
-    return rows.mapInArrow(write, "path string, members long")
+    return stored_map(rows, write, "path string, members long, directory long", "media-manifest")[0]
 
 
 class Range(InputPartition):
@@ -171,24 +176,29 @@ class Range(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.paths = options["paths"].split("\n") if options.get("paths") else []
-        self.folder = options.get("path")
+        self.manifest, self.folder = options.get("manifest"), options.get("path")
         self.step = int(options.get("rangeBytes", RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
-        """Byte ranges of all archives' members, from the archives' tails."""
-        paths = self.paths
-        if self.folder:
-            from pyarrow import fs
-
-            at, inside = filesystem(self.folder)
-            found = at.get_file_info(fs.FileSelector(inside))
-            paths = sorted(f"{self.folder}/{x.base_name}" for x in found if x.base_name.endswith(".arc"))
-        out = []
-        for path in paths:
+    def archives(self) -> list[tuple[str, int]]:
+        """Each archive and where its directory begins, from the manifest or else from the tails."""
+        if self.manifest:
+            with reader(self.manifest) as f:
+                lines = f.read().decode().splitlines()
+            return [(path, int(at)) for path, at in (x.rsplit("\t", 1) for x in lines)]
+        from pyarrow import fs
+
+        at, inside = filesystem(self.folder)
+        found, out = at.get_file_info(fs.FileSelector(inside)), []
+        for path in sorted(f"{self.folder}/{x.base_name}" for x in found if x.base_name.endswith(".arc")):
             with reader(path) as f:
-                end, _ = tail(f)
-            out += [Range(path, s, min(s + self.step, end)) for s in range(0, max(end, 1), self.step)]
+                out.append((path, tail(f)[0]))
+        return out
+
+    def partitions(self) -> list[Range]:
+        """Byte ranges of all archives' members."""
+        found = self.archives()
+        step = max(self.step, sum(end for _, end in found) // MOST_RANGES)
+        out = [Range(path, s, min(s + step, end)) for path, end in found for s in range(0, max(end, 1), step)]
         return out or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -247,10 +257,14 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The members of the archives at ``paths`` (one a 64 MB, so the driver holds the list)."""
+def read_archives(spark: SparkSession, made: DataFrame) -> DataFrame:
+    """The members of the archives that ``made(path, directory)`` lists; the list (a line an archive) is one file for the planner."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("media_archive").option("paths", "\n".join(paths)).load()
+    manifest = f"{new_folder(spark, 'media-list')}/archives"
+    with writer(manifest) as f:
+        for r in made.select("path", "directory").toLocalIterator():
+            f.write(f"{r.path}\t{r.directory}\n".encode())
+    return spark.read.format("media_archive").option("manifest", manifest).load()
 
 
 def measured(media: DataFrame) -> DataFrame:
@@ -270,12 +284,11 @@ def measured(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return media.select("name", "media").mapInArrow(run, schema)
+    return mapped(media.select("name", "media"), run, schema)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Texts as archived images, read back: ``name`` (doc_id), digests and features."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", whole_text().cast("binary").alias("payload"))
-    made = stored(write_archives(rows, "doc_id", "payload", new_folder(spark, "media")), "media-manifest")
-    return measured(read_archives(spark, [r.path for r in made.toLocalIterator()]))
+    return measured(read_archives(spark, write_archives(rows, "doc_id", "payload", new_folder(spark, "media"))))
