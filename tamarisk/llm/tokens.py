@@ -16,7 +16,8 @@ from array import array
 
 from tamarisk.llm.common import Bounded, resident
 
-LONG_CHUNK = 64
+#: Chunks up to so long are remembered, in a table of so many bytes.
+LONG_CHUNK, MEMO_BYTES = 64, 96 * 1024 * 1024
 
 _GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Before a space that a visible character follows the byte-level pattern always starts a new match.
@@ -36,7 +37,7 @@ class CachedEncoder:
     end_id: int
 
     def __init__(self) -> None:
-        self._known = Bounded()
+        self._known = Bounded(MEMO_BYTES)
 
     def chunks(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -51,15 +52,15 @@ class CachedEncoder:
             return b"".join([known[p] for p in parts])
         except KeyError:
             pass
-        out = []
-        for p in parts:
+        now = {}
+        for p in set(parts):
             ids = known.get(p)
             if ids is None:
                 ids = array("H", self.fresh(p)).tobytes()
                 if len(p) <= LONG_CHUNK:
                     known.put(p, ids, len(ids))
-            out.append(ids)
-        return b"".join(out)
+            now[p] = ids
+        return b"".join([now[p] for p in parts])
 
 
 def _library(path: str):
