@@ -98,6 +98,13 @@ def stored_rows(df: DataFrame, name: str, path: str | None = None) -> tuple[Data
     return stored_map(df, iter, df.schema, name, path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` gives, stored; the folders that it needed meanwhile are deleted."""
+    path = new_folder(spark, name)
+    with temporaries(spark):
+        return stored(make(), name, path)
+
+
 def stored_map(rows: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: StructType | str, name: str, path: str | None = None) -> tuple[DataFrame, int]:
     """What ``run`` makes of ``rows``, written by the workers themselves to the shared folder, and its number of rows.
 
