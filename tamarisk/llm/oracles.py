@@ -104,4 +104,65 @@ SELECT pair_id, segment,
 FROM rel GROUP BY ALL
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_preference_chat": _OP9}
+def _digested(*fields: str) -> str:
+    """The leaf of a row's fields."""
+    parts = [f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32 of a number's digits, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda v, j: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+_OP12 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_digested("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    CASE WHEN c % 7 = 0 THEN {_digested("doc_id", "source", "lang", "n_chars + 1", "text")} END AS tampered
+  FROM (SELECT *, {_CRC} AS c FROM documents)
+), placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+inner_nodes AS (
+  SELECT 0 AS level, lang, i, leaf AS h FROM placed
+  UNION ALL
+  SELECT level + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, max(i) OVER (PARTITION BY lang) AS top FROM inner_nodes) WHERE top > 0 GROUP BY level, lang, i // 2
+), subroots AS (
+  SELECT lang, h AS subroot, depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i
+  FROM (SELECT *, max(level) OVER (PARTITION BY lang) AS depth FROM inner_nodes) WHERE level = depth
+), outer_nodes AS (
+  SELECT 0 AS level, i, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, max(i) OVER () AS top FROM outer_nodes) WHERE top > 0 GROUP BY level, i // 2
+), top AS (SELECT h AS root, level AS height FROM outer_nodes ORDER BY level DESC LIMIT 1),
+rows AS (SELECT p.*, s.subroot, s.depth, s.i AS g, t.root, t.height FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang, top t),
+steps AS (
+  SELECT r.doc_id, r.i, r.lang, k, (r.i >> k) % 2 AS pos, coalesce(n.h, '') AS h
+  FROM (SELECT *, unnest(range(depth)) AS k FROM rows) r LEFT JOIN inner_nodes n ON n.level = r.k AND n.lang IS NOT DISTINCT FROM r.lang AND n.i = xor(r.i >> k, 1)
+  UNION ALL
+  SELECT r.doc_id, r.i, r.lang, depth + k, (r.g >> k) % 2, coalesce(n.h, '')
+  FROM (SELECT *, unnest(range(height)) AS k FROM rows) r LEFT JOIN outer_nodes n ON n.level = r.k AND n.i = xor(r.g >> k, 1)
+), paths AS (SELECT lang, i, list(h ORDER BY k) AS h, list(pos ORDER BY k) AS pos FROM steps GROUP BY lang, i),
+folds AS (
+  SELECT r.lang, r.i, 0 AS k, coalesce(tampered, leaf) AS acc, coalesce(p.h, []) AS h, coalesce(p.pos, []) AS pos FROM rows r LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM r.lang AND p.i = r.i
+  UNION ALL
+  SELECT lang, i, k + 1, CASE WHEN pos[k + 1] = 0 THEN sha256(acc || h[k + 1]) ELSE sha256(h[k + 1] || acc) END, h, pos FROM folds WHERE k < len(h)
+)
+SELECT r.doc_id, r.leaf, r.subroot, r.root, sha256(array_to_string(f.h, '')) AS proof_sha256, f.acc AS folded_root, f.acc = r.root AS verified
+FROM rows r JOIN folds f ON f.lang IS NOT DISTINCT FROM r.lang AND f.i = r.i AND f.k = len(f.h)
+"""
+
+_OP13 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), chance AS (
+  SELECT doc_id, text, t, len(t) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(s, k, 8) AS BIGINT)) AS h FROM cut
+), placed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM chance
+), parts AS (SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:n], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_ngram_jaccard_join": _OP2, "op9_preference_chat": _OP9, "op12_merkle_manifest": _OP12, "op13_fill_middle": _OP13}

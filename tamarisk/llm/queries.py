@@ -77,11 +77,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.quality import scores
+
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.merkle import audited
+
+    return audited(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarisk.llm.fill_middle import digests, filled
+
+    return digests(filled(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_ngram_jaccard_join, op3_sentencepiece, op4_media_columns, op5_token_store,
         op6_fingerprints, op7_best_fit_packing, op8_language_id, op9_preference_chat, op10_toxicity,
+        op11_quality, op12_merkle_manifest, op13_fill_middle,
     )
 }
 
