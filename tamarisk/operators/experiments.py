@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
-from tamarisk.operators import grounding, lexical, metrics
+from tamarisk.operators import grounding, lexical, metrics, postings
 
 METRICS = ("recall", "precision", "mrr", "ndcg")
 
@@ -19,8 +19,9 @@ def lexical_grid(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, polici
     out = []
     for policy in policies:
         form = lambda t, p=policy: T.tokens(T.normalised(t, p))
-        for method, rank in (("bm25", lexical.bm25_top_k), ("jaccard", lexical.jaccard_top_k)):
-            ranking = rank(corpus, queries, k, tokenize=form).select("query_id", "doc_id", "rank")
+        index = lexical.indexed(corpus, tokenize=form)
+        for method, rank in (("bm25", postings.bm25_top_k), ("jaccard", postings.jaccard_top_k)):
+            ranking = rank(index, queries, k, form).select("query_id", "doc_id", "rank")
             rows = metrics.query_metrics(ranking, qrels, k)
             out.append(rows.select(F.lit(method).alias("method"), F.lit(policy).alias("policy"), "query_id", *METRICS))
     return reduce(DataFrame.unionByName, out)

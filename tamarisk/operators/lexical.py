@@ -1,28 +1,23 @@
-"""Lexical ranking of texts for many queries in one job.
+"""Lexical scores of texts for many queries in one job.
 
 Query terms are joined before anything is grouped, so only postings that some query asks for are shuffled, by document:
 what a document scores for each query is then summed where its postings are. Terms are counted first, and broadcast only
-up to ``MOST_TERMS``; beyond that they are joined by token. Rankings multiply blocks of documents with the table of
-terms, so that of all scores only the k best of each query leave a task. Corpus figures (count, average length, document frequency)
-always cover the whole corpus, filtered or not.
+up to ``MOST_TERMS``; beyond that they are joined by token. Corpus figures (count, average length, document frequency)
+always cover the whole corpus, filtered or not. Rankings of the k best go by an index (``postings``), made for the call or given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
+from tamarisk.operators import postings as index
+from tamarisk.plans.lineage import fresh_folder
 
 DIGITS = 8
 #: So many rows of query terms at most are broadcast.
 MOST_TERMS = 200_000
-#: Scores of documents and queries that a task holds at a time.
-BLOCK_SCORES = 4_000_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
@@ -83,91 +78,23 @@ def _weighted(corpus: DataFrame, terms: DataFrame, n_terms: int, k1: float, b: f
     return post.join(df, "token").select("doc_id", "token", weight.alias("weight"))
 
 
-def _best(postings: DataFrame, terms: list[tuple], k: int, finish: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``query_id, doc_id, score`` of each partition's k best documents of every query.
-
-    ``postings`` is ``doc_id, token, weight, extra`` with a document's rows in one partition; ``terms`` are rows of query, token,
-    weight and extra. ``finish(sums, documents' extras, queries' extras)`` gives the scores; a pair without a common token has none.
-    """
-    queries = sorted({t[0] for t in terms})
-    tokens = {t: i for i, t in enumerate(dict.fromkeys(t[1] for t in terms))}
-    place = {q: i for i, q in enumerate(queries)}
-    rows = sorted((tokens[t[1]], place[t[0]], float(t[2])) for t in terms)
-    of, which, weights = (np.array(x) for x in zip(*rows)) if rows else (np.empty(0, int), np.empty(0, int), np.empty(0))
-    ends = np.searchsorted(of, np.arange(len(tokens) + 1))
-    extras = np.zeros(len(queries))
-    for t in terms:
-        extras[place[t[0]]] = t[3]
-    block = max(1, BLOCK_SCORES // max(1, len(queries)))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.full(len(queries), -np.inf)
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-
-        def compact() -> None:
-            order = np.lexsort((kept[1], -kept[2], kept[0]))
-            q, d, s = (x[order] for x in kept)
-            first = np.searchsorted(q, q)
-            stay = np.arange(len(q)) - first < k
-            kept[:] = q[stay], d[stay], s[stay]
-            n = np.bincount(kept[0], minlength=len(queries))
-            full = np.flatnonzero(n == k)
-            floor[full] = kept[2][np.cumsum(n)[full] - 1]
-
-        def take(docs: np.ndarray, toks: np.ndarray, w: np.ndarray, extra: np.ndarray) -> None:
-            ids, first, at = np.unique(docs, return_index=True, return_inverse=True)
-            for a in range(0, len(ids), block):
-                part = (at >= a) & (at < a + block)
-                t, n = toks[part], min(block, len(ids) - a)
-                count = ends[t + 1] - ends[t]
-                each = np.repeat(np.arange(len(t)), count)
-                places = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[t], count)
-                cell = (at[part] - a)[each] * len(queries) + which[places]
-                sums = np.bincount(cell, w[part][each] * weights[places], n * len(queries)).reshape(n, len(queries))
-                scores = np.round(finish(sums, extra[first[a : a + n]], extras), DIGITS)
-                i, q = np.nonzero((sums > 0) & (scores >= floor))
-                kept[:] = (np.concatenate((x, y)) for x, y in zip(kept, (q, ids[a + i], scores[i, q])))
-                if len(kept[0]) > 4 * k * len(queries) + 100_000:
-                    compact()
-
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            now = [b.column(0).to_numpy(), np.fromiter((tokens[t] for t in b.column(1).to_pylist()), np.int64, b.num_rows), b.column(2).to_numpy(), b.column(3).to_numpy()]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            take(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if held is not None:
-            take(*held)
-        compact()
-        yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in kept[0].tolist()], pa.int64()), pa.array(kept[1]), pa.array(kept[2])], ["query_id", "doc_id", "score"])
-
-    rows_ = postings.select(F.col("doc_id").cast("long").alias("doc_id"), "token", F.col("weight").cast("double").alias("weight"), F.col("extra").cast("double").alias("extra"))
-    return rows_.where("doc_id is not null").sortWithinPartitions("doc_id").mapInArrow(run, "query_id long, doc_id long, score double")
+def indexed(corpus: DataFrame, k1: float = 1.2, b: float = 0.75, tokenize=T.tokens) -> index.Index:
+    """An index of ``doc_id, text`` that goes when the application ends."""
+    return index.build(corpus, fresh_folder(corpus.sparkSession, "index"), k1, b, tokenize)
 
 
 def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, tokenize=T.tokens, eligible: DataFrame | None = None) -> DataFrame:
-    """``query_id, doc_id, score, rank`` of the k best documents of each query; identifiers are integers."""
-    terms = query_terms(queries, tokenize)
-    n_terms = terms.count()
-    if n_terms > MOST_TERMS:
-        return top_k(bm25(corpus, queries, k1, b, tokenize, eligible), k)
-    rows = [(r.query_id, r.token, r.qtf, 0.0) for r in terms.where("query_id is not null").collect()]
-    post = _weighted(corpus, terms, n_terms, k1, b, tokenize, eligible).withColumn("extra", F.lit(0.0))
-    return top_k(_best(post, rows, k, lambda sums, d, q: sums), k)
+    """``query_id, doc_id, score, rank`` of the k best documents of each query."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    return index.bm25_top_k(indexed(corpus, k1, b, tokenize), queries, k, tokenize, eligible)
 
 
 def jaccard_top_k(corpus: DataFrame, queries: DataFrame, k: int, tokenize=T.tokens) -> DataFrame:
-    """``query_id, doc_id, score, rank`` of the k documents most alike as sets of tokens; identifiers are integers."""
-    q = queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("toks"))
-    terms = q.select("query_id", F.size("toks").alias("nq"), F.explode("toks").alias("token"))
-    if (n_terms := terms.count()) > MOST_TERMS:
-        return top_k(jaccard(corpus, queries, tokenize), k)
-    rows = [(r.query_id, r.token, 1.0, r.nq) for r in terms.where("query_id is not null").collect()]
-    d = corpus.select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("toks"))
-    d = d.select("doc_id", T.once(F.size("toks")).alias("extra"), "toks").select("doc_id", "extra", F.explode("toks").alias("token"))
-    d = d.join(_near(terms.select("token").distinct(), n_terms), "token").withColumn("weight", F.lit(1.0))
-    return top_k(_best(d, rows, k, lambda sums, nd, nq: sums / (nd[:, None] + nq[None, :] - sums)), k)
+    """``query_id, doc_id, score, rank`` of the k documents most alike as sets of tokens."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    return index.jaccard_top_k(indexed(corpus, tokenize=tokenize), queries, k, tokenize)
 
 
 def jaccard(corpus: DataFrame, queries: DataFrame, tokenize=T.tokens) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarisk.operators import dense, fusion, grounding, lexical
+from tamarisk.operators import dense, fusion, grounding, lexical, postings
 from tamarisk.plans.lineage import cut
 
 
@@ -31,9 +31,12 @@ def dense_ranking(corpus: DataFrame, queries: DataFrame, k: int, encoder=None, d
     return dense.dense_top_k(docs, asked, k)
 
 
-def retrieved(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(), encoder=None) -> DataFrame:
-    """A lexical and a dense ranking fused and reranked by shared terms: ``query_id, doc_id, provenance, score, rerank_score, rank``."""
-    sparse = lexical.bm25_top_k(corpus, queries, settings.depth)
+def retrieved(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(), encoder=None, index: postings.Index | None = None) -> DataFrame:
+    """A lexical and a dense ranking fused and reranked by shared terms: ``query_id, doc_id, provenance, score, rerank_score, rank``.
+
+    ``index`` is of the same corpus; without one it is built for the call.
+    """
+    sparse = postings.bm25_top_k(index or lexical.indexed(corpus), queries, settings.depth)
     second = dense_ranking(corpus, queries, settings.depth, encoder, settings.dimension)
     fused = fusion.reciprocal_rank_fusion(sparse, second, 1.0, settings.dense_weight, depth=settings.depth)
     texts = fused.join(queries.withColumnRenamed("text", "query"), "query_id").join(corpus.select("doc_id", "text"), "doc_id")
@@ -41,10 +44,10 @@ def retrieved(corpus: DataFrame, queries: DataFrame, settings: Settings = Settin
     return fusion.reranked(scored, serve=settings.serve).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
-def answers(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(), encoder=None) -> DataFrame:
+def answers(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(), encoder=None, index: postings.Index | None = None) -> DataFrame:
     """``query_id, outcome, answer, citations`` of every question: refused by a rule, abstained, or answered with lines
     that were found word by word in the documents they cite."""
-    ranked = retrieved(corpus, queries, settings, encoder).select("query_id", "doc_id", "rank")
+    ranked = retrieved(corpus, queries, settings, encoder, index).select("query_id", "doc_id", "rank")
     cost = corpus.select("doc_id", F.length("text").cast("long").alias("cost"))
     # a few rows a question, read by all that follows
     held = cut(grounding.within_budget(ranked.join(cost, "doc_id"), "query_id", ["rank", "doc_id"], "cost", settings.budget).where("admitted"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.operators import dense, fusion, lexical
-from tamarisk.queries.tables import QUERY_ROWS, benchmark, corpus, table, vectors
+from tamarisk.operators import dense, fusion, lexical, postings
+from tamarisk.queries.tables import QUERY_ROWS, benchmark, corpus, corpus_index, table, vectors
 from tamarisk.registry import query
 
 _TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
@@ -44,11 +44,11 @@ _JA50 = f"SELECT query_id, doc_id, {_TOP} AS rank FROM jaccard QUALIFY rank <= 5
 
 
 def bm25_ranking(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.bm25_top_k(corpus(spark, sf_dir), benchmark(spark, sf_dir), k)
+    return postings.bm25_top_k(corpus_index(spark, sf_dir), benchmark(spark, sf_dir), k)
 
 
 def jaccard_ranking(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.jaccard_top_k(corpus(spark, sf_dir), benchmark(spark, sf_dir), k)
+    return postings.jaccard_top_k(corpus_index(spark, sf_dir), benchmark(spark, sf_dir), k)
 
 
 def dense_ranking(spark: SparkSession, sf_dir: str, k: int, eligible: DataFrame | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, {_TOP} AS rank FROM bm25 WHERE lang IN ('de', 'fr') QUALIFY rank <= 10")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
-    return lexical.bm25_top_k(docs, benchmark(spark, sf_dir), 10, eligible=docs.where(F.col("lang").isin("de", "fr")))
+    return postings.bm25_top_k(corpus_index(spark, sf_dir), benchmark(spark, sf_dir), 10, eligible=docs.where(F.col("lang").isin("de", "fr")))
 
 
 @query(f"WITH {_JACCARD} SELECT query_id, doc_id, score, {_TOP} AS rank FROM jaccard QUALIFY rank <= 10")
@@ -117,7 +117,7 @@ def hybrid_served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and dense rankings fused, reranked and cut to what is served."""
     from tamarisk.plans.answering import retrieved
 
-    return retrieved(corpus(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+    return retrieved(corpus(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir), index=corpus_index(spark, sf_dir))
 
 
 @query((_FUSED % ("1.0::DOUBLE", "1.0::DOUBLE")).replace("<= 50", "<= 12") + f" SELECT query_id, doc_id, sparse_rank, dense_rank, score, provenance, {_TOP} AS rank FROM fused QUALIFY rank <= 8")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.operators import lexical, postings
+from tamarisk.plans.lineage import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +26,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+_indexes: dict[tuple[str, str], tuple[str, postings.Index]] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The lexical index of a folder's documents: built by the first query of a session that asks, and again when their files have changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), written(f"{sf_dir}/documents.parquet", spark)
+    if key not in _indexes or _indexes[key][0] != now:
+        _indexes[key] = (now, lexical.indexed(corpus(spark, sf_dir)))
+    return _indexes[key][1]
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
