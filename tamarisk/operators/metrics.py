@@ -6,12 +6,16 @@ Rankings are ``query_id, doc_id, rank``; judgements ``query_id, doc_id, grade``,
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tamarisk.operators.sampling import prefix_sums
 
@@ -94,30 +98,82 @@ def risk_difference(pairs: DataFrame, before: str, after: str) -> DataFrame:
     )
 
 
-def bootstrap(pairs: DataFrame, group: str, left: str, right: str, rule: str = "ceil", replicates: int = 2000, confidence: float = 0.95, seed: int = 17) -> DataFrame:
-    """Percentile intervals of the mean paired difference of each group, resampled by a seeded generator.
+RULES = ("ceil", "floor", "linear")
+#: Resampling weights are Poisson of mean 1: how often a number is below these is the chance of 0, of at most 1, and so on.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
+#: Rows whose weights a task holds at a time.
+WEIGHT_ROWS = 256
 
-    Rules of the interval's ends among the sorted means: ``ceil`` takes places ceil(a R) - 1 and ceil((1 - a) R) - 1,
-    ``floor`` int(a (R - 1)) and int((1 - a) (R - 1)), ``linear`` interpolates. One group's pairs meet in one task.
+
+def poisson_weights(rows: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Of each row's 64-bit hash and each replicate how often it is drawn: the same wherever and whenever it is worked out."""
+    with np.errstate(over="ignore"):
+        each = (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+        x = rows.astype(np.uint64)[:, None] ^ each[None, :]
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def bootstrap(pairs: DataFrame, group: str, left: str, right: str, rule: str = "ceil", replicates: int = 2000, confidence: float = 0.95, seed: int = 17, key: str | None = None) -> DataFrame:
+    """``group, n, delta, low, high``: percentile intervals of the mean paired difference of each group.
+
+    A replicate takes each pair as often as a Poisson number of mean 1 says, made of a hash of its ``key`` (or of all its columns), so sums of weights and of weighted
+    differences merge over tasks: no group meets in one, whatever its size, and what is shuffled is a sum a task, group and replicate. Its interval is
+    that of drawing n pairs with replacement up to a share of about 1/n of its width and the noise of the replicates. Replicates that take no pair are left out; pairs with a null on
+    either side don't count. Equal keys are drawn together, so give one that tells pairs apart.
+
+    Rules of the interval's ends among the R sorted means: ``ceil`` takes places ceil(a R) - 1 and ceil((1 - a) R) - 1,
+    ``floor`` int(a (R - 1)) and int((1 - a) (R - 1)), ``linear`` interpolates.
     """
-    if rule not in ("ceil", "floor", "linear"):
+    if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}")
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf[left] - pdf[right]).to_numpy(float)
-        d.sort()
-        rng = np.random.default_rng(seed)
-        means = np.sort([d[rng.integers(0, len(d), len(d))].mean() for _ in range(replicates)])
-        a = (1 - confidence) / 2
-        if rule == "ceil":
-            lo, hi = means[max(0, math.ceil(a * replicates) - 1)], means[math.ceil((1 - a) * replicates) - 1]
-        elif rule == "floor":
-            lo, hi = means[int(a * (replicates - 1))], means[int((1 - a) * (replicates - 1))]
-        else:
-            lo, hi = np.quantile(means, [a, 1 - a])
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(d)], "delta": [d.mean()], "low": [lo], "high": [hi]})
-
-    kind = pairs.schema[group].dataType.simpleString()
-    return pairs.select(group, left, right).groupBy(group).applyInPandas(run, f"`{group}` {kind}, n long, delta double, low double, high double")
+    value = F.col(left).cast("double") - F.col(right).cast("double")
+    rows = pairs.select(F.col(group).alias("g"), value.alias("d"), F.xxhash64(*([key] if key else pairs.columns)).alias("h")).where("d is not null")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[Any, np.ndarray] = {}
+        for batch in batches:
+            groups, d, h = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            names = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+            of = np.array([names[g] for g in groups])
+            for g, i in names.items():
+                own = np.flatnonzero(of == i)
+                total = sums.setdefault(g, np.zeros((2, replicates)))
+                for a in range(0, len(own), WEIGHT_ROWS):
+                    some = own[a : a + WEIGHT_ROWS]
+                    w = poisson_weights(h[some], replicates, seed)
+                    total += w.sum(0), d[some] @ w
+            if len(sums) > 256:
+                yield from flushed(sums)
+        yield from flushed(sums)
+
+    def flushed(sums: dict[Any, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for g, total in sums.items():
+            columns = [pa.array([g] * replicates, kind), pa.array(np.arange(replicates)), pa.array(total[0]), pa.array(total[1])]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "r", "w", "s"])
+        sums.clear()
+
+    spec, kind = pairs.schema[group].dataType, to_arrow_type(pairs.schema[group].dataType)
+    schema = StructType([StructField("g", spec), StructField("r", LongType()), StructField("w", DoubleType()), StructField("s", DoubleType())])
+    means = rows.mapInArrow(run, schema).groupBy("g", "r").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0")
+    means = means.groupBy("g").agg(F.sort_array(F.collect_list(F.col("s") / F.col("w"))).alias("m"))
+    size, tail = F.size("m"), (1 - confidence) / 2
+    at = lambda place: F.get("m", F.greatest(place, F.lit(0)).cast("int"))
+    if rule == "ceil":
+        low, high = at(F.ceil(size * tail) - 1), at(F.ceil(size * (1 - tail)) - 1)
+    elif rule == "floor":
+        low, high = at(F.floor((size - 1) * tail)), at(F.floor((size - 1) * (1 - tail)))
+    else:
+        def between(p: float) -> Column:
+            place = (size - 1) * p
+            return at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * (place - F.floor(place))
+
+        low, high = between(tail), between(1 - tail)
+    ends = means.select(F.col("g").alias("_g"), low.alias("low"), high.alias("high"))
+    figures = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("d").alias("delta"))
+    return figures.join(ends, F.col("g").eqNullSafe(F.col("_g"))).select(F.col("g").alias(group), "n", "delta", "low", "high")
 
 
 def percentile_nearest(column: str, p: float) -> Column:

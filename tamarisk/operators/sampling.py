@@ -103,17 +103,67 @@ def length_bins(frame: DataFrame, column: str) -> DataFrame:
     return frame.crossJoin(F.broadcast(cuts)).withColumn("bin", F.when(F.col(column) <= F.col("a"), "short").when(F.col(column) <= F.col("b"), "medium").otherwise("long")).drop("a", "b")
 
 
+#: Bits of the sets of sums that ``chosen_sizes`` may hold.
+MOST_BITS = 1 << 33
+
+
+def chosen_sizes(counts: dict[int, int], target: int) -> dict[int, int]:
+    """How many of each size to take so that their sum is as near to ``target`` as any choice gets; of two as near, the lower.
+
+    Sizes in ascending order add to every sum up to their total as long as each is at most one more than the total of those before it; what
+    lies in such a run is taken greedily. Only sums of the greater sizes are searched, as a bitset that each size (by powers of two of its
+    count) shifts onto itself; what each step reached first leads back to a choice. Memory goes with the number of those steps times the target.
+    """
+    run, sizes = 0, sorted(s for s, c in counts.items() if s > 0 and c > 0)
+    small = []
+    while sizes and sizes[0] <= run + 1:
+        small.append(sizes.pop(0))
+        run += small[-1] * counts[small[-1]]
+    reach, steps = 1, []
+    if target > run:
+        limit = (1 << (2 * target + 1)) - 1
+        for size in sizes:
+            left, times = counts[size], 1
+            while left > 0:
+                times = min(times, left)
+                new = (reach << (size * times)) & limit & ~reach
+                steps.append((size, times, new))
+                if len(steps) * 2 * target > MOST_BITS:
+                    raise ValueError("too many sizes that nothing smaller adds up to")
+                reach |= new
+                left, times = left - times, times * 2
+    below = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = reach >> (target + 1)
+    totals = [min(target, below + run)] + ([target + (above & -above).bit_length()] if above else [])
+    best = min(totals, key=lambda t: (abs(t - target), t))
+    great = below if best <= target else best
+    rest, out = best - great, {}
+    for size, times, new in reversed(steps):
+        if new >> great & 1:
+            out[size] = out.get(size, 0) + times
+            great -= size * times
+    for size in reversed(small):
+        take = min(counts[size], rest // size)
+        rest -= take * size
+        if take:
+            out[size] = take
+    return out
+
+
 def component_split(edges: DataFrame, share: float = 1 / 3) -> DataFrame:
-    """``id, component, split``: whole components go to ``test`` until ``share`` of the vertices is reached, in hash order.
+    """``id, component, split``: whole components are ``test``, with as near to ``share`` of the vertices as components can add up to; the rest are ``train``.
 
-    Components over the target are always ``train``; of the rest, in order of digest, those whose running sum of sizes
-    stays within the target are ``test``.
+    What is chosen from is the histogram of sizes, of which n vertices have at most about the root of 2 n; of one size the components
+    of least digest are taken.
     """
     members = cut(components(edges))
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    target = int(Decimal(members.count() * share).to_integral_value())
-    fit = prefix_sums(sizes.where(F.col("n") <= target).withColumn("all", F.lit(0)).withColumn("h", F.sha2(F.col("component").cast("string"), 256)), ["all"], ["h", "component"], "n")
-    test = fit.where(F.col("_before") + F.col("n") <= target).select("component", F.lit("test").alias("split"))
+    sizes = cut(members.groupBy("component").agg(F.count("*").alias("n")))
+    histogram = {r["n"]: r["c"] for r in sizes.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    target = int(Decimal(sum(n * c for n, c in histogram.items()) * share).to_integral_value())
+    chosen = list(chosen_sizes(histogram, target).items())
+    take = F.broadcast(sizes.sparkSession.createDataFrame(chosen, "n long, take long"))
+    placed = prefix_sums(sizes.withColumn("h", F.sha2(F.col("component").cast("string"), 256)), ["n"], ["h", "component"])
+    test = placed.join(take, "n").where("_before < take").select("component", F.lit("test").alias("split"))
     return members.join(test, "component", "left").select("id", "component", F.coalesce("split", F.lit("train")).alias("split"))
 
 

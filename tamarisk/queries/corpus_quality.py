@@ -162,6 +162,18 @@ def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.component_split(li.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
 
 
+@query("""WITH RECURSIVE members AS (SELECT s_nationkey AS g, s_suppkey AS v FROM supplier),
+sizes AS (SELECT count(*) + 1 AS n, row_number() OVER (ORDER BY g) AS i FROM members GROUP BY g),
+sums AS (SELECT 0::BIGINT AS i, 0::BIGINT AS total UNION SELECT z.i, s.total + t.take FROM sums s JOIN sizes z ON z.i = s.i + 1, LATERAL (SELECT unnest([0, z.n]) AS take) t),
+goal AS (SELECT sum(n) AS vertices, CAST(round_even(sum(n) / 3, 0) AS BIGINT) AS target FROM sizes)
+SELECT CAST(vertices AS BIGINT) AS vertices, (SELECT total FROM sums WHERE i = (SELECT max(i) FROM sizes) ORDER BY abs(total - target), total LIMIT 1) AS test FROM goal""")
+def split_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers linked by their nation, split by whole nations: how many vertices there are, and how many of them are test."""
+    s = table(spark, sf_dir, "supplier")
+    parts = sampling.component_split(s.select((F.col("s_suppkey") * 2).cast("long").alias("a"), (F.col("s_nationkey") * 2 + 1).cast("long").alias("b")))
+    return parts.agg(F.count("*").alias("vertices"), F.count_if(F.col("split") == "test").alias("test"))
+
+
 @query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS raw, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS aggressive_sha FROM documents""")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus(spark, sf_dir)

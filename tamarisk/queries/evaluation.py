@@ -115,22 +115,22 @@ def rescue_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("lang", F.col("quality").cast("double"), F.col("toxic").cast("double"))
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "lang", F.col("quality").cast("double"), F.col("toxic").cast("double"))
 
 
 @query()
 def bootstrap_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(_paired(spark, sf_dir), "lang", "quality", "toxic", "ceil")
+    return metrics.bootstrap(_paired(spark, sf_dir), "lang", "quality", "toxic", "ceil", key="doc_id")
 
 
 @query()
 def bootstrap_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(_paired(spark, sf_dir), "lang", "quality", "toxic", "floor")
+    return metrics.bootstrap(_paired(spark, sf_dir), "lang", "quality", "toxic", "floor", key="doc_id")
 
 
 @query()
 def bootstrap_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(_paired(spark, sf_dir), "lang", "quality", "toxic", "linear")
+    return metrics.bootstrap(_paired(spark, sf_dir), "lang", "quality", "toxic", "linear", key="doc_id")
 
 
 @query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
