@@ -8,7 +8,9 @@ fold of the sample itself.
 For the counterfactual term each sentence of a labelled text that names an identity group is paired with the same
 sentence naming the other groups of its kind; where a neutral text names none, a group is put into one of its sentences. The
 loss adds ``counterfactual`` times the mean squared difference of the two logits, so what the sample happens to say
-along with a group's name is no evidence. Where no text of the sample names a group, as in invented prose, the terms' weights stay 0.
+along with a group's name is no evidence. Every sixteenth text of either class that names no group is also learned with one named in it, under its own label, so that
+terms have weights to be held together even where a sample (as invented prose) names none. ``group_gap`` says what is left: by how much a text's score can change at most
+between naming one group of a kind and another.
 
 Null and empty texts score the model's base rate, long ones are read whole, and rows that repeat are scored each. Rows with
 a null ``doc_id`` aren't held out. Labels of null or of documents that aren't there are ignored, and a document labelled
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.common import Bounded, mapped, resident, small_batches, stored, whole_text
@@ -107,6 +109,12 @@ class Model:
                 found.update(f)
         return self.bias + sum(w[f] for f in sorted(found))
 
+    def spreads(self) -> list[tuple[float, float]]:
+        """Of each kind of groups the least and greatest that naming one adds to a text's logit, where these differ."""
+        adds = lambda term: sum(self.weights.get(f, 0.0) for f in sorted(features_of((term,))))
+        ends = ((min(map(adds, kind)), max(map(adds, kind))) for kind in IDENTITY_TERMS)
+        return sorted({(a, b) for a, b in ends if a != b})
+
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -30, 30))))
 
@@ -125,10 +133,23 @@ def pairs_of(rows: list[Row]) -> list[tuple[set[str], set[str]]]:
     return out
 
 
+def named(rows: list[Row]) -> list[Row]:
+    """Copies of every sixteenth text of either class that names no group, with one named, all of them in turn."""
+    terms, seen, out = sorted(_OTHERS), [0, 0], []
+    for label, words, sentences in rows:
+        if not words & _OTHERS.keys():
+            if seen[label] % 16 == 0:
+                term = terms[len(out) % len(terms)]
+                out.append((label, words | {term}, [s | {term} for s in sentences[:1]]))
+            seen[label] += 1
+    return out
+
+
 def fit(rows: list[Row], vocabulary: list[str], l2: float = 1e-3, counterfactual: float = 1.0, steps: int = 400) -> Model:
     """Logistic regression over (label, words, sentences' words) with the counterfactual penalty, by Adam on the whole sample."""
     at = {f: i for i, f in enumerate(dict.fromkeys([*vocabulary, *_OTHERS]))}
     index = lambda words: sorted(at[f] for f in features_of(words) if f in at)
+    rows = [*rows, *named(rows)]
 
     def matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
@@ -242,12 +263,20 @@ def scorer(model: Model):
     return lambda col: score(F.coalesce(F.col(col), F.lit("")))
 
 
+def group_gap(model: Model, score: Column) -> Column:
+    """The greatest difference of a text's scores between two groups of a kind, in a text that names neither."""
+    odds = F.log(score / (1 - score))
+    sure = lambda add: 1 / (1 + F.exp(-(odds + F.lit(add))))
+    gaps = [sure(b) - sure(a) for a, b in model.spreads()]
+    return F.greatest(F.lit(0.0), *gaps) if gaps else F.lit(0.0)
+
+
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row."""
+    """``doc_id, held_out, score, predicted, group_gap`` of every row."""
     small_batches(docs.sparkSession)
-    score = scorer(train(docs, labels))
-    rows = docs.select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = train(docs, labels)
+    rows = docs.select("doc_id", held_out().alias("held_out"), scorer(model)("text").alias("score"))
+    return rows.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"), group_gap(model, F.col("score")).alias("group_gap"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

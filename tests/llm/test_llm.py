@@ -740,6 +740,57 @@ def test_the_penalty_has_pairs_and_makes_groups_alike(spark):
     assert fair.logit({"scum", "w3"}) > 0
 
 
+def test_the_penalty_acts_where_no_text_names_a_group(spark):
+    from tamarisk.llm import toxicity as X
+
+    rng = random.Random(5)
+    # "christ*" and "musl*" begin ordinary words of one class, so terms share features with weighted words
+    rows = []
+    for i in range(600):
+        y = int(i % 4 == 0)
+        words = {f"w{rng.randrange(40)}" for _ in range(10)} | ({"scum", "muslxyz"} if y else {"christmas"} if i % 3 == 0 else set())
+        rows.append((y, words, [words]))
+    vocabulary = ["scum", "musl*", "christ*", *[f"w{i}" for i in range(40)]]
+    on, off = (X.fit(rows, vocabulary, counterfactual=c) for c in (1.0, 0.0))
+    widest = lambda m: max(b - a for a, b in m.spreads())
+    assert widest(off) > 0.5 and widest(on) < 0.5 * widest(off)
+    frame = spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "s double")
+    gaps = lambda m: [r.g for r in frame.select(X.group_gap(m, F.col("s")).alias("g")).collect()]
+    assert all(0 < a < b for a, b in zip(gaps(on), gaps(off)))
+    s = 0.5
+    z = np.log(s / (1 - s))
+    want = max(1 / (1 + np.exp(-(z + b))) - 1 / (1 + np.exp(-(z + a))) for a, b in off.spreads())
+    assert abs(gaps(off)[1] - want) < 1e-12
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    models = [X.train(docs, labels, counterfactual=c) for c in (1.0, 0.0)]
+    assert 0 < widest(models[0]) < widest(models[1])
+    assert len(X.named([(1, {"a"}, [{"a"}])] * 40 + [(0, {"men"}, [{"men"}])])) == 3
+
+
+def test_fit_against_plain_gradients():
+    """The fitted loss is that of many plain steps down the same slope."""
+    from tamarisk.llm import toxicity as X
+
+    rng, vocabulary = random.Random(9), ["aa", "bb", "cc", "men"]
+    rows = [(int(rng.random() < 0.5), w, [w]) for w in ({v for v in vocabulary if rng.random() < 0.5} for _ in range(60))]
+    all_rows, pairs, features = [*rows, *X.named(rows)], X.pairs_of([*rows, *X.named(rows)]), list(dict.fromkeys([*vocabulary, *X._OTHERS]))
+    matrix = lambda sets: np.array([[float(f in X.features_of(s)) for f in features] for s in sets])
+    x, y, d = matrix([r[1] for r in all_rows]), np.array([r[0] for r in all_rows]), matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs])
+    l2 = 1e-3 / len(features)
+
+    def loss(w, b):
+        z = x @ w + b
+        return float(np.mean(np.log1p(np.exp(z)) - y * z) + l2 / 2 * w @ w + np.mean((d @ w) ** 2))
+
+    w, b = np.zeros(len(features)), 0.0
+    for _ in range(4000):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w, b = w - 0.5 * (x.T @ e + l2 * w + 2 * d.T @ (d @ w) / len(d)), b - 0.5 * e.sum()
+    m = X.fit(rows, vocabulary)
+    assert loss(np.array([m.weights.get(f, 0.0) for f in features]), m.bias) < loss(w, b) + 2e-3
+
+
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_sentencepiece", "op4_media_columns", "op5_token_store", "op6_fingerprints", "op10_toxicity"])
 def test_queries_return_a_row_a_document(spark, small, name):
     from tamarisk.llm.queries import queries
