@@ -25,16 +25,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.llm.common import mapped, resident, small_batches, stored, stored_map, whole_text
 
-#: Rows of the sample for each declared language (in expectation), and the most languages, by their number of rows.
-LANGUAGE_ROWS, LANGUAGES = 2_000, 100
-GRAMS = 20_000
-#: Words whose likelihoods a worker remembers, and those that are summed at a time.
-WORDS, PART = 150_000, 10_000
+#: Rows of the sample for each declared language (in expectation).
+LANGUAGE_ROWS = 2_000
+#: Every declared language has a model; more of them than these aren't languages, and are an error.
+LANGUAGES = 2_000
+#: Trigrams of a language and of all together: where there are many languages, each has an equal share of these.
+GRAMS, ALL_GRAMS = 20_000, 1_000_000
+#: Words whose likelihoods a worker remembers, in a table of so many bytes, each of so many letters at most, and those that are summed at a time.
+WORDS, WORD_BYTES, LONG_WORD, PART = 150_000, 32 * 1024 * 1024, 64, 10_000
 UNKNOWN = "und"
 #: Log-probability of any trigram under ``und``; what a trigram counts; rows of smoothing.
 BACKGROUND, WEIGHT, PSEUDO = math.log(1 / 50_000), 1 / 3, 5.0
@@ -56,17 +59,28 @@ def visible(html: str) -> str:
 
 
 class TextModel:
-    """``log_likelihoods(text)``: one value a language and one for ``und``, each a mean over trigrams."""
+    """``log_likelihoods(text)``: one value a language and one for ``und``, each a mean over trigrams.
 
-    def __init__(self, languages: list[str], table: dict[str, list[float]], unseen: list[float]) -> None:
+    ``table`` has of each trigram the languages that know it and by how much it is likelier there than one they don't know (``unseen``).
+    """
+
+    def __init__(self, languages: list[str], table: dict[str, list[tuple[int, float]]], unseen: list[float]) -> None:
         self.languages, self.table, self.unseen = languages, table, unseen
         self._at: dict[str, int] = {}
-        self._rows = np.zeros((WORDS, len(languages) + 2))
+        width = len(languages) + 2
+        self._rows = np.zeros((max(PART, min(WORDS, WORD_BYTES // (8 * width))), width))
+
+    def _sums(self, word: str) -> list[float]:
+        w, n, known = f" {word} ", len(word), self.table
+        out = [x * n for x in self.unseen]
+        for i in range(n):
+            for lang, more in known.get(w[i : i + 3], ()):
+                out[lang] += more
+        return [*out, BACKGROUND * n, n]
 
     def _row(self, word: str) -> int:
         at = self._at[word] = len(self._at)
-        got = [self.table.get(g, self.unseen) for g in grams(word)]
-        self._rows[at] = [*(sum(x[i] for x in got) for i in range(len(self.languages))), BACKGROUND * len(got), len(got)]
+        self._rows[at] = self._sums(word)
         return at
 
     def log_likelihoods(self, text: str) -> tuple[list[float], int]:
@@ -76,16 +90,19 @@ class TextModel:
             part = words[at : at + PART]
             rows = [known.get(w, -1) for w in part]
             if -1 in rows:
-                if len(known) + len(part) > WORDS:
+                if len(known) + len(part) > len(self._rows):
                     known.clear()
-                rows = [known[w] if w in known else self._row(w) for w in part]
+                for w in part:
+                    if len(w) > LONG_WORD:
+                        total += self._sums(w)
+                rows = [known[w] if w in known else self._row(w) for w in part if len(w) <= LONG_WORD]
             total += self._rows[rows].sum(0)
         n = int(total[-1])
         return (total[:-1] / max(n, 1)).tolist(), n
 
 
 def fit(sample: DataFrame) -> TextModel:
-    """From a bounded sample ``lang, text``; what the driver takes is bounded by ``GRAMS`` a language."""
+    """From a bounded sample ``lang, text``; what the driver takes is bounded by ``GRAMS`` a language and ``ALL_GRAMS`` together."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -100,20 +117,29 @@ def fit(sample: DataFrame) -> TextModel:
     counts = stored(mapped(sample.select("lang", "text"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r.lang: (r.n, r.v) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     languages = sorted(totals)
-    table: dict[str, list[float]] = {}
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} declared languages; at most {LANGUAGES} have models")
+    table: dict[str, list[tuple[int, float]]] = {}
     # however small the sample, what a language never has is likelier under und
     unseen = [min(math.log(1 / (totals[x][0] + totals[x][1] + 1)), BACKGROUND - 1) for x in languages]
+    commonest = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    kept = counts.withColumn("place", F.row_number().over(commonest)).where(F.col("place") <= min(GRAMS, ALL_GRAMS // max(1, len(languages))))
+    best: dict[str, list[tuple[str, int]]] = {}
+    for r in kept.orderBy("lang", "place").toLocalIterator():
+        best.setdefault(r.lang, []).append((r.gram, r.n))
     for i, lang in enumerate(languages):
         n, v = totals[lang]
-        for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).collect():
-            table.setdefault(r.gram, list(unseen))[i] = math.log((r.n + 1) / (n + v + 1))
+        for gram, k in best.get(lang, ()):
+            table.setdefault(gram, []).append((i, math.log((k + 1) / (n + v + 1)) - unseen[i]))
     return TextModel(languages, table, unseen)
 
 
 def sampled(docs: DataFrame, language_rows: int = LANGUAGE_ROWS) -> DataFrame:
     """About ``language_rows`` rows of each declared ``lang`` (all of a rarer one), by a hash of their identifier and text."""
     rows = docs.where("lang is not null and doc_id is not null and text is not null").select(F.lower("lang").alias("lang"), "doc_id", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = rows.groupBy("lang").count()
+    if (n := counts.count()) > LANGUAGES:
+        raise ValueError(f"{n} declared languages; at most {LANGUAGES} have models")
     share = F.broadcast(counts.select("lang", (F.lit(float(language_rows)) / F.col("count")).alias("share")))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000.0 < F.col("share")
     return stored(rows.join(share, "lang").where(drawn).select("doc_id", "lang", "text"), "lang-sample")

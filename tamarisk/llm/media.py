@@ -36,6 +36,8 @@ RETRIES = 3
 PNG, LENGTH = b"\x89PNG\r\n\x1a\n", b"tmLn"
 #: has a name, name, offset, length, crc32
 ENTRY = struct.Struct("<BqQQI")
+#: Entries of a directory that are read at a time.
+ENTRY_BLOCK = 1024
 #: directory offset, entries, magic
 TAIL = struct.Struct("<QQ8s")
 MAGIC = b"TMRKARC1"
@@ -206,21 +208,42 @@ class ArchiveReader(DataSourceReader):
             return
         f = reader(part.path)
         at, n = tail(f)
-        f.seek(at)
         rows, size = [], 0
-        for name, offset, length, crc in [(e[1] if e[0] else None, *e[2:]) for e in ENTRY.iter_unpack(f.read(n * ENTRY.size))]:
-            if part.first <= offset < part.end:
-                f, media = member(part.path, f, offset, length, crc)
-                rows.append((name, offset, media))
-                size += length
-                if size >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, size = [], 0
+        for name, offset, length, crc in entries(f, at, n, part.first, part.end):
+            f, media = member(part.path, f, offset, length, crc)
+            rows.append((name, offset, media))
+            size += length
+            if size >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
         if rows:
             yield _batch(rows)
         f.close()
 
 
+def entries(f, at: int, n: int, first: int, end: int) -> list[tuple]:
+    """``name, offset, length, crc`` of a directory's members that begin in a byte range.
+
+    Entries have one size and stand in order of offset: the first is found by bisection, and no others than the range's are read, by blocks.
+    """
+
+    def some(k: int, count: int) -> list[tuple]:
+        f.seek(at + k * ENTRY.size)
+        return list(ENTRY.iter_unpack(f.read(min(count, n - k) * ENTRY.size)))
+
+    low, high, out = 0, n if first > 0 else 0, []
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if some(middle, 1)[0][2] < first else (low, middle)
+    while low < n:
+        block = some(low, ENTRY_BLOCK)
+        out += [(e[1] if e[0] else None, *e[2:]) for e in block if e[2] < end]
+        if block[-1][2] >= end:
+            break
+        low += len(block)
+    return out
+
+
 def member(path: str, f, offset: int, length: int, crc: int):
     """The open file and one member's bytes, read again by its offset from a newly opened file if a read fails."""
     for attempt in range(RETRIES + 1):

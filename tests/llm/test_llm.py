@@ -658,8 +658,8 @@ def test_language_fusion_against_a_plain_version(spark, small):
         ll, n = [0.0] * k, 0
         for w in words:
             for g in L.grams(w):
-                for i, x in enumerate(m.table.get(g, m.unseen)):
-                    ll[i] += x
+                for i, x in enumerate(m.unseen):
+                    ll[i] += x + dict(m.table.get(g, ())).get(i, 0.0)
                 ll[-1] += L.BACKGROUND
                 n += 1
         x = np.array(ll) / 3
@@ -689,6 +689,60 @@ def test_language_fusion_against_a_plain_version(spark, small):
     assert L.identify_pages(rows.limit(0), m).count() == 0
 
 
+def test_many_declared_languages_and_very_long_words(spark, monkeypatch):
+    from tamarisk.llm import langid as L
+
+    rng = random.Random(11)
+    # each language writes with six letters of its own
+    letters = [[chr(0x4E00 + 6 * i + k) for k in range(6)] for i in range(120)]
+    text = lambda i, n: " ".join("".join(rng.choice(letters[i]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    code = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(120)]
+    rows = [(10 * i + k, text(i, 30), code[i], "s") for i in range(120) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = L.fit(L.sampled(docs))
+    assert len(m.languages) == 120
+    best = lambda t: m.languages[int(np.argmax(m.log_likelihoods(t)[0][:-1]))]
+    assert all(best(text(i, 20)) == code[i] for i in range(0, 120, 7))
+    assert L.known_language(docs, m).count() == len(rows)
+    long = "".join(rng.choice(letters[5]) for _ in range(300_000))
+    before = len(m._at)
+    assert best(long) == code[5] and m.log_likelihoods(long)[1] == 300_000 and len(m._at) == before
+    monkeypatch.setattr(L, "LANGUAGES", 100)
+    with pytest.raises(ValueError, match="languages"):
+        L.sampled(docs)
+
+
+def test_a_range_reads_its_own_entries(tmp_path, monkeypatch):
+    from tamarisk.llm import media
+
+    monkeypatch.setattr(media, "ENTRY_BLOCK", 8)
+    p = str(tmp_path / "a.arc")
+    with media.writer(p) as out:
+        w = media.ArchiveWriter(out)
+        for i in range(3000):
+            w.add(i, bytes([i % 251]) * (i % 7 + 1))
+        w.close()
+    f = media.reader(p)
+    at, n = media.tail(f)
+    every = media.entries(f, at, n, 0, 1 << 40)
+    assert [e[0] for e in every] == list(range(3000))
+    read, real = [], f
+
+    class Counting:
+        def seek(self, x):
+            real.seek(x)
+
+        def read(self, size):
+            read.append(size)
+            return real.read(size)
+
+    for first, end in ((0, 1), (500, 560), (5000, 5001), (11_000, 1 << 40), (1 << 40, 1 << 41), (0, 0)):
+        read.clear()
+        got = media.entries(Counting(), at, n, first, end)
+        assert got == [e for e in every if first <= e[1] < end]
+        assert sum(read) <= (len(got) + 8 + 8 + 13) * media.ENTRY.size
+
+
 def test_toxicity_scores_against_a_plain_version(spark):
     import math
 
