@@ -234,6 +234,28 @@ class Bounded(dict):
         self[key] = value
 
 
+class Recent(dict):
+    """A memo of strings' results in two halves of so many bytes together: when one is full the other is forgotten, and what is asked for again moves on."""
+
+    def __init__(self, most: int = 48 * 1024 * 1024) -> None:
+        super().__init__()
+        self.half, self.size, self.before = most // 2, 0, {}
+
+    def put(self, key: str, value: Any, size: int) -> None:
+        size += len(key) + 200
+        if self.size + size > self.half:
+            self.before = dict(self)
+            self.clear()
+            self.size = 0
+        self.size += size
+        self[key] = value
+
+    def __missing__(self, key: str) -> Any:
+        value = self.before[key]
+        self.put(key, value, 0)
+        return value
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """pyarrow's file system for a path or URI, and the path in it."""
     u = urlparse(path)

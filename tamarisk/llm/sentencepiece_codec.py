@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.common import Bounded, mapped, resident, whole_text
+from tamarisk.llm.common import Recent, mapped, resident, whole_text
 
 MARK = "▁"
-LONG_WORD = 64
+#: Words up to so long are remembered, in a memo of so many bytes.
+LONG_WORD, MEMO_BYTES = 64, 96 * 1024 * 1024
 
 
 class PieceCodec:
@@ -42,7 +43,8 @@ class PieceCodec:
         self.letters = {p for p in ordinary if len(p) == 1}
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in ordinary)
         self.gap = min([s for _, s in pieces], default=0.0) - 10.0
-        self._known = Bounded()
+        self._known = Recent(MEMO_BYTES)
+        self._bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode("utf-8", "surrogatepass") for i, (p, _) in enumerate(pieces)]
 
     @classmethod
     def load(cls, path: str) -> PieceCodec:
@@ -107,24 +109,26 @@ class PieceCodec:
         if not self.by_word:
             ids, score = self.viterbi(text)
             return array("i", ids), score
-        known, out, total = self._known, array("i"), 0.0
-        for word in _WORDS.findall(text):
-            got = known.get(word)
-            if got is None:
-                ids, score = self.viterbi(word)
-                got = array("i", ids).tobytes(), score
-                if len(word) <= LONG_WORD:
-                    known.put(word, got, len(got[0]) + 100)
-            out.frombytes(got[0])
-            total += got[1]
-        return out, total
+        known, words, got = self._known, _WORDS.findall(text), []
+        try:
+            got = [known[w] for w in words]
+        except KeyError:
+            for word in words:
+                try:
+                    one = known[word]
+                except KeyError:
+                    ids, score = self.viterbi(word)
+                    one = array("i", ids).tobytes(), score
+                    if len(word) <= LONG_WORD:
+                        known.put(word, one, len(one[0]) + 100)
+                got.append(one)
+        out = array("i")
+        out.frombytes(b"".join([g[0] for g in got]))
+        return out, sum([g[1] for g in got])
 
     def decode(self, ids: Iterable[int]) -> str:
-        parts, pieces, byte_of = [], self.pieces, self.byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            parts.append(pieces[i][0].encode("utf-8", "surrogatepass") if b is None else bytes([b]))
-        text = b"".join(parts).decode("utf-8", "surrogatepass").replace(MARK, " ")
+        known = self._bytes
+        text = b"".join([known[i] for i in ids]).decode("utf-8", "surrogatepass").replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
