@@ -1,7 +1,8 @@
-"""Exact, cached byte-pair encoding for public tokenizer files.
+"""Exact byte-pair encoding for public tokenizer files, with bounded memory.
 
 A text is cut at places where the file's own pre-tokenizer always cuts, so the ids of a text are the ids of
-its chunks in order; a distinct chunk's ids are kept in a table of bounded bytes. Chunks outside the fast alphabet
+its parts in order. Of a byte-level file these are long slices, encoded as they come; of a word-level one they are chunks between spaces, of which a
+distinct one's ids are kept in a table of bounded bytes. Chunks outside the fast alphabet
 are encoded by the tokenizers library itself, which is loaded when the first one comes.
 
 The spelling of a special token in a text is ordinary text, as with the library's ``encode_special_tokens``.
@@ -18,6 +19,8 @@ from tamarisk.llm.common import Bounded, resident
 
 #: Chunks up to so long are remembered, in a table of so many bytes.
 LONG_CHUNK, MEMO_BYTES = 64, 96 * 1024 * 1024
+#: Characters that are encoded at a time, or as many more as there are without a place to cut.
+SLICE = 1 << 16
 
 _GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Before a space that a visible character follows the byte-level pattern always starts a new match.
@@ -31,36 +34,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class CachedEncoder:
+class Encoder:
     """``encode(text)`` gives a text's ids as little-endian unsigned 16-bit bytes."""
 
-    end_id: int
-
-    def __init__(self) -> None:
-        self._known = Bounded(MEMO_BYTES)
-
-    def chunks(self, text: str) -> list[str]:
-        raise NotImplementedError
-
-    def fresh(self, chunk: str) -> list[int]:
-        raise NotImplementedError
-
     def encode(self, text: str) -> bytes:
-        known = self._known
-        parts = self.chunks(text)
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        now = {}
-        for p in set(parts):
-            ids = known.get(p)
-            if ids is None:
-                ids = array("H", self.fresh(p)).tobytes()
-                if len(p) <= LONG_CHUNK:
-                    known.put(p, ids, len(ids))
-            now[p] = ids
-        return b"".join([now[p] for p in parts])
+        raise NotImplementedError
 
 
 def _library(path: str):
@@ -71,11 +49,10 @@ def _library(path: str):
     return t
 
 
-class ByteBpe(CachedEncoder):
+class ByteBpe(Encoder):
     """Byte-level BPE file whose merges are in id order, so that ids serve as merge ranks."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -90,14 +67,21 @@ class ByteBpe(CachedEncoder):
         ranks = {bytes(to_byte[c] for c in tok): i for tok, i in vocab.items() if tok not in special}
         self._bpe = tiktoken.Encoding("byte_bpe", pat_str=_GPT2_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def chunks(self, text: str) -> list[str]:
-        return _BYTE_CUT.split(text)
+    def encode(self, text: str) -> bytes:
+        out, at = [], 0
+        while len(text) - at > SLICE:
+            end = _BYTE_CUT.search(text, at + SLICE)
+            if end is None:
+                break
+            out.append(self._ids(text[at : end.start()]))
+            at = end.start()
+        return b"".join([*out, self._ids(text[at:] if at else text)])
 
-    def fresh(self, chunk: str) -> list[int]:
-        return self._bpe.encode_ordinary(chunk)
+    def _ids(self, part: str) -> bytes:
+        return array("H", self._bpe.encode_ordinary(part)).tobytes()
 
 
-class WordBpe(CachedEncoder):
+class WordBpe(Encoder):
     """Lower-casing BPE with word ends; white space only separates.
 
     The byte FF, which UTF-8 never uses, stands for the end of a word, and its merge with the word's last
@@ -107,7 +91,7 @@ class WordBpe(CachedEncoder):
     FAST_BELOW = "ɐ"
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        self._known = Bounded(MEMO_BYTES)
         import regex
         import tiktoken
 
@@ -134,8 +118,22 @@ class WordBpe(CachedEncoder):
         self._find = regex.compile(pattern).findall
         self._path, self._library = path, None
 
-    def chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def encode(self, text: str) -> bytes:
+        known = self._known
+        parts = text.replace("\n", " ").split(" ")
+        try:
+            return b"".join([known[p] for p in parts])
+        except KeyError:
+            pass
+        now = {}
+        for p in set(parts):
+            ids = known.get(p)
+            if ids is None:
+                ids = array("H", self.fresh(p)).tobytes()
+                if len(p) <= LONG_CHUNK:
+                    known.put(p, ids, len(ids))
+            now[p] = ids
+        return b"".join([now[p] for p in parts])
 
     def fresh(self, chunk: str) -> list[int]:
         if not chunk:
@@ -147,6 +145,6 @@ class WordBpe(CachedEncoder):
         return [ids[r] for p in self._find(unicodedata.normalize("NFC", chunk).lower()) for r in one(p.encode() + b"\xff")]
 
 
-def encoder(kind: str, path: str) -> CachedEncoder:
+def encoder(kind: str, path: str) -> Encoder:
     """One encoder per worker and file; ``kind`` is 'byte' or 'word'."""
     return resident((kind, path), lambda: {"byte": ByteBpe, "word": WordBpe}[kind](path))
