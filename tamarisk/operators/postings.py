@@ -53,6 +53,7 @@ class Index:
     """``documents`` (``number, doc_id, length, distinct, toks``), ``terms`` (``bucket, token, df, most``), ``blocks``
     (``bucket, token, segment, most, postings``) and figures of the corpus."""
 
+    path: str
     documents: DataFrame
     terms: DataFrame
     blocks: DataFrame
@@ -97,7 +98,7 @@ def _blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def opened(spark: SparkSession, path: str) -> Index:
     figures = spark.read.parquet(f"{path}/figures").first()
-    return Index(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/terms"), _blocks(spark, path), figures["count"], figures["buckets"])
+    return Index(path, spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/terms"), _blocks(spark, path), figures["count"], figures["buckets"])
 
 
 @dataclass(frozen=True)

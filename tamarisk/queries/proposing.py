@@ -53,3 +53,16 @@ def proposal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT item_id, rule, modality, CAST(row_number() OVER (PARTITION BY item_id ORDER BY o, rule) - 1 AS INT) AS position FROM kept""")
 def proposal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _proposed(spark, sf_dir)["rules"]
+
+
+@query("""WITH a AS (SELECT conv_id AS record_id, turn AS attempt, CASE WHEN role = 'system' THEN NULL WHEN length(text) % 3 = 0 THEN 'broken' ELSE 'good' END AS kind FROM conversations)
+SELECT record_id, CASE WHEN bool_or(coalesce(kind = 'good', false)) THEN 'completed' WHEN bool_or(kind IS NOT NULL) THEN 'failed' ELSE 'pending' END AS status,
+  max(attempt) FILTER (kind = 'good') AS attempt, count(*) AS attempts FROM a GROUP BY 1""")
+def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as an attempt: without an answer, broken, or a proposal that quotes its text."""
+    from tamarisk.operators.replay import outcomes
+
+    turns = table(spark, sf_dir, "conversations")
+    quoted = F.to_json(F.struct(F.array(F.struct(F.left("text", F.lit(20)).alias("text"))).alias("regulated_entities")))
+    raw = F.when(F.col("role") == "system", F.lit(None)).when(F.length("text") % 3 == 0, "{broken").otherwise(quoted)
+    return outcomes(turns.select(F.col("conv_id").alias("record_id"), F.col("turn").alias("attempt"), raw.alias("raw"))).select("record_id", "status", "attempt", "attempts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import lexical, postings
 from tamarisk.plans.lineage import written
+from tamarisk.sources.stores import exists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +31,9 @@ _indexes: dict[tuple[str, str], tuple[str, postings.Index]] = {}
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> postings.Index:
-    """The lexical index of a folder's documents: built by the first query of a session that asks, and again when their files have changed."""
+    """The lexical index of a folder's documents: built by the first query of a session that asks, and again when their files have changed or the index is gone."""
     key, now = (spark.sparkContext.applicationId, sf_dir), written(f"{sf_dir}/documents.parquet", spark)
-    if key not in _indexes or _indexes[key][0] != now:
+    if key not in _indexes or _indexes[key][0] != now or not exists(spark, f"{_indexes[key][1].path}/figures"):
         _indexes[key] = (now, lexical.indexed(corpus(spark, sf_dir)))
     return _indexes[key][1]
 
