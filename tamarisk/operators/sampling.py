@@ -188,3 +188,29 @@ def challenge(frame: DataFrame, key: str, variants: dict[str, Column], total: in
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "phenomenon", F.col("key").cast("string")), 256)
     places = prefix_sums(rows.withColumn("_h", order), ["i", "phenomenon"], ["_h", "key"])
     return places.where("_before < quota").select("phenomenon", "key", "query", F.col("_before").cast("int").alias("place"))
+
+
+def draft_pool(opportunities: DataFrame, category: str, source: str, document: str, targets: dict[str, int]) -> DataFrame:
+    """The opportunities that are drafted, with ``place`` from 1: of each category its target, sources in proportion, and no document twice.
+
+    Categories that come first in ``targets`` go first; those it doesn't name draw nothing. In each round every category proposes the best of what it may still have, up to its target;
+    a document holds on to the proposal of the first category and is closed to all later ones. It never falls back, so what it closes stays closed, and there are at most as many rounds as categories.
+    Of several opportunities of a document in a category one counts (the least of all its columns). A category with too few documents draws what there is.
+    """
+    rank = F.create_map(*[F.lit(x) for i, name in enumerate(targets) for x in (name, i)])[F.col(category)]
+    wanted = F.create_map(*[F.lit(x) for name, n in targets.items() for x in (name, n)])[F.col(category)]
+    one = opportunities.where(F.col(category).isin(*targets)).groupBy(category, document).agg(F.min(F.struct(source, *[c for c in opportunities.columns if c not in (category, document, source)])).alias("_o"))
+    rows = one.select(category, document, "_o.*").withColumn("_group", F.concat_ws("\x1f", category, source))
+    shared = interleaved(rows, "_group", document).drop("_group")
+    left = cut(shared.withColumn("_first", rank).withColumn("_wanted", wanted))
+    order = Window.partitionBy(category).orderBy("share", source, document)
+    for _ in targets:
+        proposed = cut(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(targets.values())).where("place <= _wanted"))
+        held = proposed.groupBy(F.col(document).alias("_d")).agg(F.min("_first").alias("_by"))
+        closed = left.join(held, F.col(document).eqNullSafe(F.col("_d"))).where("_first > _by").select(F.col(category).alias("_c"), "_d")
+        if closed.isEmpty():
+            break
+        left = cut(left.join(closed, (F.col(category) == F.col("_c")) & F.col(document).eqNullSafe(F.col("_d")), "left_anti"))
+    else:
+        proposed = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(targets.values())).where("place <= _wanted")
+    return proposed.select(*opportunities.columns, "place")

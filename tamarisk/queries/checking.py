@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.operators import annotation, reconcile
+from tamarisk.operators import annotation, reconcile, sampling
 from tamarisk.plans.lineage import fresh_folder
 from tamarisk.queries.tables import QUERY_ROWS, table
 from tamarisk.registry import query
@@ -79,3 +79,15 @@ def evidence_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = docs.where("source in ('src1', 'src2', 'src3')").select(F.col("source").alias("source_id"), F.lit("official").alias("authority"), F.array(F.lit("law"), "source").alias("scope")).distinct()
     placed = annotation.evidence_roles(found.select("query_id", "unit_id", "source_id"), roles, registry)
     return annotation.evidence_gates(asked.select("query_id", F.array(F.lit("law"), "ql").alias("terms")), placed)
+
+
+@query("""WITH o AS (SELECT 'long' AS category, source, doc_id FROM documents WHERE n_chars > 1500 UNION ALL SELECT 'english', source, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'any', source, doc_id FROM documents),
+s AS (SELECT *, round((row_number() OVER (PARTITION BY category, source ORDER BY doc_id) - 1) / count(*) OVER (PARTITION BY category, source), 9) AS share FROM o),
+a AS (SELECT *, row_number() OVER (ORDER BY share, source, doc_id) AS place FROM s WHERE category = 'long' QUALIFY place <= 40),
+b AS (SELECT *, row_number() OVER (ORDER BY share, source, doc_id) AS place FROM s WHERE category = 'english' AND doc_id NOT IN (SELECT doc_id FROM a) QUALIFY place <= 30),
+c AS (SELECT *, row_number() OVER (ORDER BY share, source, doc_id) AS place FROM s WHERE category = 'any' AND doc_id NOT IN (SELECT doc_id FROM a) AND doc_id NOT IN (SELECT doc_id FROM b) QUALIFY place <= 50)
+SELECT category, source, doc_id, CAST(place AS INT) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""")
+def draft_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", "n_chars")
+    kinds = F.array_compact(F.array(F.when(F.col("n_chars") > 1500, "long"), F.when(F.col("lang") == "en", "english"), F.lit("any")))
+    return sampling.draft_pool(docs.select(F.explode(kinds).alias("category"), "source", "doc_id"), "category", "source", "doc_id", {"long": 40, "english": 30, "any": 50})

@@ -87,3 +87,27 @@ def test_bootstrap_is_near_drawn_replicates(spark):
     got = bootstrap(spark.createDataFrame([(i, 1, float(x), 0.0) for i, x in enumerate(d)], "id long, g int, l double, r double"), "g", "l", "r", key="id").first()
     width = drawn[1949] - drawn[49]
     assert abs(got.low - drawn[49]) < 0.1 * width and abs(got.high - drawn[1949]) < 0.1 * width
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_draft_pool_against_one_after_the_other(spark, seed):
+    from tamarisk.operators.sampling import draft_pool
+
+    rng = random.Random(seed)
+    rows = [(rng.choice("abcd"), rng.choice("xyz"), rng.randrange(60)) for _ in range(160)]
+    targets = {"c": 12, "a": 9, "b": 30}
+    one = {}
+    for c, s, d in rows:
+        one[c, d] = min(s, one.get((c, d), s))
+    used, want = set(), set()
+    for c, n in targets.items():
+        groups = {}
+        for (k, d), s in sorted(one.items(), key=lambda x: x[0]):
+            if k == c:
+                groups.setdefault(s, []).append(d)
+        shares = sorted((round(i / len(ds), 9), s, d) for s, ds in groups.items() for i, d in enumerate(ds))
+        picked = [x for x in shares if x[2] not in used][:n]
+        used |= {d for _, _, d in picked}
+        want |= {(c, s, d, i) for i, (_, s, d) in enumerate(picked, 1)}
+    got = draft_pool(spark.createDataFrame(rows, "category string, source string, doc long"), "category", "source", "doc", targets).collect()
+    assert {(r.category, r.source, r.doc, r.place) for r in got} == want and len(got) == len(want)
