@@ -37,44 +37,42 @@ def diverse(frame: DataFrame, by: str, fields: list[str], key: str, n: int, seed
 def matched_blocks(gold: DataFrame, found: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     """``page, gold_id, block_id, how``: equal names first, then nameless blocks by their greatest overlap of at least ``least``.
 
-    Both sides have ``place`` (their order), ``name`` and a box x0, y0, x1, y1; a block matches once.
+    Both sides have ``place`` (their order), ``name`` and a box x0, y0, x1, y1; a block matches once. Rows that share a place
+    are blocks of their own, in the order of their boxes. The nth block of a name meets the nth of that name on the other side;
+    pages' nameless blocks are matched many pages a batch, as each choice depends on those before.
     """
     box = ["x0", "y0", "x1", "y1"]
-
-    def overlap(a: tuple, b: tuple) -> float:
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        shared = max(0.0, w) * max(0.0, h)
-        both = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
-        return shared / both if both > 0 else 0.0
-
-    def run(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("place"), b.sort_values("place")
-        rows_of = lambda f: [_Row(r) for r in f.rename(columns={"name": "label"}).itertuples(index=False)]
-        free = {r.place: (r.name, tuple(getattr(r, c) for c in box)) for r in rows_of(b)}
-        wanted, rows = rows_of(a), []
-        for r in wanted:
-            named = next((p for p, (n, _) in free.items() if r.name is not None and n == r.name), None)
-            if named is not None:
-                rows.append((k[0], r.place, named, "name"))
-                del free[named]
-        done = {x[1] for x in rows}
-        for r in wanted:
-            if r.place in done or r.name is not None:
-                continue
-            open_ = [(overlap(tuple(getattr(r, c) for c in box), at), -p) for p, (n, at) in free.items() if n is None]
-            if open_ and max(open_)[0] >= least:
-                p = -max(open_)[1]
-                rows.append((k[0], r.place, p, "overlap"))
-                del free[p]
-        return pd.DataFrame(rows, columns=[page, "gold_id", "block_id", "how"])
-
-    kind = gold.schema[page].dataType.simpleString()
-    return gold.groupBy(page).cogroup(found.groupBy(page)).applyInPandas(run, f"`{page}` {kind}, gold_id long, block_id long, how string")
-
-
-class _Row:
-    """A row whose missing name is None."""
-
-    def __init__(self, r) -> None:
-        self.place, self.name = int(r.place), None if pd.isna(r.label) else r.label
-        self.x0, self.y0, self.x1, self.y1 = r.x0, r.y0, r.x1, r.y1
+    nth = F.row_number().over(Window.partitionBy(page, "name").orderBy("place", *box))
+    a, b = (side.where("name is not null").select(page, "name", nth.alias("nth"), F.col("place").cast("long").alias(c)) for side, c in ((gold, "gold_id"), (found, "block_id")))
+    named = a.join(b, [page, "name", "nth"]).select(page, "gold_id", "block_id", F.lit("name").alias("how"))
+
+    block = F.struct(F.col("place").cast("long").alias("place"), *[F.col(c).cast("double").alias(c) for c in box])
+    sides = [side.where("name is null").select(page, F.lit(i).alias("side"), block.alias("block")) for i, side in enumerate((gold, found))]
+    pages = sides[0].unionByName(sides[1]).groupBy(page).agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == i, F.col("block")))).alias(c) for i, c in enumerate("ab")])
+    pages = pages.where("size(a) > 0 and size(b) > 0")
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_greedy(x, y, least) for x, y in zip(a, b)])
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    pairs = F.pandas_udf(run, "array<struct<gold_id:long,block_id:long>>")
+    near = pages.select(page, F.explode(pairs("a", "b")).alias("p")).select(page, "p.gold_id", "p.block_id", F.lit("overlap").alias("how"))
+    return named.unionByName(near)
+
+
+def _greedy(wanted: list[dict], blocks: list[dict], least: float) -> list[dict]:
+    """In order, each wanted box with the free block that covers most of their union, the first of equal ones, if that is at least ``least``."""
+    free = [(b["x0"], b["y0"], b["x1"], b["y1"], (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]), b["place"]) for b in blocks]
+    out = []
+    for w in wanted:
+        x0, y0, x1, y1 = w["x0"], w["y0"], w["x1"], w["y1"]
+        area, best, at = (x1 - x0) * (y1 - y0), -1.0, None
+        for i, (u0, v0, u1, v1, other, _) in enumerate(free):
+            shared = max(0.0, min(x1, u1) - max(x0, u0)) * max(0.0, min(y1, v1) - max(y0, v0))
+            both = area + other - shared
+            overlap = shared / both if both > 0 else 0.0
+            if overlap > best:
+                best, at = overlap, i
+        if at is not None and best >= least:
+            out.append({"gold_id": w["place"], "block_id": free.pop(at)[5]})
+    return out

@@ -272,6 +272,18 @@ def test_block_matching(spark):
     assert {r.a for r in picked[:2]} == {"x", "y"} and len({r.b for r in picked}) == 3
 
 
+def test_block_matching_of_shared_places(spark):
+    """Blocks that share a place each match; many small pages go through one call of Python, not one each."""
+    from tamarisk.operators.picking import matched_blocks
+
+    schema = "page int, place long, name string, x0 double, y0 double, x1 double, y1 double"
+    gold = spark.createDataFrame([(1, 1, None, 0.0, 0.0, 10.0, 10.0), (1, 1, None, 50.0, 50.0, 60.0, 60.0), (1, 3, "a", 0.0, 0.0, 1.0, 1.0), (1, 3, "a", 5.0, 5.0, 6.0, 6.0), (2, 1, "a", 0.0, 0.0, 1.0, 1.0)], schema)
+    found = spark.createDataFrame([(1, 4, None, 50.0, 51.0, 60.0, 61.0), (1, 4, None, 0.0, 1.0, 10.0, 11.0), (1, 6, "a", 0.0, 0.0, 1.0, 1.0), (1, 6, "a", 0.0, 0.0, 1.0, 1.0), (3, 1, "a", 0.0, 0.0, 1.0, 1.0)], schema)
+    got = matched_blocks(gold, found, "page")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 4, "overlap")] * 2 + [(1, 3, 6, "name")] * 2
+    assert "FlatMapCoGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_answers(spark):
     from tamarisk.plans.answering import answers
 
