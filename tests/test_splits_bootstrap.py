@@ -111,3 +111,18 @@ def test_draft_pool_against_one_after_the_other(spark, seed):
         want |= {(c, s, d, i) for i, (_, s, d) in enumerate(picked, 1)}
     got = draft_pool(spark.createDataFrame(rows, "category string, source string, doc long"), "category", "source", "doc", targets).collect()
     assert {(r.category, r.source, r.doc, r.place) for r in got} == want and len(got) == len(want)
+
+
+def test_rounds_of_components_do_not_multiply_estimates(spark):
+    """The estimated size of a round's rows is that of its files; it had three times the digits of the round before."""
+    from tamarisk.operators.graph import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    kept = []
+
+    def keep(frame):
+        kept.append(components.__defaults__[0](frame))
+        return kept[-1]
+
+    assert {tuple(r) for r in components(edges, keep).collect()} == {(i, 0) for i in range(61)}
+    assert len(kept) > 4 and max(k._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for k in kept) < 64
