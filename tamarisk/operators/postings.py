@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
-from tamarisk.plans.lineage import cut
+from tamarisk.plans.lineage import cut, rewritten
 
 DIGITS = 8
 BITS = 5
@@ -312,7 +312,8 @@ def _search(index: Index, queries: DataFrame, k: int, tokenize, factor: Column,
         if counts is not None:
             both = cut(both)
             counts["read"] = counts.get("read", 0) + read.value
-        out.append(_named(index, both, asked, k, kind))
+        # k rows a query, whatever the corpus has: written, so that who uses them often searches once, and joins know how few they are
+        out.append(rewritten(_named(index, both, asked, k, kind)))
     if not out:
         return spark.createDataFrame([], f"query_id {kind}, doc_id {index.documents.schema['doc_id'].dataType.simpleString()}, score double, rank int")
     return reduce(DataFrame.unionByName, out)

@@ -31,8 +31,9 @@ def pairwise_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def candidate_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = gold_qrels(spark, sf_dir)
-    return experiments.candidate_diagnostics(fused(spark, sf_dir), bm25_ranking(spark, sf_dir, 20), gold)
+    # the deepest rankings first; the others are their beginnings
+    found = fused(spark, sf_dir)
+    return experiments.candidate_diagnostics(found, bm25_ranking(spark, sf_dir, 20), gold_qrels(spark, sf_dir))
 
 
 @query()

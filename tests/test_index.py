@@ -111,3 +111,27 @@ def test_index_of_a_folder_follows_its_files(spark, tmp_path):
     assert corpus_index(spark, str(tmp_path)) is first and first.count == 3
     frame(4).write.mode("overwrite").parquet(at)
     assert corpus_index(spark, str(tmp_path)).count == 4
+
+
+def test_rankings_are_searched_once(spark):
+    """Later uses of a ranking read its rows: no step of the search is in their plan, and joins know how few they are."""
+    from tamarisk.operators import lexical
+
+    corpus = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}") for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "word3 other1"), (2, "other2")], "query_id long, text string")
+    for search in (lexical.bm25_top_k, lexical.jaccard_top_k):
+        ranking = search(corpus, queries, 4)
+        plan = ranking._jdf.queryExecution().optimizedPlan()
+        assert "MapInArrow" not in plan.toString() and plan.stats().sizeInBytes() < 1_000_000
+        assert ranking.count() == 8
+
+
+def test_shallow_rankings_are_beginnings_of_deep_ones(spark, small):
+    from tamarisk.operators import postings
+    from tamarisk.queries import retrieval
+    from tamarisk.queries.tables import benchmark, corpus_index
+
+    deep = retrieval.bm25_ranking(spark, small, 50)
+    shallow = retrieval.bm25_ranking(spark, small, 3)
+    assert set(shallow.inputFiles()) == set(deep.inputFiles())
+    assert sorted(map(tuple, shallow.collect())) == sorted(map(tuple, postings.bm25_top_k(corpus_index(spark, small), benchmark(spark, small), 3).collect()))
