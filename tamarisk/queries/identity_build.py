@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions import text as T
 from tamarisk.operators import build, extraction, identity, labels, quality, review, sampling
 from tamarisk.queries.retrieval import _TOKENS
-from tamarisk.queries.tables import corpus, table
+from tamarisk.queries.tables import corpus, spread, table
 from tamarisk.registry import query
 from tamarisk.sources import registry as sources
 
@@ -52,7 +52,7 @@ def extract_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c, d = map(F.lit, _SENTENCE)
     n = F.col("p_size").cast("string")
     text = F.concat(a, n, b, F.col("p_partkey").cast("string"), c, n, d)
-    rows = extraction.candidates(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    rows = extraction.candidates(spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
     return rows.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("end").cast("long"))
 
 
@@ -61,7 +61,7 @@ def extraction_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c, d = map(F.lit, _SENTENCE)
     n = F.col("p_size").cast("string")
     text = F.concat(a, n, b, F.col("p_partkey").cast("string"), c, n, d)
-    rows = extraction.extracted(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    rows = extraction.extracted(spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
     return rows.select("doc_id", "fingerprint", F.size("candidates").cast("long").alias("n"), F.array_join("articles", ",").alias("articles"), F.array_join("regulations", ",").alias("regulations"))
 
 
