@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
+from tamarisk.plans.lineage import rewritten
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _PARAGRAPH = re.compile(r"\n+")
@@ -119,8 +120,12 @@ def span_metrics(overlaps: DataFrame, gold: DataFrame, key: list[str]) -> DataFr
 def chunk_summary(chunks: DataFrame, doc: str, size: str) -> DataFrame:
     """One row: chunks, per document, mean, median, p95 (place int(n .95) - 1 of the sorted sizes) and greatest size."""
     w = Window.partitionBy(F.lit(1)).orderBy("s")
-    n = chunks.agg(F.count("*").alias("all"), F.count_distinct(doc).alias("d"), F.avg(size).alias("mean"), F.percentile(size, 0.5).alias("median"), F.max(size).cast("long").alias("longest"))
-    sizes = chunks.groupBy(F.col(size).alias("s")).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w))
+    # two figures are of documents, the rest of the sizes' histogram: chunks are made once, and only their keys and sizes are written
+    chunks = rewritten(chunks.select(F.col(doc).alias("doc"), F.col(size).alias("s")).groupBy("doc", "s").agg(F.count("*").alias("c")))
+    sizes = chunks.groupBy("s").agg(F.sum("c").alias("c"))
+    n = sizes.agg(F.sum("c").alias("all"), (F.sum(F.col("s") * F.col("c")) / F.sum(F.when(F.col("s").isNotNull(), F.col("c")))).alias("mean"), F.expr("percentile(s, 0.5D, c)").alias("median"), F.max("s").cast("long").alias("longest"))
+    n = n.select(F.coalesce("all", F.lit(0)).alias("all"), "mean", "median", "longest").crossJoin(chunks.agg(F.count_distinct("doc").alias("d")))
+    sizes = sizes.withColumn("upto", F.sum("c").over(w))
     place = F.greatest(F.floor(F.col("all") * 0.95) - 1, F.lit(0)) + 1
     p95 = sizes.crossJoin(F.broadcast(n)).where(F.col("upto") >= place).agg(F.min("s").cast("long").alias("p95"))
     return n.crossJoin(p95).select(F.col("all").alias("chunks"), F.round(F.col("all") / F.col("d"), 8).alias("per_document"), F.round("mean", 8).alias("mean"), "median", "p95", "longest")
