@@ -90,7 +90,11 @@ def parsed_label(label: Column) -> Column:
 
     @F.arrow_udf("struct<ordinal: int, part: int, status: string, key: string>")
     def parse(labels: pa.Array) -> pa.Array:
-        rows = [article_label(x) for x in labels.to_pylist()]
+        # a batch's labels repeat; each is parsed once
+        coded = labels.dictionary_encode()
+        each = [article_label(x) for x in coded.dictionary.to_pylist()]
+        none = article_label(None)
+        rows = [none if i is None else each[i] for i in coded.indices.to_pylist()]
         types = [pa.int32(), pa.int32(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, types)], ["ordinal", "part", "status", "key"])
 
