@@ -44,7 +44,9 @@ def split_overlap(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def privacy_findings(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key, column, detector, masked`` of each cell that holds personal data; values never leave masked."""
     cells = frame.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("cell")).select(key, "cell.*")
-    hit = F.array_compact(F.array(*[F.when(F.col("value").rlike(p), F.lit(name)) for name, p in DETECTORS.items()]))
+    # an address has its sign, which is found faster than a pattern that tries every letter
+    able = {"email": F.contains("value", F.lit("@"))}
+    hit = F.array_compact(F.array(*[F.when(able.get(name, F.lit(True)) & F.col("value").rlike(p), F.lit(name)) for name, p in DETECTORS.items()]))
     return cells.select(key, "column", F.explode(hit).alias("detector"), F.lit(MASK).alias("masked"))
 
 
@@ -57,7 +59,7 @@ def privacy_columns(frame: DataFrame) -> list[str]:
 
 def redacted(text: Column) -> Column:
     """Personal data replaced by a mask, white space collapsed."""
-    out = F.regexp_replace(text, DETECTORS["email"], MASK)
+    out = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, DETECTORS["email"], MASK)).otherwise(text)
     for name in ("iban", "phone"):
         out = F.regexp_replace(out, DETECTORS[name].replace("(?:", "("), "$1" + MASK + "$3")
     return T.collapsed(out)
