@@ -24,7 +24,7 @@ def test_patterns_of_addresses_need_their_sign(spark):
 
     d = spark.createDataFrame([(1, "a.b@c.de x"), (2, "none"), (3, None), (4, "@ alone")], "k int, t string")
     found = privacy_findings(d, "k", ["t"])
-    assert "contains" in plan(found).lower() and [r.k for r in found.collect()] == [1]
+    assert ", @)" in plan(found) and [r.k for r in found.collect()] == [1]
     assert [r.t for r in d.select(redacted(F.col("t")).alias("t")).collect()] == ["[REDACTED] x", "none", None, "@ alone"]
 
 
