@@ -34,17 +34,12 @@ def robustness_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 slow AS (SELECT x.vec_id AS query_id, y.vec_id AS doc_id, round(list_sum(list_transform(list_zip(x.v, y.v), lambda p: p[1] * p[2])), 10) AS score FROM vecs x, vecs y WHERE x.vec_id % 50 = 0), b AS (SELECT query_id, doc_id, score, {_TOP} AS rank FROM slow QUALIFY rank <= 10)
 SELECT count(*) AS places, count(*) FILTER (a.doc_id != b.doc_id) AS mismatches, round(max(abs(a.score - b.score)), 8) AS largest_gap, bool_and(abs(a.score - b.score) <= 1e-6) AS within FROM a JOIN b USING (query_id, rank)""")
 def index_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block products against single products by expressions."""
-    from pyspark.sql import Window
-
+    """The search's block products against every pair's products summed one dimension after the other."""
+    from tamarisk.operators.dense import plain_top_k
     from tamarisk.queries.tables import QUERY_ROWS, vectors
 
-    v = vectors(spark, sf_dir).select("id", F.col("vector").cast("array<double>").alias("vector"))
-    q = v.where(F.col("id") % QUERY_ROWS == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "vector", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored = q.crossJoin(v).select("query_id", F.col("id").alias("doc_id"), F.round(dot, 10).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    slow = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    v = vectors(spark, sf_dir)
+    slow = plain_top_k(v, v.where(F.col("id") % QUERY_ROWS == 0), 10)
     return analysis.ranking_parity(dense_ranking(spark, sf_dir, 10), slow).withColumn("largest_gap", F.round("largest_gap", 8))
 
 
