@@ -24,25 +24,53 @@ def judged(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """One row a judged query: its hits within k and its ideal, as sums. A query without ranking has none."""
     key = ["query_id", "doc_id"]
     best = qrels.groupBy(*key).agg(F.max("grade").alias("grade")).where("grade > 0")
-    ideal = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
-    gain = F.pow(F.lit(2.0), F.col("grade")) - 1
-    norm = ideal.groupBy("query_id").agg(
-        F.count("*").alias("relevant"),
-        F.sum(F.when(F.col("place") <= k, gain / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("idcg"),
-        F.sum(F.when(F.col("place") <= k, 1 / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("binary_idcg"),
-    )
-    hits = rankings.where(F.col("rank") <= k).join(best, key).groupBy("query_id").agg(
+    hits = _hits(rankings.where(F.col("rank") <= k).join(best, key))
+    asked = qrels.select("query_id").distinct()
+    return asked.join(_ideals(best, "query_id", k), "query_id", "left").join(hits, "query_id", "left").fillna(0)
+
+
+def _gain() -> Column:
+    return F.pow(F.lit(2.0), F.col("grade")) - 1
+
+
+def _ideals(best: DataFrame, by: str, k: int) -> DataFrame:
+    """``by, relevant, idcg, binary_idcg``: only how many have each grade counts, so no list of a query's documents is put in order."""
+    counts = best.groupBy(by, "grade").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.withColumn("last", F.least(upto, F.lit(k))).withColumn("before", upto - F.col("n"))
+    shares = F.aggregate(F.sequence(F.col("before") + 1, F.col("last")), F.lit(0.0), lambda a, place: a + 1 / F.log2(place + 1.0))
+    counts = counts.withColumn("shares", F.when(F.col("before") < F.col("last"), shares).otherwise(0.0))
+    return counts.groupBy(by).agg(F.sum("n").alias("relevant"), F.sum(_gain() * F.col("shares")).alias("idcg"), F.sum("shares").alias("binary_idcg"))
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.groupBy("query_id").agg(
         F.count("*").alias("hits"), F.min("rank").alias("first"),
-        F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("binary_dcg"),
+        F.sum(_gain() / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("binary_dcg"),
     )
-    asked = qrels.select("query_id").distinct()
-    return asked.join(norm, "query_id", "left").join(hits, "query_id", "left").fillna(0)
+
+
+def judged_by_group(rankings: DataFrame, asked: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """``judged`` where all documents of a query's group are its judgements: ``asked`` has ``query_id, group``, ``members`` ``group, doc_id, grade``.
+
+    Pairs of queries and documents aren't listed: ideals are a group's, and only ranked documents are looked up. Queries whose group has no member have no row.
+    """
+    best = members.where("group is not null").groupBy("group", "doc_id").agg(F.max("grade").alias("grade"))
+    norm = _ideals(best.where("grade > 0"), "group", k)
+    known = asked.join(best.select("group").distinct(), "group").distinct()
+    hits = _hits(rankings.where(F.col("rank") <= k).join(known, "query_id").join(best.where("grade > 0"), ["group", "doc_id"]))
+    return known.join(norm, "group", "left").join(hits, "query_id", "left").drop("group").fillna(0)
 
 
 def query_metrics(rankings: DataFrame, qrels: DataFrame, k: int = 10, digits: int = 8) -> DataFrame:
     """``query_id, recall, precision, mrr, ndcg, binary_ndcg`` at k; zeros where nothing is relevant or retrieved."""
+    return measures(judged(rankings, qrels, k), k, digits)
+
+
+def measures(sums: DataFrame, k: int = 10, digits: int = 8) -> DataFrame:
+    """The measures of ``judged`` sums."""
     safe = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), digits)).otherwise(0.0)
-    return judged(rankings, qrels, k).select(
+    return sums.select(
         "query_id", safe("hits", "relevant").alias("recall"), F.round(F.col("hits") / k, digits).alias("precision"),
         F.when(F.col("first") > 0, F.round(1 / F.col("first"), digits)).otherwise(0.0).alias("mrr"),
         safe("dcg", "idcg").alias("ndcg"), safe("binary_dcg", "binary_idcg").alias("binary_ndcg"),
@@ -56,6 +84,14 @@ def complete_evidence(rankings: DataFrame, groups: DataFrame, k: int) -> DataFra
     return each.groupBy("query_id").agg(F.min("hit").alias("complete"))
 
 
+def complete_by_group(rankings: DataFrame, asked: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """``complete_evidence`` where a query (``query_id, group``) needs a hit in each part of its group (``group, group_id, doc_id``), without listing pairs."""
+    parts = members.where("group is not null").groupBy("group").agg(F.count_distinct("group_id").alias("parts"))
+    found = rankings.where(F.col("rank") <= k).join(asked, "query_id").join(members, ["group", "doc_id"])
+    found = found.groupBy("query_id").agg(F.count_distinct("group_id").alias("found"))
+    return asked.join(parts, "group").join(found, "query_id", "left").select("query_id", (F.coalesce("found", F.lit(0)) == F.col("parts")).cast("int").alias("complete"))
+
+
 def slice_means(rows: DataFrame, dimensions: list[str], value: str, digits: int = 8) -> DataFrame:
     """``dimension, label, n, mean`` of each dimension by itself, in one pass of grouping sets."""
     sets = [[d] for d in dimensions]

@@ -13,10 +13,15 @@ from tamarisk.registry import query
 
 def label_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a query's label are relevant, those with even ids more so."""
+    asked, members = label_groups(spark, sf_dir)
+    return asked.join(members, "group").select("query_id", "doc_id", "grade")
+
+
+def label_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same unlisted: queries' labels as ``query_id, group``, and ``group, doc_id, grade`` of all vectors."""
     v = vectors(spark, sf_dir)
-    q = v.where(F.col("id") % QUERY_ROWS == 0).select(F.col("id").alias("query_id"), "label")
-    d = v.select(F.col("id").alias("doc_id"), "label")
-    return q.join(d, "label").select("query_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("grade"))
+    asked = v.where(F.col("id") % QUERY_ROWS == 0).select(F.col("id").alias("query_id"), F.col("label").alias("group"))
+    return asked, v.select(F.col("label").alias("group"), F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 2).otherwise(1).alias("grade"))
 
 
 def gold_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +45,7 @@ metrics AS (
 
 @query(f"WITH {_METRICS} SELECT * FROM metrics")
 def recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.query_metrics(dense_ranking(spark, sf_dir, 10), label_qrels(spark, sf_dir), 10)
+    return metrics.measures(metrics.judged_by_group(dense_ranking(spark, sf_dir, 10), *label_groups(spark, sf_dir), 10), 10)
 
 
 @query(f"WITH {_METRICS} SELECT round(avg(recall), 8) AS recall, round(avg(precision), 8) AS precision, round(avg(mrr), 8) AS mrr, round(avg(ndcg), 8) AS ndcg FROM metrics")
@@ -52,8 +57,8 @@ def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 each AS (SELECT g.query_id, group_id, max(CASE WHEN r.doc_id IS NULL THEN 0 ELSE 1 END) AS hit FROM g LEFT JOIN ranked r ON r.query_id = g.query_id AND r.doc_id = g.doc_id GROUP BY 1, 2)
 SELECT query_id, min(hit) AS complete FROM each GROUP BY 1""")
 def complete_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = label_qrels(spark, sf_dir).select("query_id", (F.col("doc_id") % 3).alias("group_id"), "doc_id")
-    return metrics.complete_evidence(dense_ranking(spark, sf_dir, 10), groups, 10)
+    asked, members = label_groups(spark, sf_dir)
+    return metrics.complete_by_group(dense_ranking(spark, sf_dir, 10), asked, members.select("group", (F.col("doc_id") % 3).alias("group_id"), "doc_id"), 10)
 
 
 @query("""SELECT * FROM (
