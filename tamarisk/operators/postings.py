@@ -46,6 +46,8 @@ MOST_QUERIES, MOST_TERMS, SCORES = 2_000, 200_000, 2_000_000
 MARGIN = 1e-7
 #: Stands for no token: its blocks hold the documents' numbers of distinct tokens.
 SIZES = ""
+#: The term whose blocks hold the documents that may be returned.
+ALLOWED = -2
 
 
 @dataclass(frozen=True)
@@ -161,9 +163,10 @@ class Measure:
     need: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _best(blocks: DataFrame, asked: Asked, k: int, floors: np.ndarray | None, measure: Measure, read=None) -> DataFrame:
+def _best(blocks: DataFrame, asked: Asked, k: int, floors: np.ndarray | None, measure: Measure, read=None, masked: bool = False) -> DataFrame:
     """``query, number, score`` of each task's k best documents of every query, by its place in ``asked``: of the most promising segment of each group where
-    there are no floors yet, or else of the others. ``read`` counts the blocks scored for a query.
+    there are no floors yet, or else of the others. ``read`` counts the blocks scored for a query. With ``masked`` only documents in blocks of the term
+    ``ALLOWED`` are found, and segments without one are passed over.
     """
     flat = measure.flat
     width = len(asked.queries)
@@ -192,11 +195,15 @@ def _best(blocks: DataFrame, asked: Asked, k: int, floors: np.ndarray | None, me
             starts = np.cumsum(size) - size
             ids, at = np.unique(segments, return_inverse=True)
             extent, extra = np.zeros((2, len(ids))), np.zeros(len(ids) * SEGMENT)
-            for b in np.flatnonzero(terms < 0):
+            mask = np.full(len(ids) * SEGMENT, not masked)
+            for b in np.flatnonzero(terms == ALLOWED):
+                mask[at[b] * SEGMENT + places[starts[b] : starts[b] + size[b]]] = True
+            some = mask.reshape(-1, SEGMENT).any(1)
+            for b in np.flatnonzero(terms == -1):
                 own = weights[starts[b] : starts[b] + size[b]]
                 extent[:, at[b]] = own.min(), own.max()
                 extra[at[b] * SEGMENT + places[starts[b] : starts[b] + size[b]]] = own
-            real = np.flatnonzero(terms >= 0)
+            real = np.flatnonzero((terms >= 0) & some[at])
             count = asked.ends[terms[real] + 1] - asked.ends[terms[real]]
             block = np.repeat(real, count)
             entry = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(asked.ends[terms[real]], count)
@@ -235,11 +242,11 @@ def _best(blocks: DataFrame, asked: Asked, k: int, floors: np.ndarray | None, me
             if floors is None:
                 sums = sums_of(every[early.ravel()[cell]])
                 scores = np.round(measure.finish(sums, extra, asked.sizes), DIGITS)
-                put(scores, (sums > 0) & (scores >= floor))
+                put(scores, (sums > 0) & (scores >= floor) & mask[:, None])
                 return
             late = (limit >= floor) & (limit > -np.inf) & ~early
             pairs = every[late.ravel()[cell]]
-            open_ = np.repeat(late, SEGMENT, axis=0)
+            open_ = np.repeat(late, SEGMENT, axis=0) & mask[:, None]
             sums, need = np.zeros((len(ids) * SEGMENT, width)), measure.need(np.maximum(floor, 0.0), asked.sizes)
             for share in SHARES:
                 now = lighter[pairs] >= share * need[query[pairs]]
@@ -296,19 +303,22 @@ def _search(index: Index, queries: DataFrame, k: int, tokenize, factor: Column,
     if eligible is not None:
         wanted = eligible.select(F.col("doc_id").alias("_e")).distinct()
         allowed = index.documents.select("number", "doc_id").join(wanted, F.col("doc_id").eqNullSafe(F.col("_e")), "left_semi")
-        allowed = cut(allowed.groupBy(F.shiftright("number", BITS).alias("_s")).agg(F.collect_list(F.col("number").bitwiseAND(SEGMENT - 1).cast("byte")).alias("_places")))
+        place = F.struct(F.col("number").bitwiseAND(SEGMENT - 1).cast("byte").alias("place"), F.lit(0.0).alias("weight"))
+        allowed = allowed.groupBy(F.shiftright("number", BITS).alias("segment")).agg(F.collect_list(place).alias("postings"))
+        allowed = cut(allowed.select("segment", F.lit(ALLOWED).alias("term"), F.lit(0.0).alias("most"), "postings"))
     for asked in _sets(index, queries, tokenize, factor, F.lit(1.0) if measure.flat else F.col("most")):
         hits = _hits(index, asked, measure.flat)
         if allowed is not None:
-            hits = hits.join(allowed, F.col("segment") == F.col("_s")).withColumn("postings", F.filter("postings", lambda p: F.array_contains("_places", p["place"])))
-            hits = hits.where(F.size("postings") > 0).withColumn("most", F.array_max(F.transform("postings", lambda p: p["weight"]))).drop("_s", "_places")
+            # they go the way of the segments' blocks, as a mask beside them: no join
+            hits = hits.unionByName(allowed)
         read = None
         if counts is not None:
             read = spark.sparkContext.accumulator(0)
             pairs = hits.where("term >= 0").groupBy("term").agg(F.count("*").alias("n")).collect()
             counts["blocks"] = counts.get("blocks", 0) + sum(r["n"] * int(asked.ends[r["term"] + 1] - asked.ends[r["term"]]) for r in pairs)
-        first = cut(_best(hits, asked, k, None, measure, read))
-        both = first.unionByName(_best(hits, asked, k, _floors(first, k, len(asked.queries)), measure, read))
+        masked = allowed is not None
+        first = cut(_best(hits, asked, k, None, measure, read, masked))
+        both = first.unionByName(_best(hits, asked, k, _floors(first, k, len(asked.queries)), measure, read, masked))
         if counts is not None:
             both = cut(both)
             counts["read"] = counts.get("read", 0) + read.value

@@ -135,3 +135,18 @@ def test_shallow_rankings_are_beginnings_of_deep_ones(spark, small):
     shallow = retrieval.bm25_ranking(spark, small, 3)
     assert set(shallow.inputFiles()) == set(deep.inputFiles())
     assert sorted(map(tuple, shallow.collect())) == sorted(map(tuple, postings.bm25_top_k(corpus_index(spark, small), benchmark(spark, small), 3).collect()))
+
+
+def test_eligible_documents_are_a_mask_and_no_join_of_blocks(spark, tmp_path, monkeypatch):
+    from tamarisk.operators import postings
+
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 9))) for i in range(200)]
+    asked = [(0, "w1 w2 w3"), (1, "w4 w0")]
+    index = postings.build(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "index"))
+    met, best = [], postings._best
+    monkeypatch.setattr(postings, "_best", lambda blocks, *a: met.append(blocks) or best(blocks, *a))
+    some = list(range(0, 200, 7))
+    got = rows_of(postings.bm25_top_k(index, spark.createDataFrame(asked, "query_id long, text string"), 5, eligible=spark.createDataFrame([(i,) for i in some], "doc_id long")))
+    assert got == plain(rows, asked, 5, set(some))[0]
+    plan = met[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert met[0].where("term = -2").count() > 0 and plan.count("Join") == 1 and "filter(" not in plan
