@@ -9,20 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text as T
-from tamarisk.operators import grounding, lexical, metrics, postings
+from tamarisk.operators import grounding, metrics, scan
 
 METRICS = ("recall", "precision", "mrr", "ndcg")
 
 
 def lexical_grid(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, policies: tuple[str, ...] = ("raw", "light"), k: int = 10) -> DataFrame:
-    """``method, policy, query_id`` and measures of BM25 and of the Jaccard ranking under each normal form."""
+    """``method, policy, query_id`` and measures of BM25 and of the Jaccard ranking under each normal form.
+
+    Each form is ranked once, so the corpus is scanned for it and no index is made.
+    """
     out = []
     for policy in policies:
-        form = lambda t, p=policy: T.tokens(T.normalised(t, p))
-        index = lexical.indexed(corpus, tokenize=form)
-        for method, rank in (("bm25", postings.bm25_top_k), ("jaccard", postings.jaccard_top_k)):
-            ranking = rank(index, queries, k, form).select("query_id", "doc_id", "rank")
-            rows = metrics.query_metrics(ranking, qrels, k)
+        found = scan.top_k(corpus, queries, k, lambda t, p=policy: T.tokens(T.normalised(t, p)))
+        for method in scan.METHODS:
+            rows = metrics.query_metrics(found.where(F.col("method") == method).select("query_id", "doc_id", "rank"), qrels, k)
             out.append(rows.select(F.lit(method).alias("method"), F.lit(policy).alias("policy"), "query_id", *METRICS))
     return reduce(DataFrame.unionByName, out)
 
