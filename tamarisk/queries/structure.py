@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions import text as T
 from tamarisk.operators import chunking, corpus as units, extraction, grounding, lexical
 from tamarisk.queries.retrieval import _BM25, _TOP, bm25_ranking
-from tamarisk.queries.tables import benchmark, corpus, corpus_index, table
+from tamarisk.queries.tables import benchmark, corpus, table
 from tamarisk.registry import query
 
 _COUNT = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
@@ -233,7 +233,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage as a question, answered from the documents."""
     from tamarisk.plans.answering import answers as run
 
-    return run(corpus(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir), index=corpus_index(spark, sf_dir))
+    return run(corpus(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir), sparse=bm25_ranking(spark, sf_dir, 50))
 
 
 @query()
