@@ -215,14 +215,21 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def extracted(docs: DataFrame) -> DataFrame:
-    """One row a document: its text's digest, all candidates, and those that refer to articles and to regulations."""
-    c = F.struct("label", "type", "start", "end", "raw", "value", "status", "calendar")
-    rows = candidates(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", c.alias("c")))).alias("all"))
-    of = lambda kind: F.transform(F.filter("all", lambda x: x["c"]["type"] == kind), lambda x: x["c"]["label"])
-    got = rows.select(F.col("doc_id").alias("k"), F.transform("all", lambda x: x["c"]).alias("candidates"), of("article").alias("articles"), of("regulation").alias("regulations"))
-    out = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint")).join(got, F.col("doc_id").eqNullSafe(F.col("k")), "left")
-    empty = lambda name, like: F.coalesce(name, F.array().cast(like)).alias(name)
-    return out.select("doc_id", "fingerprint", "candidates", empty("articles", "array<string>"), empty("regulations", "array<string>"))
+    """One row a document: its text's digest, all candidates, and those that refer to articles and to regulations.
+
+    All of it is in the document's own row, so nothing is shuffled, joined or sent to the driver.
+    """
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"), candidate_spans(F.col("text")).alias("all"))
+    rows = rows.select("doc_id", "fingerprint", F.transform("all", _labelled).alias("candidates"))
+    of = lambda kind, name: F.transform(F.filter("candidates", lambda x: x["type"] == kind), lambda x: x["label"]).alias(name)
+    return rows.select("doc_id", "fingerprint", F.when(F.size("candidates") > 0, F.col("candidates")).alias("candidates"), of("article", "articles"), of("regulation", "regulations"))
+
+
+def _labelled(c: Column, at: Column) -> Column:
+    """A candidate of ``all`` with its label: which of its type it is."""
+    n = F.size(F.filter(F.slice("all", F.lit(1), at + 1), lambda x: x["type"] == c["type"]))
+    label = F.concat(F.upper(F.substring(c["type"], 1, 1)), F.lpad(n.cast("string"), 3, "0"))
+    return F.struct(label.alias("label"), *[c[x].alias(x) for x in ("type", "start", "end", "raw", "value", "status", "calendar")])
 
 
 def rules_of(proposed: DataFrame, known: DataFrame) -> DataFrame:
