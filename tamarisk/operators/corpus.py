@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,10 +57,16 @@ def box_matches(gold: DataFrame, blocks: DataFrame, page: str, least: float = 0.
 
     Boxes are x0, y0, x1, y1 columns, gold's with a ``g_`` before.
     """
-    w = F.greatest(F.lit(0.0), F.least("x1", "g_x1") - F.greatest("x0", "g_x0"))
-    h = F.greatest(F.lit(0.0), F.least("y1", "g_y1") - F.greatest("y0", "g_y0"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    covered = F.when(area > 0, w * h / area).otherwise(0.0)
-    centre = cx.between(F.col("g_x0"), F.col("g_x1")) & cy.between(F.col("g_y0"), F.col("g_y1"))
+    covered, centre = box_cover(F.col, F.col)
     return gold.join(blocks, page).withColumn("covered", F.round(covered, 8)).where((covered >= least) | centre)
+
+
+def box_cover(block: Callable[[str], Column], gold: Callable[[str], Column]) -> tuple[Column, Column]:
+    """The share of a block that a gold region covers, and whether it holds the block's centre; both are asked for their columns by name."""
+    x0, y0, x1, y1 = (block(c) for c in ("x0", "y0", "x1", "y1"))
+    g_x0, g_y0, g_x1, g_y1 = (gold(c) for c in ("g_x0", "g_y0", "g_x1", "g_y1"))
+    w = F.greatest(F.lit(0.0), F.least(x1, g_x1) - F.greatest(x0, g_x0))
+    h = F.greatest(F.lit(0.0), F.least(y1, g_y1) - F.greatest(y0, g_y0))
+    area = (x1 - x0) * (y1 - y0)
+    covered = F.when(area > 0, w * h / area).otherwise(0.0)
+    return covered, ((x0 + x1) / 2).between(g_x0, g_x1) & ((y0 + y1) / 2).between(g_y0, g_y1)

@@ -1,7 +1,7 @@
 """Measures of a parsed page against gold regions: blocks belong to regions by where they lie, and texts, order and kinds are compared only then.
 
 Gold regions have ``page, region, place`` (their order), ``kind``, ``text`` and a box ``g_x0`` to ``g_y1``; blocks have ``page, block, order, kind, text`` and a box ``x0`` to ``y1``, both in one
-system of coordinates. A region takes the blocks that ``corpus.box_matches`` gives it, in reading order; where several regions take a block it is owned by the first of them. Pages are joined by their
+system of coordinates. A region takes the blocks that ``corpus.box_matches`` would give it, in reading order; where several regions take a block it is owned by the first of them. Pages are joined by their
 name alone, so what meets is a page's regions and blocks. Null texts are empty, and blocks without a box belong nowhere.
 """
 
@@ -10,15 +10,16 @@ from __future__ import annotations
 import difflib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.operators.analysis import pairwise_order
-from tamarisk.operators.corpus import box_matches
+from tamarisk.operators.corpus import box_cover
 from tamarisk.operators.labels import parsed_label
 from tamarisk.operators.review import page_references
 
 HEADING, ARTICLE = "heading", "article_label"
+#: The share of a block that a region must cover to take it.
+LEAST = 0.2
 
 
 def top_left(frame: DataFrame, height: str, bottom_left: Column) -> DataFrame:
@@ -27,27 +28,59 @@ def top_left(frame: DataFrame, height: str, bottom_left: Column) -> DataFrame:
     return frame.select(*[c for c in frame.columns if c not in ("y0", "y1")], turned("y0", "y1"), turned("y1", "y0"))
 
 
-def assigned(gold: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``page, region, place, kind, block, order, block_kind, block_text, first``: a row a block of a region; ``first`` where the region owns it."""
-    own = blocks.select("page", "block", "order", F.col("kind").alias("block_kind"), F.coalesce("text", F.lit("")).alias("block_text"), "x0", "y0", "x1", "y1")
-    rows = box_matches(gold.drop("text"), own, "page").select("page", "region", "place", "kind", "block", "order", "block_kind", "block_text")
-    owner = F.row_number().over(Window.partitionBy("page", "block").orderBy("place", "region")) == 1
-    return rows.withColumn("first", owner)
-
-
-def region_texts(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """``page, region, place, kind, reference, hypothesis, has_heading`` of every region; one without blocks has an empty hypothesis."""
-    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "block", "block_text"))), lambda b: b["block_text"]), " ")
-    made = found.groupBy(F.col("page").alias("_p"), F.col("region").alias("_r")).agg(F.trim(put).alias("hypothesis"), F.max(F.col("block_kind") == HEADING).alias("has_heading"))
-    rows = gold.select("page", "region", "place", "kind", F.coalesce("text", F.lit("")).alias("reference")).join(made, (F.col("page") == F.col("_p")) & (F.col("region") == F.col("_r")), "left")
-    return rows.select("page", "region", "place", "kind", "reference", F.coalesce("hypothesis", F.lit("")).alias("hypothesis"), F.coalesce("has_heading", F.lit(False)).alias("has_heading"))
+def _gathered(rows: DataFrame, name: str, columns: list[Column]) -> DataFrame:
+    return rows.groupBy("page").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def pages_of(gold: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``page, texts, stray, order``: a row a page with gold regions, all of which is made from the page's own regions and blocks.
+
+    ``texts`` has ``place, region, kind, reference, hypothesis, has_heading`` of every region, where one without blocks has an empty hypothesis; ``stray`` is how many headings no
+    heading owns, ``order`` the share of owning regions' pairs whose first blocks stand in the regions' order, null where there are no pairs.
+    """
+    text = F.coalesce("text", F.lit("")).alias("text")
+    g = _gathered(gold, "_gold", [*map(F.col, ("place", "region", "kind", "g_x0", "g_y0", "g_x1", "g_y1")), text])
+    b = _gathered(blocks, "_all", [*map(F.col, ("block", "order", "kind", "x0", "y0", "x1", "y1")), text])
+    rows = g.join(b, "page", "left").select("page", "_gold", F.coalesce("_all", F.array().cast(b.schema["_all"].dataType)).alias("_blocks"))
+
+    def taken(region: Column) -> Column:
+        def fits(block: Column) -> Column:
+            covered, centre = box_cover(lambda c: block[c], lambda c: region[c])
+            return (covered >= LEAST) | centre
+
+        one = lambda x: F.struct(region["place"].alias("place"), region["region"].alias("region"), region["kind"].alias("kind"), *[x[c].alias(c) for c in ("order", "block", "text")], x["kind"].alias("block_kind"))
+        return F.transform(F.filter("_blocks", fits), one)
+
+    # in the order of regions, so the first row of a block is its owner's
+    rows = rows.withColumn("_found", F.array_sort(F.flatten(F.transform("_gold", taken))))
+    owner = lambda x, at: ~F.exists(F.slice("_found", F.lit(1), at), lambda y: y["block"].eqNullSafe(x["block"]))
+    rows = rows.withColumn("_owned", F.filter("_found", owner))
+
+    def texts(region: Column) -> Column:
+        own = F.filter("_found", lambda x: x["region"] == region["region"])
+        put = F.array_join(F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["order"], x["block"], x["text"].alias("text")))), lambda x: x["text"]), " ")
+        heading = F.coalesce(F.exists(own, lambda x: x["block_kind"] == HEADING), F.lit(False))
+        return F.struct(*[region[c].alias(c) for c in ("place", "region", "kind")], region["text"].alias("reference"), F.trim(put).alias("hypothesis"), heading.alias("has_heading"))
+
+    kept = lambda x: F.coalesce(F.exists("_owned", lambda y: (y["block"] == x["block"]) & (y["kind"] == HEADING)), F.lit(False))
+    place = lambda x: F.struct(x["place"].alias("place"), x["region"].alias("region"))
+    begins = lambda p: F.array_min(F.transform(F.filter("_owned", lambda x: place(x) == p), lambda x: F.struct(x["order"].alias("order"), x["block"].alias("block"))))
+    # a row of _found comes after those of earlier regions, so distinct places are in order too
+    rows = rows.withColumn("_firsts", F.transform(F.array_distinct(F.transform("_owned", place)), begins))
+    before = lambda x, at: F.size(F.filter(F.slice("_firsts", F.lit(1), at), lambda y: y < x))
+    n = F.size("_firsts").cast("long")
+    right = F.aggregate(F.transform("_firsts", before), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select(
+        "page", F.transform("_gold", texts).alias("texts"), F.size(F.filter("_blocks", lambda x: (x["kind"] == HEADING) & ~kept(x))).alias("stray"),
+        F.when(n > 1, F.round(right / (n * (n - 1) / 2), 8)).alias("order"),
+    )
 
 
 def anchored_measures(gold: DataFrame, blocks: DataFrame) -> DataFrame:
     """A row a page with gold regions: ``regions, heading_precision, heading_recall, heading_f1, article_exact, article_semantic, article_errors, order_accuracy, page_references,
     reference, hypothesis`` (the regions' texts in order, for error rates)."""
-    found = assigned(gold, blocks)
-    texts = region_texts(gold, found)
+    # a page's regions and blocks meet once; the regions of a page stay together, so nothing is dealt again to be summed
+    texts = pages_of(gold, blocks).select("page", F.col("stray").alias("_fp"), F.col("order").alias("_order"), F.explode("texts").alias("t")).select("page", "_fp", "_order", "t.*")
     is_heading, share = F.col("kind") == HEADING, lambda a, n: F.round(a / F.greatest(n, F.lit(1)), 8)
     wanted = parsed_label(F.trim("reference"))["ordinal"]
     got = parsed_label(F.trim("hypothesis"))["ordinal"]
@@ -57,19 +90,12 @@ def anchored_measures(gold: DataFrame, blocks: DataFrame) -> DataFrame:
     pages = texts.groupBy("page").agg(
         F.count("*").alias("regions"), F.count_if(is_heading).alias("_h"), F.count_if(is_heading & F.col("has_heading")).alias("_tp"),
         F.count_if("_n").alias("_a"), F.count_if(F.col("_n") & (F.trim("reference") == F.trim("hypothesis"))).alias("_exact"), F.count_if("_right").alias("_semantic"),
-        F.count_if("_refs").alias("_pages"), joined("reference"), joined("hypothesis"),
+        F.count_if("_refs").alias("_pages"), joined("reference"), joined("hypothesis"), F.max("_fp").alias("_fp"), F.max("_order").alias("_order"),
     )
-    owned = found.where("first").select("page", F.col("block").alias("_b"), F.col("kind").alias("_owner"))
-    stray = blocks.where(F.col("kind") == HEADING).select("page", F.col("block").alias("_b")).join(owned, ["page", "_b"], "left").where(~F.coalesce(F.col("_owner") == HEADING, F.lit(False)))
-    stray = stray.groupBy("page").agg(F.count("*").alias("_fp"))
-    first = found.where("first").groupBy("page", "region", "place").agg(F.min(F.struct("order", "block")).alias("_at"))
-    places = first.select("page", F.row_number().over(Window.partitionBy("page").orderBy("place", "region")).alias("_w"), F.row_number().over(Window.partitionBy("page").orderBy("_at")).alias("_g"))
-    order = pairwise_order(places, "page", "_w", "_g").select("page", F.col("accuracy").alias("_order"))
-    rows = pages.join(stray, "page", "left").join(order, "page", "left").fillna(0, ["_fp"])
     precision = F.when(F.col("_tp") + F.col("_fp") > 0, F.round(F.col("_tp") / (F.col("_tp") + F.col("_fp")), 8)).when(F.col("_h") == 0, 1.0).otherwise(0.0)
     recall = F.when(F.col("_h") > 0, F.round(F.col("_tp") / F.col("_h"), 8)).otherwise(1.0)
     f1 = F.when(precision + recall > 0, F.round(2 * precision * recall / (precision + recall), 8)).otherwise(0.0)
-    return rows.select(
+    return pages.select(
         "page", "regions", precision.alias("heading_precision"), recall.alias("heading_recall"), f1.alias("heading_f1"), share(F.col("_exact"), F.col("_a")).alias("article_exact"),
         share(F.col("_semantic"), F.col("_a")).alias("article_semantic"), (F.col("_a") - F.col("_semantic")).alias("article_errors"), F.coalesce("_order", F.lit(1.0)).alias("order_accuracy"),
         share(F.col("_pages"), F.col("regions")).alias("page_references"), "reference", "hypothesis",

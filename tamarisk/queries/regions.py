@@ -12,7 +12,8 @@ from tamarisk.registry import query
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # one line a number: of repeated ones the least of each column
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    # dealt by page once, which serves all grouping behind
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_quantity").cast("double").alias("q"), *[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")], F.concat(F.lit("s"), F.min("l_suppkey").cast("string")).alias("t"))
     n = F.col("l_linenumber")
     gold = li.select(F.col("l_orderkey").alias("page"), n.alias("region"), n.alias("place"), F.when(F.col("l_returnflag") == "N", "heading").otherwise("text").alias("kind"), F.col("t").alias("text"),

@@ -44,3 +44,21 @@ def test_ratio_and_longest_order(spark):
     for p, gs in pages.items():
         best = max(k for k in range(1, len(gs) + 1) for c in itertools.combinations(gs, k) if list(c) == sorted(c))
         assert got[p] == (len(gs), best)
+
+
+def test_pages_are_dealt_once_a_side(spark, small):
+    from tamarisk.queries.regions import anchored_measures
+
+    plan = anchored_measures(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Join") == 1
+
+
+def test_odd_pages(spark):
+    """Repeated regions and blocks, null names and kinds: a repeated block has one owner, regions of one name share their blocks."""
+    from tamarisk.operators.regions import anchored_measures
+
+    gold = [(1, "a", 0, "heading", "A", 0.0, 0.0, 10.0, 10.0), (1, "a", 1, None, "B", 0.0, 20.0, 10.0, 30.0), (1, None, 2, "heading", "C", 0.0, 40.0, 10.0, 50.0), (None, "n", 0, "heading", "N", 0.0, 0.0, 9.0, 9.0)]
+    blocks = [(1, 7, 1, "heading", "x", 1.0, 1.0, 9.0, 9.0), (1, 7, 0, "heading", "y", 1.0, 21.0, 9.0, 29.0), (1, None, 2, "heading", "z", 1.0, 41.0, 9.0, 49.0), (None, 1, 0, "heading", "q", 1.0, 1.0, 8.0, 8.0)]
+    got = {r.page: r for r in anchored_measures(spark.createDataFrame(gold, GOLD), spark.createDataFrame(blocks, BLOCKS)).collect()}
+    assert (got[1].regions, got[1].reference, got[1].hypothesis, got[1].heading_precision, got[1].heading_recall) == (3, "A B C", "y x y x ", 0.5, 0.5)
+    assert (got[None].regions, got[None].hypothesis, got[None].heading_recall, got[None].order_accuracy) == (1, "", 0.0, 1.0)
